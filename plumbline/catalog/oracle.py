@@ -527,7 +527,7 @@ ALERT_BANDS = bands(("value", "user_id"), 1.0)
 ALERT_CTES = [*CUSTOMER_RESULTS, *ALERT_BANDS]
 
 OUTBOX_ALERTS = f"""
-  SELECT type, severity, message, CAST(NULL AS VARCHAR) AS only
+  SELECT type, severity, message, CAST(NULL AS VARCHAR) AS route_to
   FROM ({union(suite_alerts(80.0))})
   UNION ALL
   SELECT type, severity, message, CASE WHEN type = 'too_short' THEN 'webhook' END
@@ -701,8 +701,8 @@ ORACLE: dict[str, str] = {
         for c in LINEITEM_NUMERIC
     ),
     "numeric_histogram": over(
-        EVENTS_F,
-        f", vals AS ({long_values(('value', 'user_id'), 'events_f')}),"
+        [EVENTS_F, f"vals AS ({long_values(('value', 'user_id'), 'events_f')})"],
+        ","
         + bins("vals", 20)
         + " FROM grid LEFT JOIN placed USING (column_name, bin)",
     ),
@@ -821,11 +821,11 @@ ORACLE: dict[str, str] = {
                      ELSE 'severity' END AS grouping,
               coalesce(type, severity) AS value, count(*) AS alerts
             FROM (SELECT 'quality_score_low' AS type, 'high' AS severity,
-                         runs_f.timestamp AS at FROM runs_f WHERE quality_score < 80
+                         runs_f.timestamp AS raised FROM runs_f WHERE quality_score < 80
                   UNION ALL
                   SELECT type, severity, TIMESTAMP '1998-07-01'
                   FROM ({union(suite_alerts(80.0))}))
-            WHERE at > TIMESTAMP '1998-08-01' - to_hours(24 * 365)
+            WHERE raised > TIMESTAMP '1998-08-01' - to_hours(24 * 365)
             GROUP BY GROUPING SETS ((type), (severity), ())""",
     ),
     "alert_rules": over(
@@ -846,7 +846,7 @@ ORACLE: dict[str, str] = {
                 || chr(10) || 'Timestamp: 2024-01-01T00:00:00' AS body,
               message AS payload_message
             FROM ({OUTBOX_ALERTS}), (VALUES ('email'), ('webhook')) AS routes(channel)
-            WHERE only IS NULL OR only = channel""",
+            WHERE route_to IS NULL OR route_to = channel""",
     ),
     "windowed_quality": over(
         EVENTS_F,
@@ -887,4 +887,3 @@ ORACLE: dict[str, str] = {
         ),
     ),
 }
-ORACLE["numeric_histogram"] = ORACLE["numeric_histogram"].replace(") , vals", "), vals")

@@ -6,10 +6,9 @@ another engine; the operators return full values.
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.catalog.views import customer_f, events_f, mail_f, runs_f, table
@@ -27,7 +26,6 @@ from plumbline.streaming.windows import quality_by_window
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-RUN_TIME = datetime.datetime(2024, 1, 1)
 THRESHOLDS = A.Thresholds()
 CHANNELS = A.AlertConfig(
     email=A.EmailChannel(enabled=True, recipients=("quality@example.com",)),
@@ -46,6 +44,13 @@ CUSTOMER_RANGES = {"c_acctbal": {"min": 0.0, "max": 9000.0}, "c_nationkey": {"mi
 CUSTOMER_PATTERNS = {"c_name": "^Customer#[0-9]+$", "c_mktsegment": "^[A-Z]+$"}
 
 
+def at(text: str) -> Column:
+    return F.lit(text).cast("timestamp")
+
+
+RUN_TIME = "2024-01-01 00:00:00"
+
+
 def query(function: Query) -> Query:
     QUERIES[function.__name__] = function
     return function
@@ -152,7 +157,7 @@ def customer_run(spark, folder) -> DataFrame:
         "*",
         F.lit("customer-1").alias("run_id"),
         F.lit("customer").alias("dataset_name"),
-        F.lit(RUN_TIME).cast("timestamp").alias("timestamp"),
+        at(RUN_TIME).alias("timestamp"),
     )
 
 
@@ -370,7 +375,7 @@ def shown(alerts: DataFrame) -> DataFrame:
 
 def customer_quality_alerts(spark, folder, rules=()) -> DataFrame:
     results = pin(customer_run(spark, folder))
-    record = S.run_record(results, "customer", "customer-1", RUN_TIME)
+    record = S.run_record(results, "customer", "customer-1", at(RUN_TIME))
     return A.quality_alerts(record, results, THRESHOLDS, rules)
 
 
@@ -380,7 +385,7 @@ def event_anomaly_alerts(spark, folder) -> DataFrame:
         "*",
         F.lit("events-1").alias("run_id"),
         F.lit("events").alias("dataset_name"),
-        F.lit(RUN_TIME).cast("timestamp").alias("timestamp"),
+        at(RUN_TIME).alias("timestamp"),
     )
     return A.anomaly_alerts(run, THRESHOLDS)
 
@@ -421,10 +426,10 @@ def alert_summary(spark, folder):
     both = A.union_alerts(
         low.withColumn("timestamp", F.col("timestamp").cast("timestamp")),
         customer_quality_alerts(spark, folder).withColumn(
-            "timestamp", F.lit(datetime.datetime(1998, 7, 1)).cast("timestamp")
+            "timestamp", at("1998-07-01")
         ),
     )
-    return A.alert_summary(both, datetime.datetime(1998, 8, 1), hours=24 * 365)
+    return A.alert_summary(both, at("1998-08-01"), hours=24 * 365)
 
 
 @query
@@ -465,10 +470,10 @@ def monitor_cycle(spark, folder):
             "*",
             F.lit("events-1").alias("run_id"),
             F.lit("events").alias("dataset_name"),
-            F.lit(RUN_TIME).cast("timestamp").alias("timestamp"),
+            at(RUN_TIME).alias("timestamp"),
         )
     )
-    record = S.run_record(results, "events", "events-1", RUN_TIME)
+    record = S.run_record(results, "events", "events-1", at(RUN_TIME))
     return shown(
         A.union_alerts(
             A.quality_alerts(record, results, A.Thresholds(100.0)),

@@ -6,8 +6,11 @@ from plumbline.functions.columns import (
     is_numeric,
     is_text,
     normalise,
+    number,
     numeric_columns,
+    quoted,
     ratio,
+    text,
     text_columns,
 )
 from plumbline.functions.predicates import (
@@ -28,8 +31,11 @@ __all__ = [
     "is_text",
     "looks_like_spam",
     "normalise",
+    "number",
     "numeric_columns",
     "outside",
+    "quoted",
     "ratio",
+    "text",
     "text_columns",
 ]

@@ -1,7 +1,13 @@
-"""Column naming, typing and null conventions."""
+"""Column naming, typing and null conventions.
+
+Expressions over many columns are written as SQL text: building them call by call costs
+a driver round trip per operation, which for a wide table outweighs running the query.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +15,27 @@ from pyspark.sql import types as T
 
 def col(name: str) -> Column:
     """Reference a top-level column whose name may hold dots, blanks or backticks."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
+
+
+def quoted(name: str) -> str:
+    """The same reference in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text(value: str | None) -> str:
+    """A string literal in SQL text."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def number(value: float | None) -> str:
+    """A double literal in SQL text."""
+    if value is None or not math.isfinite(value):
+        shown = "NULL" if value is None else f"'{value}'"
+        return f"CAST({shown} AS DOUBLE)"
+    return f"{float(value)!r}D"
 
 
 def is_numeric(data_type: T.DataType) -> bool:
@@ -39,11 +65,12 @@ def normalise(df: DataFrame) -> DataFrame:
     floats = (T.FloatType, T.DoubleType)
     if not any(isinstance(f.dataType, floats) for f in df.schema.fields):
         return df
-    return df.select(
+    return df.selectExpr(
         *[
-            F.nanvl(col(f.name), F.lit(None).cast(f.dataType)).alias(f.name)
+            f"nanvl({quoted(f.name)}, CAST(NULL AS {f.dataType.simpleString()})) "
+            f"AS {quoted(f.name)}"
             if isinstance(f.dataType, floats)
-            else col(f.name)
+            else quoted(f.name)
             for f in df.schema.fields
         ]
     )
@@ -53,19 +80,19 @@ def comparable(df: DataFrame) -> DataFrame:
     """Rewrite map columns as sorted entry arrays, so rows can be grouped and hashed."""
     if not any(isinstance(f.dataType, T.MapType) for f in df.schema.fields):
         return df
-    return df.select(
+    return df.selectExpr(
         *[
-            F.array_sort(F.map_entries(col(f.name))).alias(f.name)
+            f"array_sort(map_entries({quoted(f.name)})) AS {quoted(f.name)}"
             if isinstance(f.dataType, T.MapType)
-            else col(f.name)
+            else quoted(f.name)
             for f in df.schema.fields
         ]
     )
 
 
-def ratio(part: Column, total: Column) -> Column:
-    """part / total as a double; 0 on an empty table."""
-    return F.coalesce(F.try_divide(part, total).cast("double"), F.lit(0.0))
+def ratio(part: str, total: str) -> str:
+    """SQL text for part / total as a double; 0 on an empty table."""
+    return f"coalesce(CAST(try_divide({part}, {total}) AS DOUBLE), 0D)"
 
 
 def fixed(value: Column, digits: int) -> Column:

@@ -1,25 +1,24 @@
-"""Row-level tests that the checks count."""
+"""Row-level tests that the checks count, as SQL text over a column reference."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from plumbline.functions.columns import number, text
 
 # The accepted e-mail shape and the phrases that mark a subject as spam.
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 SPAM_KEYWORDS = ("!!!", "URGENT", "BUY NOW", "ACT FAST", "LIMITED TIME")
 
 
-def bad_email(c: Column) -> Column:
+def bad_email(c: str) -> str:
     """True for anything but a well-formed address; a missing one is bad too."""
-    return ~F.coalesce(c.rlike(EMAIL_PATTERN), F.lit(False))
+    return f"NOT coalesce({c} RLIKE {text(EMAIL_PATTERN)}, false)"
 
 
-def looks_like_spam(c: Column) -> Column:
+def looks_like_spam(c: str) -> str:
     """True when any keyword occurs in any letter case; NULL is not spam."""
-    return c.rlike("(?iu)" + "|".join(SPAM_KEYWORDS))
+    return f"{c} RLIKE {text('(?iu)' + '|'.join(SPAM_KEYWORDS))}"
 
 
-def outside(c: Column, low: float, high: float) -> Column:
+def outside(c: str, low: float, high: float) -> str:
     """True strictly outside [low, high]; NULL is not outside."""
-    return (c < F.lit(low)) | (c > F.lit(high))
+    return f"({c} < {number(low)} OR {c} > {number(high)})"

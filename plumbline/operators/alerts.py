@@ -287,15 +287,14 @@ def union_alerts(*parts: DataFrame) -> DataFrame:
 
 
 def alert_summary(
-    alerts: DataFrame, as_of: datetime.datetime, hours: float = 24
+    alerts: DataFrame, as_of: datetime.datetime | Column, hours: float = 24
 ) -> DataFrame:
     """Alerts later than ``hours`` before ``as_of``: in total, by type and by severity.
 
     Rows are (grouping, value, alerts) with grouping ``total``, ``type`` or ``severity``.
     """
-    recent = alerts.filter(
-        F.col("timestamp") > F.lit(as_of - datetime.timedelta(hours=hours))
-    )
+    period = F.lit(datetime.timedelta(hours=hours))
+    recent = alerts.filter(F.col("timestamp") > F.lit(as_of) - period)
     kind, severity = F.col("type"), F.col("severity")
     counted = recent.groupingSets([[kind], [severity], []], kind, severity).agg(
         F.count(F.lit(1)).alias("alerts"), F.grouping_id().alias("level")

@@ -9,20 +9,21 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import (
     col,
     is_numeric,
     normalise,
+    number,
     numeric_columns,
     outside,
+    quoted,
+    text,
 )
-from plumbline.operators.profile import binned
+from plumbline.operators.profile import bin_edges, binned
 from plumbline.plans import Finding, Measures, findings_frame
 
 
@@ -45,10 +46,18 @@ class Band:
     def upper(self) -> float | None:
         return self.mean + self.threshold * self.std if self.known else None
 
-    def excludes(self, value: Column) -> Column:
-        if not self.known:
-            return F.lit(False)
-        return F.coalesce(outside(value, self.lower, self.upper), F.lit(False))
+    def excludes(self, value: str) -> str:
+        """SQL text for: the value lies outside the band."""
+        return outside(value, self.lower, self.upper) if self.known else "false"
+
+
+def _double(name: str) -> str:
+    return f"CAST({quoted(name)} AS DOUBLE)"
+
+
+def _hit(name: str, band: Band) -> str:
+    """The value where it is an anomaly, else NULL."""
+    return f"if({band.excludes(_double(name))}, {_double(name)}, CAST(NULL AS DOUBLE))"
 
 
 def _columns(df: DataFrame, columns: Iterable[str] | None) -> list[str]:
@@ -68,13 +77,11 @@ def fit_bands(
     names = _columns(df, columns)
     if not names:
         return {}
-    numbers = normalise(df)
     aggregates = []
     for i, name in enumerate(names):
-        number = col(name).cast("double")
-        aggregates.append(F.avg(number).alias(f"mean{i}"))
-        aggregates.append(F.stddev_samp(number).alias(f"std{i}"))
-    row = numbers.agg(*aggregates).first()
+        aggregates.append(f"avg({_double(name)}) AS mean{i}")
+        aggregates.append(f"stddev_samp({_double(name)}) AS std{i}")
+    row = normalise(df).selectExpr(*aggregates).first()
     return {
         name: Band(row[f"mean{i}"], row[f"std{i}"], threshold)
         for i, name in enumerate(names)
@@ -86,30 +93,29 @@ def anomaly_counts(df: DataFrame, bands: Mapping[str, Band]) -> DataFrame:
     df, m, found = normalise(df), Measures(), []
     for name, band in bands.items():
         n = m.rows()
-        hits = m.count_if("outside", name, band.excludes(col(name).cast("double")))
+        hits = m.count_if(name, band.excludes(_double(name)))
         found.append(
             Finding(
                 "anomaly",
                 name,
                 name,
                 metrics={
-                    "mean": F.lit(band.mean),
-                    "std": F.lit(band.std),
-                    "lower_bound": F.lit(band.lower),
-                    "upper_bound": F.lit(band.upper),
+                    "mean": number(band.mean),
+                    "std": number(band.std),
+                    "lower_bound": number(band.lower),
+                    "upper_bound": number(band.upper),
                     "anomaly_count": hits,
-                    "anomaly_percentage": F.try_divide(hits, n) * 100,
+                    "anomaly_percentage": f"try_divide({hits}, {n}) * 100",
                     "total_count": n,
                 },
             )
         )
-    metric = F.col("metrics")
-    return findings_frame(df, m, found).select(
+    return findings_frame(df, m, found).selectExpr(
         "column_name",
-        *[metric[k].alias(k) for k in ("mean", "std", "lower_bound", "upper_bound")],
-        metric["anomaly_count"].cast("bigint").alias("anomaly_count"),
-        metric["anomaly_percentage"].alias("anomaly_percentage"),
-        metric["total_count"].cast("bigint").alias("total_count"),
+        *[f"metrics['{k}'] AS {k}" for k in ("mean", "std", "lower_bound", "upper_bound")],
+        "CAST(metrics['anomaly_count'] AS BIGINT) AS anomaly_count",
+        "metrics['anomaly_percentage'] AS anomaly_percentage",
+        "CAST(metrics['total_count'] AS BIGINT) AS total_count",
     )
 
 
@@ -124,14 +130,8 @@ def _with_hits(df: DataFrame, bands: Mapping[str, Band]) -> DataFrame:
 
     NaN passes this filter (Spark sorts it last) and is dropped by what follows.
     """
-    known = [(name, band) for name, band in bands.items() if band.known]
-    if not known:
-        return normalise(df.limit(0))
-    return normalise(
-        df.filter(
-            reduce(or_, [outside(col(n), b.lower, b.upper) for n, b in known])
-        )
-    )
+    tests = [band.excludes(quoted(name)) for name, band in bands.items()]
+    return normalise(df.filter(" OR ".join(tests) or "false"))
 
 
 def anomaly_rows(
@@ -144,22 +144,14 @@ def anomaly_rows(
     """
     if not bands:
         raise ValueError("no numeric columns to look at")
-    values = [
-        F.when(band.excludes(col(name).cast("double")), col(name).cast("double"))
+    entries = ", ".join(
+        f"named_struct('column_name', {text(name)}, 'value', {_hit(name, band)}, "
+        f"'lower_bound', {number(band.lower)}, 'upper_bound', {number(band.upper)})"
         for name, band in bands.items()
-    ]
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("column_name"),
-                value.alias("value"),
-                F.lit(band.lower).cast("double").alias("lower_bound"),
-                F.lit(band.upper).cast("double").alias("upper_bound"),
-            )
-            for (name, band), value in zip(bands.items(), values)
-        ]
     )
-    hits = _with_hits(df, bands).select(*[col(k) for k in keys], F.inline(entries))
+    hits = _with_hits(df, bands).selectExpr(
+        *[quoted(k) for k in keys], f"inline(array({entries}))"
+    )
     return hits.filter(F.col("value").isNotNull()).select(
         "column_name", *[col(k) for k in keys], "value", "lower_bound", "upper_bound"
     )
@@ -179,36 +171,16 @@ def anomaly_histogram(
     df: DataFrame, bands: Mapping[str, Band], bins: int = 20
 ) -> DataFrame:
     """Equal-width bins of the anomalous values of each column, with its band."""
-    numbers = _with_hits(df, bands).select(
-        *[
-            F.when(band.excludes(col(name).cast("double")), col(name).cast("double"))
-            .alias(name)
-            for name, band in bands.items()
-        ]
+    numbers = _with_hits(df, bands).selectExpr(
+        *[f"{_hit(name, band)} AS {quoted(name)}" for name, band in bands.items()]
     )
-    spans = numbers.agg(
-        *[F.min(col(n)).alias(f"lo{i}") for i, n in enumerate(bands)],
-        *[F.max(col(n)).alias(f"hi{i}") for i, n in enumerate(bands)],
-    ).first()
-    edges = {
-        name: (spans[f"lo{i}"], spans[f"hi{i}"], bins)
-        for i, name in enumerate(bands)
-        if spans[f"lo{i}"] is not None
-    }
-    context = F.create_map(
-        *[
-            part
-            for name, band in bands.items()
-            for part in (
-                F.lit(name),
-                F.struct(
-                    F.lit(band.mean).cast("double").alias("mean"),
-                    F.lit(band.lower).cast("double").alias("lower_bound"),
-                    F.lit(band.upper).cast("double").alias("upper_bound"),
-                ),
-            )
-        ]
+    context = ", ".join(
+        f"{text(name)}, named_struct('mean', {number(band.mean)}, "
+        f"'lower_bound', {number(band.lower)}, 'upper_bound', {number(band.upper)})"
+        for name, band in bands.items()
+    )
+    return (
+        binned(numbers, bin_edges(numbers, bands, bins))
+        .withColumn("band", F.expr(f"map({context})[column_name]"))
+        .select("column_name", "bin", "lower_edge", "upper_edge", "value_count", "band.*")
     )
-    return binned(numbers, edges).withColumn(
-        "band", context[F.col("column_name")]
-    ).select("column_name", "bin", "lower_edge", "upper_edge", "value_count", "band.*")

@@ -8,12 +8,14 @@ functions run one check alone and return flat, typed columns.
 from __future__ import annotations
 
 import datetime
+import decimal
+import numbers
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,12 +25,15 @@ from plumbline.functions import (
     is_numeric,
     is_text,
     looks_like_spam,
+    normalise,
+    number,
     numeric_columns,
     outside,
+    quoted,
     ratio,
+    text,
     text_columns,
 )
-from plumbline.functions.columns import normalise
 from plumbline.plans import Finding, Measures, findings_frame
 from plumbline.plans.measures import DISTINCT_BATCH
 
@@ -73,18 +78,18 @@ Patterns = Mapping[str, str]
 # ---------------------------------------------------------------- shared measures
 
 
-def total(m: Measures) -> Column:
+def total(m: Measures) -> str:
     return m.rows()
 
 
-def nulls(m: Measures, name: str) -> Column:
-    return m.count_if("null", name, col(name).isNull())
+def nulls(m: Measures, name: str) -> str:
+    return m.count_if(name, f"{quoted(name)} IS NULL")
 
 
-def distinct(m: Measures, df: DataFrame, name: str) -> Column:
-    values = col(name)
+def distinct(m: Measures, df: DataFrame, name: str) -> str:
+    values = quoted(name)
     if isinstance(df.schema[name].dataType, T.MapType):
-        values = F.array_sort(F.map_entries(values))
+        values = f"array_sort(map_entries({values}))"
     return m.distinct(name, values)
 
 
@@ -113,13 +118,13 @@ def completeness_findings(
             out.append(Finding("completeness", name, label, error=problem))
             continue
         n, missing = total(m), nulls(m, name)
-        share = ratio(n - missing, n)
+        share = ratio(f"{n} - {missing}", n)
         out.append(
             Finding(
                 "completeness",
                 name,
                 label,
-                share >= limits.completeness_min,
+                f"{share} >= {number(limits.completeness_min)}",
                 {"completeness_ratio": share, "null_count": missing, "total_count": n},
             )
         )
@@ -143,7 +148,7 @@ def uniqueness_findings(
                 "uniqueness",
                 name,
                 label,
-                share >= limits.uniqueness_min,
+                f"{share} >= {number(limits.uniqueness_min)}",
                 {"uniqueness_ratio": share, "distinct_count": values, "total_count": n},
             )
         )
@@ -161,14 +166,14 @@ def consistency_findings(
             out.append(Finding("consistency", name, label, error=problem))
             continue
         n = total(m)
-        negative = m.count_if("negative", name, col(name) < 0)
-        huge = m.count_if("huge", name, col(name) > limits.outlier_above)
+        negative = m.count_if(name, f"{quoted(name)} < 0")
+        huge = m.count_if(name, f"{quoted(name)} > {number(limits.outlier_above)}")
         out.append(
             Finding(
                 "consistency",
                 name,
                 label,
-                (negative == 0) & (huge == 0),
+                f"{negative} = 0 AND {huge} = 0",
                 {
                     "negative_ratio": ratio(negative, n),
                     "outlier_ratio": ratio(huge, n),
@@ -181,14 +186,24 @@ def consistency_findings(
     return out
 
 
-def _comparable_bound(data_type: T.DataType, bound: Any) -> bool:
-    if is_numeric(data_type):
-        return not isinstance(bound, (str, bool, datetime.date))
-    if is_text(data_type):
-        return isinstance(bound, str)
-    if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return isinstance(bound, datetime.date)
-    return False
+def _bound(data_type: T.DataType, bound: Any) -> str | None:
+    """SQL text of a bound, or None if the column cannot be compared with it."""
+    if is_numeric(data_type) and not isinstance(bound, bool):
+        if isinstance(bound, numbers.Integral):
+            return str(int(bound))
+        if isinstance(bound, decimal.Decimal):
+            return f"{bound:f}BD"
+        return number(float(bound)) if isinstance(bound, numbers.Real) else None
+    if is_text(data_type) and isinstance(bound, str):
+        return text(bound)
+    if isinstance(bound, datetime.date):
+        kind = {
+            T.DateType: "DATE",
+            T.TimestampType: "TIMESTAMP",
+            T.TimestampNTZType: "TIMESTAMP_NTZ",
+        }.get(type(data_type))
+        return f"CAST({text(str(bound))} AS {kind})" if kind else None
+    return None
 
 
 def range_findings(
@@ -200,36 +215,33 @@ def range_findings(
         label = f"Range check for {name}"
         given = {k: bounds[k] for k in ("min", "max") if bounds.get(k) is not None}
         params = {k: str(v) for k, v in given.items()}
-        problem = _problem(df, name)
+        problem, literals = _problem(df, name), {}
         if problem is None:
             data_type = df.schema[name].dataType
-            for side, bound in given.items():
-                if not _comparable_bound(data_type, bound):
-                    problem = (
-                        f"{side} {bound!r} cannot be compared with column {name} "
-                        f"of type {data_type.simpleString()}"
-                    )
+            literals = {side: _bound(data_type, b) for side, b in given.items()}
+            for side in (s for s, literal in literals.items() if literal is None):
+                problem = (
+                    f"{side} {given[side]!r} cannot be compared with column {name} "
+                    f"of type {data_type.simpleString()}"
+                )
         if problem:
             out.append(
                 Finding("range_check", name, label, params=params, error=problem)
             )
             continue
         n = total(m)
-        violations = F.lit(0).cast("bigint")
-        if "min" in given:
-            violations = violations + m.count_if(
-                ("below", given["min"]), name, col(name) < F.lit(given["min"])
-            )
-        if "max" in given:
-            violations = violations + m.count_if(
-                ("above", given["max"]), name, col(name) > F.lit(given["max"])
-            )
+        sides = [
+            m.count_if(name, f"{quoted(name)} {sign} {literals[side]}")
+            for side, sign in (("min", "<"), ("max", ">"))
+            if side in literals
+        ]
+        violations = f"({' + '.join(sides) or '0'})"
         out.append(
             Finding(
                 "range_check",
                 name,
                 label,
-                violations == 0,
+                f"{violations} = 0",
                 {
                     "violation_ratio": ratio(violations, n),
                     "violations": violations,
@@ -267,13 +279,13 @@ def pattern_findings(
             )
             continue
         n = total(m)
-        violations = m.count_if(("misses", pattern), name, ~col(name).rlike(pattern))
+        violations = m.count_if(name, f"NOT {quoted(name)} RLIKE {text(pattern)}")
         out.append(
             Finding(
                 "pattern_check",
                 name,
                 label,
-                violations == 0,
+                f"{violations} = 0",
                 {
                     "violation_ratio": ratio(violations, n),
                     "violations": violations,
@@ -295,12 +307,18 @@ def text_findings(
         if problem := _problem(df, name, is_text, "string"):
             out.append(Finding("text_quality", name, label, error=problem))
             continue
-        n, size = total(m), F.length(col(name))
+        n, size = total(m), f"length({quoted(name)})"
         counts = {
             "null": nulls(m, name),
-            "empty": m.count_if("empty", name, size == 0),
-            "short": m.count_if("short", name, size < limits.short_chars),
-            "long": m.count_if("long", name, size > limits.long_chars),
+            "empty": m.count_if(name, f"{size} = 0"),
+            "short": m.count_if(name, f"{size} < {limits.short_chars}"),
+            "long": m.count_if(name, f"{size} > {limits.long_chars}"),
+        }
+        allowed = {
+            "null": limits.null_text_max,
+            "empty": limits.empty_text_max,
+            "short": limits.short_text_max,
+            "long": limits.long_text_max,
         }
         shares = {kind: ratio(count, n) for kind, count in counts.items()}
         out.append(
@@ -308,10 +326,9 @@ def text_findings(
                 "text_quality",
                 name,
                 label,
-                (shares["null"] <= limits.null_text_max)
-                & (shares["empty"] <= limits.empty_text_max)
-                & (shares["short"] <= limits.short_text_max)
-                & (shares["long"] <= limits.long_text_max),
+                " AND ".join(
+                    f"{shares[kind]} <= {number(most)}" for kind, most in allowed.items()
+                ),
                 {f"{kind}_ratio": share for kind, share in shares.items()}
                 | {f"{kind}_count": count for kind, count in counts.items()}
                 | {"total_count": n},
@@ -358,14 +375,14 @@ def mail_findings(
             out.append(Finding("email_specific", name, label, error=problem))
             continue
         n = total(m)
-        hits = m.count_if(metric, name, test(col(name)))
+        hits = m.count_if(name, test(quoted(name)))
         share = ratio(hits, n)
         out.append(
             Finding(
                 "email_specific",
                 name,
                 label,
-                share < allowed,
+                f"{share} < {number(allowed)}",
                 {f"{metric}_ratio": share, f"{metric}_count": hits, "total_count": n},
             )
         )
@@ -381,15 +398,14 @@ def _flat(
     counts: Sequence[str],
     params: Sequence[str] = (),
 ) -> DataFrame:
-    metric = F.col("metrics")
-    return results.select(
+    return results.selectExpr(
         "constraint",
         "column_name",
         "status",
-        *[metric[name].alias(name) for name in shares],
-        *[metric[name].cast("bigint").alias(name) for name in counts],
-        *[F.col("params")[name].alias(name) for name in params],
-        F.col("params")["error"].alias("error"),
+        *[f"metrics['{name}'] AS {name}" for name in shares],
+        *[f"CAST(metrics['{name}'] AS BIGINT) AS {name}" for name in counts],
+        *[f"params['{name}'] AS {name}" for name in params],
+        "params['error'] AS error",
     )
 
 
@@ -479,18 +495,17 @@ def mail_checks(
     """All mail checks in one pass, each as (constraint, ratio, count, total, status)."""
     df, m = normalise(df), Measures()
     results = findings_frame(df, m, mail_findings(df, m, mail, limits))
-    metric = F.col("metrics")
     kinds = ("invalid_email", "spam", "invalid_sentiment")
-    return results.select(
+    shares = ", ".join(f"metrics['{kind}_ratio']" for kind in kinds)
+    counts = ", ".join(f"metrics['{kind}_count']" for kind in kinds)
+    return results.selectExpr(
         "constraint",
         "column_name",
         "status",
-        F.coalesce(*[metric[f"{k}_ratio"] for k in kinds]).alias("violation_ratio"),
-        F.coalesce(*[metric[f"{k}_count"] for k in kinds])
-        .cast("bigint")
-        .alias("violations"),
-        metric["total_count"].cast("bigint").alias("total_count"),
-        F.col("params")["error"].alias("error"),
+        f"coalesce({shares}) AS violation_ratio",
+        f"CAST(coalesce({counts}) AS BIGINT) AS violations",
+        "CAST(metrics['total_count'] AS BIGINT) AS total_count",
+        "params['error'] AS error",
     )
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions import col
-from plumbline.functions.columns import comparable, normalise
+from plumbline.functions import normalise, quoted
+from plumbline.functions.columns import comparable
 from plumbline.sources.pinning import pin
 
 #: Most row fingerprints sent to every executor (8 bytes each).
@@ -28,8 +28,9 @@ def duplicate_groups(
     columns = df.columns
     rows = comparable(normalise(df))
     # The hash skips NULLs, so their places go in as well.
-    print_of_row = F.xxhash64(
-        *[col(c) for c in columns], *[col(c).isNull() for c in columns]
+    names = [quoted(c) for c in columns]
+    print_of_row = F.expr(
+        f"xxhash64({', '.join([*names, *[f'{c} IS NULL' for c in names]])})"
     )
     repeated = (
         rows.groupBy(print_of_row.alias("fingerprint"))
@@ -48,7 +49,7 @@ def duplicate_groups(
             .drop("fingerprint")
         )
     return (
-        rows.groupBy(*[col(c) for c in columns])
+        rows.groupBy(*names)
         .agg(F.count(F.lit(1)).alias("copies"))
         .filter(F.col("copies") > 1)
     )

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions import normalise, numeric_columns, ratio, text_columns
+from plumbline.functions import (
+    normalise,
+    numeric_columns,
+    ratio,
+    text,
+    text_columns,
+)
 from plumbline.operators.checks import nulls, total
 from plumbline.operators.duplicates import duplicate_rows
 from plumbline.plans import Finding, Measures, findings_frame
@@ -23,21 +29,23 @@ def missing_by_column(df: DataFrame) -> DataFrame:
         )
         for name in df.columns
     ]
-    count = F.col("metrics")["count"].cast("bigint")
-    return findings_frame(df, m, found).select(
-        "column_name",
-        count.alias("missing_count"),
-        (ratio(count, F.col("metrics")["total"]) * 100).alias("missing_percentage"),
-    ).filter(F.col("missing_count") > 0)
+    share = ratio("metrics['count']", "metrics['total']")
+    return (
+        findings_frame(df, m, found)
+        .selectExpr(
+            "column_name",
+            "CAST(metrics['count'] AS BIGINT) AS missing_count",
+            f"{share} * 100 AS missing_percentage",
+        )
+        .filter(F.col("missing_count") > 0)
+    )
 
 
 def total_missing(df: DataFrame) -> DataFrame:
     """One row: missing cells over all columns."""
     df, m = normalise(df), Measures()
     counts = [nulls(m, name) for name in df.columns]
-    return m.frame(df).select(
-        sum(counts, F.lit(0).cast("bigint")).alias("missing_cells")
-    )
+    return m.frame(df).selectExpr(f"{' + '.join(counts)} AS missing_cells")
 
 
 def issue_summary(df: DataFrame) -> DataFrame:
@@ -48,41 +56,35 @@ def issue_summary(df: DataFrame) -> DataFrame:
     for name in frame.columns:
         missing = nulls(m, name)
         entries.append(
-            F.struct(
-                F.lit(name).alias("column_name"),
-                missing.alias("missing_count"),
-                (ratio(missing, n) * 100).alias("missing_percentage"),
-            )
+            f"named_struct('column_name', {text(name)}, 'missing_count', {missing}, "
+            f"'missing_percentage', {ratio(missing, n)} * 100)"
         )
+    facts = m.frame(frame).selectExpr(
+        f"{n} AS total_rows",
+        f"filter(array({', '.join(entries)}), e -> e.missing_count > 0) "
+        "AS missing_values",
+    )
     types = [
-        F.struct(
-            F.lit(f.name).alias("column_name"),
-            F.lit(f.dataType.simpleString()).alias("data_type"),
-        )
+        f"named_struct('column_name', {text(f.name)}, "
+        f"'data_type', {text(f.dataType.simpleString())})"
         for f in frame.schema.fields
     ]
-    facts = m.frame(frame).select(
-        n.alias("total_rows"),
-        F.filter(F.array(*entries), lambda e: e["missing_count"] > 0).alias(
-            "missing_values"
-        ),
-    )
     # Two one-row results side by side: stacked, then folded into one row.
     stacked = facts.unionByName(duplicate_rows(df), allowMissingColumns=True)
-    return stacked.agg(
-        F.max("total_rows").alias("total_rows"),
-        F.max("missing_values").alias("missing_values"),
-        F.max("duplicate_rows").alias("duplicate_rows"),
-    ).select(
+    return stacked.selectExpr(
+        "max(total_rows) AS total_rows",
+        "max(missing_values) AS missing_values",
+        "max(duplicate_rows) AS duplicate_rows",
+    ).selectExpr(
         "total_rows",
-        F.lit(len(df.columns)).alias("total_columns"),
+        f"{len(df.columns)} AS total_columns",
         "missing_values",
         "duplicate_rows",
-        F.array(*types).alias("data_types"),
-        _names(numeric_columns(df)).alias("numeric_columns"),
-        _names(text_columns(df)).alias("categorical_columns"),
+        f"array({', '.join(types)}) AS data_types",
+        f"{_names(numeric_columns(df))} AS numeric_columns",
+        f"{_names(text_columns(df))} AS categorical_columns",
     )
 
 
-def _names(names: list[str]):
-    return F.array(*[F.lit(n) for n in names]).cast("array<string>")
+def _names(names: list[str]) -> str:
+    return f"CAST(array({', '.join(map(text, names))}) AS ARRAY<STRING>)"

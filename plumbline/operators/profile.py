@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import col, is_numeric, is_text, normalise, numeric_columns
+from plumbline.functions import (
+    col,
+    is_numeric,
+    is_text,
+    normalise,
+    number,
+    numeric_columns,
+    quoted,
+)
 from plumbline.operators.checks import distinct, nulls, total
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.plans import Finding, Measures, findings_frame
 from plumbline.plans.measures import DISTINCT_BATCH
 
 
+def _double(name: str) -> str:
+    return f"CAST({quoted(name)} AS DOUBLE)"
+
+
 def profile_findings(df: DataFrame, m: Measures) -> list[Finding]:
     """Type, row, null and distinct counts; min, max, mean and sample std of numbers."""
     out = []
@@ -25,11 +38,11 @@ def profile_findings(df: DataFrame, m: Measures) -> list[Finding]:
             "distinct_count": distinct(m, df, name),
         }
         if is_numeric(field.dataType):
-            number = col(name).cast("double")
-            metrics["min"] = m.stat("min", name, F.min(number))
-            metrics["max"] = m.stat("max", name, F.max(number))
-            metrics["mean"] = m.stat("mean", name, F.avg(number))
-            metrics["std"] = m.stat("std", name, F.stddev_samp(number))
+            x = _double(name)
+            metrics["min"] = m.stat(name, f"min({x})")
+            metrics["max"] = m.stat(name, f"max({x})")
+            metrics["mean"] = m.stat(name, f"avg({x})")
+            metrics["std"] = m.stat(name, f"stddev_samp({x})")
         out.append(
             Finding(
                 "data_profile",
@@ -48,15 +61,15 @@ def suggestion_findings(df: DataFrame, m: Measures) -> list[Finding]:
     for field in df.schema.fields:
         name = field.name
         if is_numeric(field.dataType):
-            number = col(name).cast("double")
+            x = _double(name)
             out.append(
                 Finding(
                     "constraint_suggestions",
                     name,
                     f"Column {name} is numeric - consider range checks",
                     metrics={
-                        "min": m.stat("min", name, F.min(number)),
-                        "max": m.stat("max", name, F.max(number)),
+                        "min": m.stat(name, f"min({x})"),
+                        "max": m.stat(name, f"max({x})"),
                     },
                 )
             )
@@ -78,15 +91,14 @@ def column_profile(
 ) -> DataFrame:
     """One row per column."""
     df, m = normalise(df), Measures(approx_distinct_error)
-    metric = F.col("metrics")
-    return findings_frame(df, m, profile_findings(df, m), distinct_batch).select(
+    return findings_frame(df, m, profile_findings(df, m), distinct_batch).selectExpr(
         "column_name",
-        F.col("params")["data_type"].alias("data_type"),
+        "params['data_type'] AS data_type",
         *[
-            metric[name].cast("bigint").alias(name)
+            f"CAST(metrics['{name}'] AS BIGINT) AS {name}"
             for name in ("total_count", "null_count", "distinct_count")
         ],
-        *[metric[name].alias(name) for name in ("min", "max", "mean", "std")],
+        *[f"metrics['{name}'] AS {name}" for name in ("min", "max", "mean", "std")],
     )
 
 
@@ -105,11 +117,11 @@ def column_card(df: DataFrame, approx_distinct_error: float | None = None) -> Da
 
 def suggest_constraints(df: DataFrame) -> DataFrame:
     df, m = normalise(df), Measures()
-    return findings_frame(df, m, suggestion_findings(df, m)).select(
+    return findings_frame(df, m, suggestion_findings(df, m)).selectExpr(
         "column_name",
-        F.col("constraint").alias("suggestion"),
-        F.col("metrics")["min"].alias("observed_min"),
-        F.col("metrics")["max"].alias("observed_max"),
+        "constraint AS suggestion",
+        "metrics['min'] AS observed_min",
+        "metrics['max'] AS observed_max",
     )
 
 
@@ -129,7 +141,7 @@ def dtype_distribution(df: DataFrame) -> DataFrame:
             "types",
             f.name,
             f.name,
-            metrics={"filled": total(m) - nulls(m, f.name)},
+            metrics={"filled": f"{total(m)} - {nulls(m, f.name)}"},
             params={"data_type": f.dataType.simpleString()},
         )
         for f in df.schema.fields
@@ -151,26 +163,25 @@ def describe(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     m = Measures()
     found = []
     for name in names:
-        number = col(name).cast("double")
+        x = _double(name)
         found.append(
             Finding(
                 "describe",
                 name,
                 name,
                 metrics={
-                    "count": m.stat("count", name, F.count(number)),
-                    "mean": m.stat("mean", name, F.avg(number)),
-                    "std": m.stat("std", name, F.stddev_samp(number)),
-                    "min": m.stat("min", name, F.min(number)),
-                    "max": m.stat("max", name, F.max(number)),
+                    "count": m.stat(name, f"count({x})"),
+                    "mean": m.stat(name, f"avg({x})"),
+                    "std": m.stat(name, f"stddev_samp({x})"),
+                    "min": m.stat(name, f"min({x})"),
+                    "max": m.stat(name, f"max({x})"),
                 },
             )
         )
-    metric = F.col("metrics")
-    moments = findings_frame(df, m, found).select(
+    moments = findings_frame(df, m, found).selectExpr(
         "column_name",
-        metric["count"].cast("bigint").alias("count"),
-        *[metric[k].alias(k) for k in ("mean", "std", "min", "max")],
+        "CAST(metrics['count'] AS BIGINT) AS count",
+        *[f"metrics['{k}'] AS {k}" for k in ("mean", "std", "min", "max")],
     )
     quartiles = (
         exact_quantiles(df, names, (0.25, 0.5, 0.75))
@@ -200,23 +211,32 @@ def histogram(
     """
     df = normalise(df)
     names = list(numeric_columns(df) if columns is None else columns)
-    infinite = (float("inf"), float("-inf"))
-    numbers = df.select(
+    infinity = number(math.inf)
+    numbers = df.selectExpr(
         *[
-            F.when(~col(n).cast("double").isin(*infinite), col(n).cast("double")).alias(n)
+            f"if(abs({_double(n)}) < {infinity}, {_double(n)}, NULL) AS {quoted(n)}"
             for n in names
         ]
     )
-    bounds = numbers.agg(
-        *[F.min(col(n)).alias(f"lo{i}") for i, n in enumerate(names)],
-        *[F.max(col(n)).alias(f"hi{i}") for i, n in enumerate(names)],
+    return binned(numbers, bin_edges(numbers, names, bins))
+
+
+def bin_edges(
+    df: DataFrame, names: Iterable[str], bins: int
+) -> dict[str, tuple[float, float, int]]:
+    """(smallest, largest, bins) of each column that holds a value; one row is read."""
+    names = list(names)
+    if not names:
+        return {}
+    bounds = df.selectExpr(
+        *[f"min({quoted(n)}) AS lo{i}" for i, n in enumerate(names)],
+        *[f"max({quoted(n)}) AS hi{i}" for i, n in enumerate(names)],
     ).first()
-    edges = {
+    return {
         n: (bounds[f"lo{i}"], bounds[f"hi{i}"], bins)
         for i, n in enumerate(names)
         if bounds[f"lo{i}"] is not None
     }
-    return binned(numbers, edges)
 
 
 def binned(df: DataFrame, edges: dict[str, tuple[float, float, int]]) -> DataFrame:
@@ -235,17 +255,19 @@ def binned(df: DataFrame, edges: dict[str, tuple[float, float, int]]) -> DataFra
         last = bins - 1
         # least() skips NULLs, so missing values have to be kept out of the last bin
         index = (
-            F.least(F.floor((col(name) - low) / width), F.lit(last)).cast("int")
+            f"least(floor(({quoted(name)} - {number(low)}) / {number(width)}), {last})"
             if width > 0
-            else F.lit(0)
+            else "0"
+        )
+        indexes.append(
+            f"if({quoted(name)} IS NULL, NULL, CAST({index} AS INT)) AS {quoted(name)}"
         )
-        indexes.append(F.when(col(name).isNotNull(), index).alias(name))
         frame.extend(
             (name, b, low + b * width, high if b == last else low + (b + 1) * width, 0)
             for b in range(bins)
         )
     counts = (
-        df.select(*indexes)
+        df.selectExpr(*indexes)
         .unpivot([], [col(n) for n in edges], "column_name", "bin")
         .filter(F.col("bin").isNotNull())
         .groupBy("column_name", "bin")
@@ -285,7 +307,7 @@ def top_values(
             [], "column_name string, value string, value_count bigint, rank int"
         )
     counted = (
-        df.select(*[col(n).cast("string").alias(n) for n in names])
+        df.selectExpr(*[f"CAST({quoted(n)} AS STRING) AS {quoted(n)}" for n in names])
         .unpivot([], [col(n) for n in names], "column_name", "value")
         .filter(F.col("value").isNotNull())
         .groupBy("column_name", "value")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed, normalise, ratio
@@ -28,6 +28,9 @@ from plumbline.plans.findings import ERROR, FAILURE, SUCCESS
 from plumbline.plans.measures import DISTINCT_BATCH
 
 
+SCORE = f"{ratio('passed_checks', 'total_checks')} * 100"
+
+
 def run_suite(
     df: DataFrame,
     ranges: Ranges | None = None,
@@ -64,7 +67,7 @@ def run_suite(
             "dataset_info",
             None,
             "Dataset info",
-            metrics={"rows": total(m), "columns": F.lit(len(df.columns))},
+            metrics={"rows": total(m), "columns": str(len(df.columns))},
         )
     )
     if profile:
@@ -79,9 +82,7 @@ def quality_score(results: DataFrame) -> DataFrame:
     return results.agg(
         F.count_if(counted).alias("total_checks"),
         F.count_if(F.col("status") == SUCCESS).alias("passed_checks"),
-    ).withColumn(
-        "quality_score", ratio(F.col("passed_checks"), F.col("total_checks")) * 100
-    )
+    ).selectExpr("*", f"{SCORE} AS quality_score")
 
 
 def check_type_summary(results: DataFrame) -> DataFrame:
@@ -129,7 +130,7 @@ def run_record(
     results: DataFrame,
     dataset_name: str,
     run_id: str,
-    timestamp: datetime.datetime,
+    timestamp: datetime.datetime | Column,
     metrics_file: str | None = None,
 ) -> DataFrame:
     """The run's history row, read off its results."""
@@ -143,9 +144,7 @@ def run_record(
         F.lit(run_id).alias("run_id"),
         F.lit(dataset_name).alias("dataset_name"),
         F.lit(timestamp).cast("timestamp").alias("timestamp"),
-        (ratio(F.col("passed_checks"), F.col("total_checks")) * 100).alias(
-            "quality_score"
-        ),
+        F.expr(f"{SCORE} AS quality_score"),
         F.col("rows").cast("bigint").alias("rows"),
         F.col("columns").cast("int").alias("columns"),
         F.lit(metrics_file).cast("string").alias("metrics_file"),

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from plumbline.functions import text
 from plumbline.plans.measures import DISTINCT_BATCH, Measures
 
 SUCCESS = "Success"
@@ -16,7 +16,7 @@ ERROR = "Error"
 
 @dataclass(frozen=True)
 class Finding:
-    """One result row. ``passed`` and ``metrics`` refer to columns of ``Measures.frame``.
+    """One result row, as SQL text over the columns of ``Measures.frame``.
 
     ``passed`` None means the row carries information only (profile, suggestion) and has
     no status. ``error`` set means the check could not be run on this column.
@@ -25,39 +25,35 @@ class Finding:
     check_type: str
     column_name: str | None
     constraint: str
-    passed: Column | None = None
-    metrics: dict[str, Column] = field(default_factory=dict)
+    passed: str | None = None
+    metrics: dict[str, str] = field(default_factory=dict)
     params: dict[str, str] = field(default_factory=dict)
     error: str | None = None
 
-    def struct(self) -> Column:
+    def struct(self) -> str:
         if self.error is not None:
-            status: Column = F.lit(ERROR)
+            status = text(ERROR)
         elif self.passed is None:
-            status = F.lit(None).cast("string")
+            status = text(None)
         else:
-            status = F.when(self.passed, SUCCESS).otherwise(FAILURE)
+            status = f"if({self.passed}, {text(SUCCESS)}, {text(FAILURE)})"
         params = dict(self.params)
         if self.error is not None:
             params["error"] = self.error
-        return F.struct(
-            F.lit(self.check_type).alias("check_type"),
-            F.lit(self.column_name).cast("string").alias("column_name"),
-            F.lit(self.constraint).alias("constraint"),
-            status.alias("status"),
-            _map(
-                {k: v.cast("double") for k, v in self.metrics.items()},
-                "map<string,double>",
-            ).alias("metrics"),
-            _map({k: F.lit(v) for k, v in params.items()}, "map<string,string>").alias(
-                "params"
-            ),
+        metrics = {k: f"CAST({v} AS DOUBLE)" for k, v in self.metrics.items()}
+        params = {k: text(v) for k, v in params.items()}
+        return (
+            f"named_struct('check_type', {text(self.check_type)}, "
+            f"'column_name', {text(self.column_name)}, "
+            f"'constraint', {text(self.constraint)}, 'status', {status}, "
+            f"'metrics', {_map(metrics, 'DOUBLE')}, "
+            f"'params', {_map(params, 'STRING')})"
         )
 
 
-def _map(entries: dict[str, Column], data_type: str) -> Column:
-    pairs = [part for k, v in entries.items() for part in (F.lit(k), v)]
-    return F.create_map(*pairs).cast(data_type)
+def _map(entries: dict[str, str], value_type: str) -> str:
+    pairs = ", ".join(f"{text(k)}, {v}" for k, v in entries.items())
+    return f"map({pairs})" if pairs else f"CAST(map() AS MAP<STRING, {value_type}>)"
 
 
 def findings_frame(
@@ -72,7 +68,8 @@ def findings_frame(
     source = (
         measures.frame(df, distinct_batch) if len(measures) else df.sparkSession.range(1)
     )
-    return source.select(F.inline(F.array(*[f.struct() for f in findings])))
+    structs = ", ".join(finding.struct() for finding in findings)
+    return source.selectExpr(f"inline(array({structs}))")
 
 
 FINDINGS_SCHEMA = (

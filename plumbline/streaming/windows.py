@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions import col, is_numeric, normalise, ratio
+from plumbline.functions import (
+    col,
+    is_numeric,
+    normalise,
+    number,
+    quoted,
+    ratio,
+    text,
+)
 from plumbline.operators.checks import Limits
 from plumbline.plans.findings import FAILURE, SUCCESS
 
@@ -44,43 +52,42 @@ def quality_by_window(
     if watermark is not None:
         rows = rows.withWatermark(timestamp, watermark)
 
-    measures = [F.count(F.lit(1)).alias("n")]
+    measures = ["count(*) AS n"]
     for i, name in enumerate(names):
-        measures.append(F.count_if(col(name).isNull()).alias(f"null{i}"))
+        measures.append(f"count_if({quoted(name)} IS NULL) AS null{i}")
         if name in numeric:
-            measures.append(F.count_if(col(name) < 0).alias(f"negative{i}"))
+            measures.append(f"count_if({quoted(name)} < 0) AS negative{i}")
             measures.append(
-                F.count_if(col(name) > limits.outlier_above).alias(f"huge{i}")
+                f"count_if({quoted(name)} > {number(limits.outlier_above)}) AS huge{i}"
             )
         if approx_distinct_error is not None:
             measures.append(
-                F.approx_count_distinct(col(name), approx_distinct_error).alias(
-                    f"distinct{i}"
-                )
+                f"approx_count_distinct({quoted(name)}, {approx_distinct_error}) "
+                f"AS distinct{i}"
             )
-    windows = rows.groupBy(F.window(stamp, window).alias("window")).agg(*measures)
+    windows = rows.groupBy(F.window(stamp, window).alias("window")).agg(
+        *[F.expr(measure) for measure in measures]
+    )
 
-    n, none = F.col("n"), F.lit(None).cast("bigint")
     entries = []
     for i, name in enumerate(names):
-        share = ratio(n - F.col(f"null{i}"), n)
-        fine = share >= limits.completeness_min
+        share = ratio(f"n - null{i}", "n")
+        fine = f"{share} >= {number(limits.completeness_min)}"
+        negative = huge = "CAST(NULL AS BIGINT)"
         if name in numeric:
-            fine = fine & (F.col(f"negative{i}") == 0) & (F.col(f"huge{i}") == 0)
-        entry = [
-            F.lit(name).alias("column_name"),
-            n.alias("total_count"),
-            F.col(f"null{i}").alias("null_count"),
-            share.alias("completeness_ratio"),
-            (F.col(f"negative{i}") if name in numeric else none).alias("negative_count"),
-            (F.col(f"huge{i}") if name in numeric else none).alias("outlier_count"),
-            F.when(fine, SUCCESS).otherwise(FAILURE).alias("status"),
-        ]
+            negative, huge = f"negative{i}", f"huge{i}"
+            fine = f"{fine} AND {negative} = 0 AND {huge} = 0"
+        entry = (
+            f"'column_name', {text(name)}, 'total_count', n, 'null_count', null{i}, "
+            f"'completeness_ratio', {share}, 'negative_count', {negative}, "
+            f"'outlier_count', {huge}, "
+            f"'status', if({fine}, {text(SUCCESS)}, {text(FAILURE)})"
+        )
         if approx_distinct_error is not None:
-            entry.append(F.col(f"distinct{i}").alias("approx_distinct"))
-        entries.append(F.struct(*entry))
-    return windows.select(
-        F.col("window.start").alias("window_start"),
-        F.col("window.end").alias("window_end"),
-        F.inline(F.array(*entries)),
+            entry += f", 'approx_distinct', distinct{i}"
+        entries.append(f"named_struct({entry})")
+    return windows.selectExpr(
+        "window.start AS window_start",
+        "window.end AS window_end",
+        f"inline(array({', '.join(entries)}))",
     )
