@@ -295,19 +295,21 @@ def alert_summary(
     """
     period = F.lit(datetime.timedelta(hours=hours))
     recent = alerts.filter(F.col("timestamp") > F.lit(as_of) - period)
-    kind, severity = F.col("type"), F.col("severity")
-    counted = recent.groupingSets([[kind], [severity], []], kind, severity).agg(
-        F.count(F.lit(1)).alias("alerts"), F.grouping_id().alias("level")
-    )
-    # grouping_id has a bit per column that is rolled up: type first, then severity
-    return counted.select(
-        F.when(F.col("level") == 3, "total")
-        .when(F.col("level") == 1, "type")
-        .otherwise("severity")
-        .alias("grouping"),
-        F.coalesce("type", "severity").alias("value"),
+    pairs = recent.groupBy("type", "severity").agg(F.count(F.lit(1)).alias("alerts"))
+    unfolded = pairs.selectExpr(
+        "inline(array("
+        "named_struct('grouping', 'total', 'value', CAST(NULL AS STRING)), "
+        "named_struct('grouping', 'type', 'value', type), "
+        "named_struct('grouping', 'severity', 'value', severity)))",
         "alerts",
     )
+    # the total is there even when no alert is
+    none = alerts.sparkSession.createDataFrame([("total", None, 0)], unfolded.schema)
+    return (
+        unfolded.unionByName(none)
+        .groupBy("grouping", "value")
+        .agg(F.sum("alerts").alias("alerts"))
+    )
 
 
 def outbox(alerts: DataFrame, config: AlertConfig) -> DataFrame:

@@ -21,11 +21,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import col, normalise
+from plumbline.functions import col, normalise, number, quoted
+from plumbline.plans.measures import DISTINCT_BATCH as COLUMNS_PER_SCAN
 
 #: An interval with at most this many rows, or ...
 MAX_ROWS = 2_000_000
@@ -53,6 +55,10 @@ class _Target:
     margin: float = MARGIN
     value: float | None = None
 
+    @property
+    def interval(self) -> tuple[str, float | None, float | None]:
+        return self.column, self.low, self.high
+
     def settled(self, max_rows: int, max_distinct: int) -> bool:
         return (
             self.value is not None
@@ -61,119 +67,164 @@ class _Target:
         )
 
 
-def _number(name: str) -> Column:
-    return col(name).cast("double")
+Interval = tuple[str, float | None, float | None]
+
+
+def _double(name: str) -> str:
+    return f"CAST({quoted(name)} AS DOUBLE)"
 
 
-def _within(name: str, low: float | None, high: float | None) -> Column:
-    condition = _number(name).isNotNull()
+def _within(name: str, low: float | None, high: float | None) -> str:
+    parts = [f"{quoted(name)} IS NOT NULL"]
     if low is not None:
-        condition = condition & (_number(name) > F.lit(low))
+        parts.append(f"{_double(name)} > {number(low)}")
     if high is not None:
-        condition = condition & (_number(name) < F.lit(high))
-    return condition
+        parts.append(f"{_double(name)} < {number(high)}")
+    return f"({' AND '.join(parts)})"
 
 
-def _sketches(df: DataFrame, targets: Sequence[_Target]) -> list[tuple[float, float]]:
-    """A proposed (low, high) around each target's rank, from one scan."""
-    keys = list(dict.fromkeys((t.column, t.low, t.high) for t in targets))
-    grouped = df.groupBy(
-        F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("merge_group")
-    ).agg(
+def _candidates(df: DataFrame, intervals: Sequence[Interval]) -> DataFrame:
+    """Columns i0, i1, ...: the values inside each interval; rows without any are gone.
+
+    The filter comes before NaN is replaced, on the columns of the source, which can
+    then skip row groups. NaN is never inside an interval with an upper end.
+    """
+    inside = " OR ".join(dict.fromkeys(_within(*i) for i in intervals))
+    return normalise(df.filter(inside)).selectExpr(
         *[
-            F.kll_sketch_agg_double(
-                F.when(_within(*key), _number(key[0])), F.lit(SKETCH_K)
-            ).alias(f"s{i}")
-            for i, key in enumerate(keys)
+            f"if({_within(*interval)}, {_double(interval[0])}, CAST(NULL AS DOUBLE)) "
+            f"AS i{i}"
+            for i, interval in enumerate(intervals)
         ]
     )
-    merged = grouped.agg(
-        *[F.kll_merge_agg_double(f"s{i}").alias(f"s{i}") for i in range(len(keys))]
+
+
+def _clusters(targets: Sequence[_Target]) -> list[list[_Target]]:
+    """Targets of one interval whose ranks lie close enough to share a proposal."""
+    out: list[list[_Target]] = []
+    for t in sorted(targets, key=lambda t: (t.column, str(t.interval), t.rank)):
+        if out:
+            first = out[-1][0]
+            near = t.rank - first.rank <= max(2, first.margin * first.inside / 4)
+            if first.interval == t.interval and first.margin == t.margin and near:
+                out[-1].append(t)
+                continue
+        out.append([t])
+    return out
+
+
+def _propose(
+    df: DataFrame, clusters: Sequence[Sequence[_Target]]
+) -> list[tuple[float, float]]:
+    """A (low, high) around the ranks of each cluster, from one scan."""
+    intervals = list(dict.fromkeys(c[0].interval for c in clusters))
+    grouped = (
+        _candidates(df, intervals)
+        .groupBy(F.expr(f"pmod(spark_partition_id(), {MERGE_GROUPS})").alias("merge"))
+        .agg(
+            *[
+                F.expr(f"kll_sketch_agg_double(i{i}, {SKETCH_K}) AS s{i}")
+                for i in range(len(intervals))
+            ]
+        )
+    )
+    merged = grouped.selectExpr(
+        *[f"kll_merge_agg_double(s{i}) AS s{i}" for i in range(len(intervals))]
     )
     wanted = []
-    for j, t in enumerate(targets):
-        sketch = F.col(f"s{keys.index((t.column, t.low, t.high))}")
-        centre = (t.rank - t.before) / t.inside
-        for side, at in (("l", centre - t.margin), ("h", centre + t.margin)):
+    for j, cluster in enumerate(clusters):
+        first, last = cluster[0], cluster[-1]
+        sketch = f"s{intervals.index(first.interval)}"
+        for side, at in (
+            ("l", (first.rank - first.before) / first.inside - first.margin),
+            ("h", (last.rank - last.before) / last.inside + last.margin),
+        ):
             at = min(max(at, 0.0), 1.0)
             wanted.append(
-                F.kll_sketch_get_quantile_double(sketch, F.lit(at)).alias(f"{side}{j}")
+                f"kll_sketch_get_quantile_double({sketch}, {number(at)}) AS {side}{j}"
             )
-    row = merged.select(*wanted).first()
-    return [(row[f"l{j}"], row[f"h{j}"]) for j in range(len(targets))]
+    row = merged.selectExpr(*wanted).first()
+    return [(row[f"l{j}"], row[f"h{j}"]) for j in range(len(clusters))]
 
 
 def _narrow(df: DataFrame, targets: Sequence[_Target]) -> list[_Target]:
-    proposals = _sketches(df, targets)
+    clusters = _clusters(targets)
+    proposals = _propose(df, clusters)
+    intervals = list(dict.fromkeys(c[0].interval for c in clusters))
     aggregates = []
-    for j, (t, (low, high)) in enumerate(zip(targets, proposals)):
-        x = _number(t.column)
-        old = _within(t.column, t.low, t.high)
-        new = (x > F.lit(low)) & (x < F.lit(high))
+    for j, (cluster, (low, high)) in enumerate(zip(clusters, proposals)):
+        x = f"i{intervals.index(cluster[0].interval)}"
+        inside = f"{x} > {number(low)} AND {x} < {number(high)}"
         aggregates += [
-            F.count_if(old & (x < F.lit(low))).alias(f"below{j}"),
-            F.count_if(old & (x == F.lit(low))).alias(f"at_low{j}"),
-            F.count_if(new).alias(f"inside{j}"),
-            F.count_if(old & (x == F.lit(high))).alias(f"at_high{j}"),
-            F.approx_count_distinct(F.when(new, x)).alias(f"distinct{j}"),
+            f"count_if({x} < {number(low)}) AS below{j}",
+            f"count_if({x} = {number(low)}) AS at_low{j}",
+            f"count_if({inside}) AS inside{j}",
+            f"count_if({x} = {number(high)}) AS at_high{j}",
+            f"approx_count_distinct(if({inside}, {x}, NULL)) AS distinct{j}",
         ]
-    row = df.agg(*aggregates).first()
+    row = _candidates(df, intervals).selectExpr(*aggregates).first()
     out = []
-    for j, (t, (low, high)) in enumerate(zip(targets, proposals)):
-        position = t.rank - t.before - row[f"below{j}"]
-        at_low, inside = row[f"at_low{j}"], row[f"inside{j}"]
-        at_high = row[f"at_high{j}"]
-        if 0 <= position < at_low:
-            out.append(replace(t, value=low))
-        elif at_low <= position < at_low + inside:
-            out.append(
-                replace(
-                    t,
-                    low=low,
-                    high=high,
-                    before=t.before + row[f"below{j}"] + at_low,
-                    inside=inside,
-                    distinct=row[f"distinct{j}"],
-                    margin=MARGIN,
+    for j, (cluster, (low, high)) in enumerate(zip(clusters, proposals)):
+        below, at_low = row[f"below{j}"], row[f"at_low{j}"]
+        inside, at_high = row[f"inside{j}"], row[f"at_high{j}"]
+        for t in cluster:
+            position = t.rank - t.before - below
+            if 0 <= position < at_low:
+                out.append(replace(t, value=low))
+            elif at_low <= position < at_low + inside:
+                out.append(
+                    replace(
+                        t,
+                        low=low,
+                        high=high,
+                        before=t.before + below + at_low,
+                        inside=inside,
+                        distinct=row[f"distinct{j}"],
+                        margin=MARGIN,
+                    )
                 )
-            )
-        elif low < high and at_low + inside <= position < at_low + inside + at_high:
-            out.append(replace(t, value=high))
-        else:
-            out.append(replace(t, margin=t.margin * 2))
+            elif low < high and 0 <= position - at_low - inside < at_high:
+                out.append(replace(t, value=high))
+            else:
+                out.append(replace(t, margin=t.margin * 2))
     return out
 
 
 def _settle(df: DataFrame, targets: Sequence[_Target]) -> DataFrame:
-    """(column_name, rank, value) of targets whose intervals are small enough."""
-    keys = list(dict.fromkeys((t.column, t.low, t.high) for t in targets))
-    wanted = df.sparkSession.createDataFrame(
-        sorted(
-            {
-                (f"i{keys.index((t.column, t.low, t.high))}", t.column, t.rank, t.before)
-                for t in targets
-            }
-        ),
-        "interval string, column_name string, rank bigint, before bigint",
+    """(column_name, rank, value) of targets whose intervals are small enough.
+
+    A few columns at a time share a scan; the scans read disjoint columns.
+    """
+    columns = list(dict.fromkeys(t.column for t in targets))
+    labels: dict[Interval, str] = {}
+    counted = []
+    for start in range(0, len(columns), COLUMNS_PER_SCAN):
+        some = columns[start : start + COLUMNS_PER_SCAN]
+        intervals = list(dict.fromkeys(t.interval for t in targets if t.column in some))
+        first = len(labels)
+        labels |= {interval: f"{first + i}" for i, interval in enumerate(intervals)}
+        counted.append(
+            _candidates(df, intervals)
+            .withColumnsRenamed({f"i{i}": labels[n] for i, n in enumerate(intervals)})
+            .unpivot([], [col(labels[n]) for n in intervals], "interval", "value")
+            .filter(F.col("value").isNotNull())
+            .groupBy("interval", "value")
+            .agg(F.count(F.lit(1)).alias("rows"))
+        )
+    upto = Window.partitionBy("interval").orderBy("value")
+    placed = reduce(DataFrame.unionByName, counted).withColumn(
+        "upto", F.sum("rows").over(upto)
     )
-    candidates = df.select(
-        *[
-            F.when(_within(*key), _number(key[0])).alias(f"i{i}")
-            for i, key in enumerate(keys)
-        ]
+    wanted = df.sparkSession.createDataFrame(
+        [(labels[t.interval], t.column, t.rank, t.rank - t.before) for t in targets],
+        "interval string, column_name string, rank bigint, position bigint",
     )
-    counted = (
-        candidates.unpivot([], [f"i{i}" for i in range(len(keys))], "interval", "value")
-        .filter(F.col("value").isNotNull())
-        .groupBy("interval", "value")
-        .agg(F.count(F.lit(1)).alias("rows"))
+    # two ranks per column and probability: a handful of rows
+    return (
+        placed.join(F.broadcast(wanted), "interval")
+        .filter("position < upto AND position >= upto - rows")
+        .select("column_name", "rank", "value")
     )
-    upto = Window.partitionBy("interval").orderBy("value")
-    placed = counted.withColumn("upto", F.sum("rows").over(upto))
-    return placed.join(F.broadcast(wanted), "interval").filter(
-        (F.col("rank") - F.col("before") < F.col("upto"))
-        & (F.col("rank") - F.col("before") >= F.col("upto") - F.col("rows"))
-    ).select("column_name", "rank", "value")
 
 
 def exact_quantiles(
@@ -185,17 +236,25 @@ def exact_quantiles(
 ) -> DataFrame:
     """column_name, probability, quantile; linear interpolation, NULL and NaN left out.
 
-    A column without values gets no rows. Runs one scan to size the work, two more per
-    narrowing pass (each keeps about one row in a hundred) and one for the result.
+    A column without values gets no rows. Small tables take one scan for the row counts
+    and one for the result; each narrowing pass adds two and keeps about one row in a
+    hundred.
     """
-    spark, df, names = df.sparkSession, normalise(df), list(columns)
+    spark, names = df.sparkSession, list(columns)
     schema = "column_name string, probability double, quantile double"
     if not names:
         return spark.createDataFrame([], schema)
-    size = df.agg(
-        *[F.count(_number(n)).alias(f"n{i}") for i, n in enumerate(names)],
-        *[F.approx_count_distinct(_number(n)).alias(f"d{i}") for i, n in enumerate(names)],
+    clean = normalise(df)
+    size = clean.selectExpr(
+        *[f"count({quoted(n)}) AS n{i}" for i, n in enumerate(names)]
     ).first()
+    large = [n for i, n in enumerate(names) if size[f"n{i}"] > max_rows]
+    distinct = dict.fromkeys(names, 0)
+    if large:
+        row = clean.selectExpr(
+            *[f"approx_count_distinct({quoted(n)})" for n in large]
+        ).first()
+        distinct |= dict(zip(large, row))
 
     targets: dict[tuple[str, int], _Target] = {}
     parts: list[tuple[str, float, int, int, float]] = []
@@ -210,7 +269,7 @@ def exact_quantiles(
             parts.append((name, float(p), lower, upper, position - lower))
             for rank in (lower, upper):
                 targets[name, rank] = _Target(
-                    name, rank, inside=rows, distinct=size[f"d{i}"]
+                    name, rank, inside=rows, distinct=distinct[name]
                 )
     if not parts:
         return spark.createDataFrame([], schema)

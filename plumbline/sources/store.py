@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import datetime
 import uuid
-from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +60,18 @@ TABLES = {
 }
 
 
+# The characters Spark itself escapes in partition folder names.
+ESCAPED = set("\"#%'*/:=?\\\x7f{[]^")
+
+
+def folder_name(value: str) -> str:
+    if not value:
+        raise ValueError("dataset names and run ids must not be empty")
+    return "".join(
+        f"%{ord(c):02X}" if c in ESCAPED or ord(c) < 32 else c for c in value
+    )
+
+
 def new_run_id() -> str:
     return str(uuid.uuid4())
 
@@ -154,15 +165,21 @@ class RunStore:
         self, table: str, rows: DataFrame, dataset_name: str, run_id: str
     ) -> None:
         """Write the rows of one run, replacing what that run wrote before."""
-        folder = "/".join(
-            [
-                self.table_path(table),
-                f"dataset_name={quote(dataset_name, safe='')}",
-                f"run_id={quote(run_id, safe='')}",
-            ]
+        folder = (
+            f"{self.table_path(table)}/dataset_name={folder_name(dataset_name)}"
+            f"/run_id={folder_name(run_id)}"
         )
         rows.drop(*PARTITIONS).coalesce(1).write.mode("overwrite").parquet(folder)
 
+    def append(self, table: str, rows: DataFrame) -> None:
+        """Add rows of any runs to what is there."""
+        (
+            rows.coalesce(1)
+            .write.mode("append")
+            .partitionBy(*PARTITIONS)
+            .parquet(self.table_path(table))
+        )
+
     def save_results(
         self,
         results: DataFrame,

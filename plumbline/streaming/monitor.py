@@ -81,8 +81,6 @@ def run_cycle(
     The data is scanned once for the fused checks, once per small batch of exactly
     counted columns and once for the anomalies.
     """
-    if not dataset_name:
-        raise ValueError("a run needs a dataset name")
     run_id = run_id or new_run_id()
     timestamp = timestamp or datetime.datetime.now()
     limits = limits or config.thresholds.limits()
