@@ -112,7 +112,7 @@ class QualityEngine:
             return SuiteRun(results)
         run_id, timestamp = new_run_id(), timestamp or datetime.datetime.now()
         self.store.save_results(results, dataset_name, run_id, timestamp)
-        saved = self.get_run_metrics(run_id)
+        saved = self.store.read_run("check_results", dataset_name, run_id)
         record = suite.run_record(
             saved,
             dataset_name,

@@ -17,7 +17,7 @@ from plumbline.functions import (
     numeric_columns,
     quoted,
 )
-from plumbline.operators.checks import distinct, nulls, total
+from plumbline.operators.checks import countable, distinct, nulls, total
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.plans import Finding, Measures, findings_frame
 from plumbline.plans.measures import DISTINCT_BATCH
@@ -35,8 +35,9 @@ def profile_findings(df: DataFrame, m: Measures) -> list[Finding]:
         metrics = {
             "total_count": total(m),
             "null_count": nulls(m, name),
-            "distinct_count": distinct(m, df, name),
         }
+        if countable(field.dataType):
+            metrics["distinct_count"] = distinct(m, df, name)
         if is_numeric(field.dataType):
             x = _double(name)
             metrics["min"] = m.stat(name, f"min({x})")

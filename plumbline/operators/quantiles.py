@@ -89,11 +89,14 @@ def _candidates(df: DataFrame, intervals: Sequence[Interval]) -> DataFrame:
     The filter comes before NaN is replaced, on the columns of the source, which can
     then skip row groups. NaN is never inside an interval with an upper end.
     """
-    inside = " OR ".join(dict.fromkeys(_within(*i) for i in intervals))
-    return normalise(df.filter(inside)).selectExpr(
+    open_ended = any(low is None and high is None for _, low, high in intervals)
+    if not open_ended:
+        df = df.filter(" OR ".join(dict.fromkeys(_within(*i) for i in intervals)))
+    return normalise(df).selectExpr(
         *[
-            f"if({_within(*interval)}, {_double(interval[0])}, CAST(NULL AS DOUBLE)) "
-            f"AS i{i}"
+            f"{_double(interval[0])} AS i{i}"
+            if interval[1:] == (None, None)
+            else f"if({_within(*interval)}, {_double(interval[0])}, NULL) AS i{i}"
             for i, interval in enumerate(intervals)
         ]
     )

@@ -86,17 +86,30 @@ class RunStore:
     def table_path(self, table: str) -> str:
         return f"{self.path}/{table}"
 
+    def run_path(self, table: str, dataset_name: str, run_id: str) -> str:
+        return (
+            f"{self.table_path(table)}/dataset_name={folder_name(dataset_name)}"
+            f"/run_id={folder_name(run_id)}"
+        )
+
     # ------------------------------------------------------------ reading
 
     def read(self, table: str) -> DataFrame:
         """A table; empty if nothing was written yet."""
-        schema = TABLES[table]
+        return self._read(table, self.table_path(table))
+
+    def read_run(self, table: str, dataset_name: str, run_id: str) -> DataFrame:
+        """One run's rows, without listing the folders of other runs."""
+        return self._read(table, self.run_path(table, dataset_name, run_id))
+
+    def _read(self, table: str, path: str) -> DataFrame:
+        reader = self.spark.read.schema(TABLES[table])
         try:
-            return self.spark.read.schema(schema).parquet(self.table_path(table))
+            return reader.option("basePath", self.table_path(table)).parquet(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], TABLES[table])
 
     def runs(self) -> DataFrame:
         return self.read("runs")
@@ -165,10 +178,7 @@ class RunStore:
         self, table: str, rows: DataFrame, dataset_name: str, run_id: str
     ) -> None:
         """Write the rows of one run, replacing what that run wrote before."""
-        folder = (
-            f"{self.table_path(table)}/dataset_name={folder_name(dataset_name)}"
-            f"/run_id={folder_name(run_id)}"
-        )
+        folder = self.run_path(table, dataset_name, run_id)
         rows.drop(*PARTITIONS).coalesce(1).write.mode("overwrite").parquet(folder)
 
     def append(self, table: str, rows: DataFrame) -> None:

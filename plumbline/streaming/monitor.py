@@ -58,12 +58,6 @@ def stored_bands(results: DataFrame, threshold: float) -> dict[str, Band]:
     return {r.column_name: Band(r.mean, r.std, threshold) for r in rows}
 
 
-def _of_run(table: DataFrame, dataset_name: str, run_id: str) -> DataFrame:
-    return table.filter(
-        (F.col("dataset_name") == dataset_name) & (F.col("run_id") == run_id)
-    )
-
-
 def run_cycle(
     df: DataFrame,
     dataset_name: str,
@@ -87,11 +81,11 @@ def run_cycle(
 
     results = run_suite(df, limits=limits, profile=True, **suite_options)
     store.save_results(results, dataset_name, run_id, timestamp)
-    results = _of_run(store.read("check_results"), dataset_name, run_id)
+    results = store.read_run("check_results", dataset_name, run_id)
 
     counts = anomaly_counts(df, stored_bands(results, anomaly_threshold))
     store.save_anomalies(counts, dataset_name, run_id, timestamp)
-    counts = _of_run(store.read("anomalies"), dataset_name, run_id)
+    counts = store.read_run("anomalies", dataset_name, run_id)
 
     record = run_record(
         results, dataset_name, run_id, timestamp, store.table_path("check_results")
@@ -101,7 +95,7 @@ def run_cycle(
         anomaly_alerts(counts, config.thresholds),
     )
     store.write("alerts", alerts, dataset_name, run_id)
-    alerts = _of_run(store.alerts(), dataset_name, run_id)
+    alerts = store.read_run("alerts", dataset_name, run_id)
     if config.channels():
         store.write("outbox", outbox(alerts, config), dataset_name, run_id)
     store.write("runs", record, dataset_name, run_id)

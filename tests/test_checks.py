@@ -310,3 +310,24 @@ def test_more_columns_than_one_aggregate_takes(spark):
     rows = results.filter("check_type = 'completeness'").collect()
     assert len(rows) == 150
     assert {r.metrics["total_count"] for r in rows} == {10.0}
+
+
+def test_columns_that_cannot_be_compared(spark):
+    df = spark.sql("SELECT array(map('a', 1)) AS x, parse_json('1') AS v, 1 AS y")
+    results = S.run_suite(df)
+    status = {
+        r.column_name: r.status
+        for r in results.filter("check_type = 'uniqueness'").collect()
+    }
+    assert status == {"x": "Error", "v": "Error", "y": "Success"}
+    profile = by(results.filter("check_type = 'data_profile'"))
+    assert "distinct_count" not in profile["v"].metrics
+    assert profile["x"].metrics["null_count"] == 0
+
+
+def test_long_texts_are_counted_whole(spark):
+    # equal for a thousand characters, and a text that spells out another's digest
+    digest = "#" + __import__("hashlib").sha256(("x" * 1000).encode()).hexdigest()
+    texts = ["x" * 1000, "x" * 1000 + "a", "x" * 1000 + "b", "x" * 1000, digest, digest[1:]]
+    row = C.uniqueness(column(spark, texts, "string")).first()
+    assert row.distinct_count == 5

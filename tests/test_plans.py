@@ -44,10 +44,11 @@ def test_only_the_columns_asked_for_are_read(spark, folder):
     assert schemas == ["", "l_orderkey:bigint", "l_tax:double"]
 
 
-def test_results_of_unused_checks_are_not_computed(spark, folder):
+def test_unused_checks_are_not_computed(spark, folder):
     results = S.run_suite(customer_f(spark, folder))
-    text = plan(results.filter("check_type = 'completeness'"))
-    assert "FileScan" in text
+    assert "Expand" in plan(results)
+    text = plan(C.completeness(customer_f(spark, folder)))
+    assert "Expand" not in text and "stddev" not in text
 
 
 def test_anomaly_bounds_reach_the_scan(spark, folder):
