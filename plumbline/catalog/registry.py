@@ -62,9 +62,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def texted(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns(
-        {n: F.date_format(F.col(n), "yyyy-MM-dd HH:mm:ss") for n in names}
-    )
+    return df.withColumns({name: R.to_seconds(name) for name in names})
 
 
 def without_error(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ task before the shuffle, so one dataset holding most runs does not gather in one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,15 @@ def dataset_names(runs: DataFrame) -> DataFrame:
     return runs.select("dataset_name").distinct()
 
 
+def to_seconds(name: str) -> Column:
+    """A timestamp as ``yyyy-MM-dd HH:mm:ss``.
+
+    ``date_format`` would read a timestamp without time zone as local time and move the
+    hour that daylight saving skips.
+    """
+    return F.substring(F.col(name).cast("string"), 1, 19).alias(name)
+
+
 def run_table(runs: DataFrame, dataset_name: str | None = None) -> DataFrame:
     """Runs for display: timestamp as text, score to two decimals (ties to even)."""
     if dataset_name:
@@ -68,7 +77,7 @@ def run_table(runs: DataFrame, dataset_name: str | None = None) -> DataFrame:
     return runs.select(
         "run_id",
         "dataset_name",
-        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+        to_seconds("timestamp"),
         (F.rint(F.col("quality_score") * 100) / 100).alias("quality_score"),
         "rows",
         "columns",
