@@ -533,6 +533,40 @@ OUTBOX_ALERTS = f"""
   SELECT type, severity, message, CASE WHEN type = 'too_short' THEN 'webhook' END
   FROM ({RULE_HITS})"""
 
+# ------------------------------------------------------------------ windows
+
+
+def windows(where: str = "true") -> str:
+    """Hourly quality of two event columns, for the hours that satisfy ``where``."""
+    return union(
+        f"""SELECT {stamp("hour")} AS window_start,
+              {stamp("hour + to_hours(1)")} AS window_end,
+              '{c}' AS column_name, count(*) AS total_count,
+              count(*) - count({c}) AS null_count,
+              round(count({c}) / CAST(count(*) AS DOUBLE), 6) AS completeness_ratio,
+              {negative} AS negative_count, {huge} AS outlier_count,
+              {status(passed)} AS status
+            FROM (SELECT *, date_trunc('hour', ts) AS hour FROM events_f)
+            WHERE {where} GROUP BY hour"""
+        for c, negative, huge, passed in (
+            (
+                "value",
+                "count(*) FILTER (WHERE value < 0)",
+                "count(*) FILTER (WHERE value > 1e10)",
+                "count(value) >= 0.95 * count(*) "
+                "AND count(*) FILTER (WHERE value < 0) = 0 "
+                "AND count(*) FILTER (WHERE value > 1e10) = 0",
+            ),
+            (
+                "event_type",
+                "CAST(NULL AS BIGINT)",
+                "CAST(NULL AS BIGINT)",
+                "count(event_type) >= 0.95 * count(*)",
+            ),
+        )
+    )
+
+
 # ------------------------------------------------------------------ queries
 
 ORACLE: dict[str, str] = {
@@ -848,33 +882,11 @@ ORACLE: dict[str, str] = {
             FROM ({OUTBOX_ALERTS}), (VALUES ('email'), ('webhook')) AS routes(channel)
             WHERE route_to IS NULL OR route_to = channel""",
     ),
-    "windowed_quality": over(
+    "windowed_quality": over(EVENTS_F, windows()),
+    "streamed_windows": over(
         EVENTS_F,
-        union(
-            f"""SELECT {stamp("date_trunc('hour', ts)")} AS window_start,
-                  {stamp("date_trunc('hour', ts) + to_hours(1)")} AS window_end,
-                  '{c}' AS column_name, count(*) AS total_count,
-                  count(*) - count({c}) AS null_count,
-                  round(count({c}) / CAST(count(*) AS DOUBLE), 6) AS completeness_ratio,
-                  {negative} AS negative_count, {huge} AS outlier_count,
-                  {status(passed)} AS status
-                FROM events_f GROUP BY date_trunc('hour', ts)"""
-            for c, negative, huge, passed in (
-                (
-                    "value",
-                    "count(*) FILTER (WHERE value < 0)",
-                    "count(*) FILTER (WHERE value > 1e10)",
-                    "count(value) >= 0.95 * count(*) "
-                    "AND count(*) FILTER (WHERE value < 0) = 0 "
-                    "AND count(*) FILTER (WHERE value > 1e10) = 0",
-                ),
-                (
-                    "event_type",
-                    "CAST(NULL AS BIGINT)",
-                    "CAST(NULL AS BIGINT)",
-                    "count(event_type) >= 0.95 * count(*)",
-                ),
-            )
+        windows(
+            "hour + to_hours(1) <= (SELECT max(ts) FROM events_f) - to_hours(1)"
         ),
     ),
     "monitor_cycle": over(
@@ -887,3 +899,20 @@ ORACLE: dict[str, str] = {
         ),
     ),
 }
+
+# The stored, exported and streamed forms hold what the plain ones compute.
+_RUN = f"""'customer' AS dataset_name, (SELECT count(*) FROM customer) AS rows,
+  5 AS columns, round({score_of('results')}, 6) AS quality_score"""
+ORACLE["saved_run"] = over(CUSTOMER_RESULTS, f"SELECT {_RUN}, 'completed' AS status")
+ORACLE["saved_metrics"] = ORACLE["suite_results"]
+ORACLE["exported_metrics"] = over(
+    CUSTOMER_RESULTS,
+    f"""SELECT {_RUN}, check_type, "constraint", status FROM results
+        UNION ALL
+        SELECT {_RUN}, 'dataset_info', 'Dataset info', NULL""",
+)
+ORACLE["streamed_cycle"] = over(
+    [*EVENTS_RESULTS, *bands(("event_id", "user_id", "value"), 1.0)[1:]],
+    f"""SELECT * EXCLUDE (run_id, timestamp) FROM ({union(
+        [*suite_alerts(100.0, run="''", dataset="'events'"), ANOMALY_ALERTS])})""",
+)

@@ -6,12 +6,21 @@ another engine; the operators return full values.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.catalog.views import customer_f, events_f, mail_f, runs_f, table
+from plumbline.catalog.views import (
+    customer_f,
+    events_f,
+    events_f_stream,
+    mail_f,
+    runs_f,
+    table,
+)
+from plumbline.engine import QualityEngine
 from plumbline.operators import alerts as A
 from plumbline.operators import anomalies as Z
 from plumbline.operators import checks as C
@@ -20,8 +29,9 @@ from plumbline.operators import issues as I
 from plumbline.operators import profile as P
 from plumbline.operators import runs as R
 from plumbline.operators import suite as S
-from plumbline.sources.pinning import pin
-from plumbline.streaming.windows import quality_by_window
+from plumbline.sources.pinning import checkpoint_folder, pin
+from plumbline.sources.store import RunStore
+from plumbline.streaming import quality_by_window, start_monitoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -478,3 +488,105 @@ def monitor_cycle(spark, folder):
             event_anomaly_alerts(spark, folder),
         )
     )
+
+
+# ------------------------------------------------------------------ stores, streams
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of this call's own, next to the checkpoints."""
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4()}"
+
+
+def saved_customer_run(spark, folder) -> tuple[QualityEngine, str]:
+    engine = QualityEngine(spark, new_folder(spark))
+    run = engine.run_comprehensive_quality_check(
+        customer_f(spark, folder),
+        CUSTOMER_RANGES,
+        CUSTOMER_PATTERNS,
+        dataset_name="customer",
+        profile=False,
+    )
+    return engine, run.run_id
+
+
+@query
+def saved_run(spark, folder):
+    """The history after one stored run; its id and time differ from call to call."""
+    engine, _ = saved_customer_run(spark, folder)
+    history = engine.get_run_history("customer", limit=10)
+    return rounded(
+        history.select("dataset_name", "quality_score", "rows", "columns", "status")
+    )
+
+
+@query
+def saved_metrics(spark, folder):
+    """Results read back from the store by run id."""
+    engine, run_id = saved_customer_run(spark, folder)
+    return rounded(S.suite_metrics(engine.get_run_metrics(run_id)))
+
+
+@query
+def exported_metrics(spark, folder):
+    """The exported JSON document, taken apart again."""
+    engine, run_id = saved_customer_run(spark, folder)
+    path = new_folder(spark)
+    engine.download_metrics_json(run_id, path)
+    schema = (
+        "dataset_name string, metrics struct<dataset_info: struct<rows: bigint, "
+        "columns: int>, overall_quality_score: double, quality_checks: "
+        "array<struct<check_type: string, constraint: string, status: string>>>"
+    )
+    document = spark.read.schema(schema).json(path)
+    return rounded(
+        document.select(
+            "dataset_name",
+            "metrics.dataset_info.rows",
+            "metrics.dataset_info.columns",
+            F.col("metrics.overall_quality_score").alias("quality_score"),
+            F.inline("metrics.quality_checks"),
+        )
+    )
+
+
+@query
+def streamed_cycle(spark, folder):
+    """The alerts of a monitoring cycle run on a stream of the events."""
+    path = new_folder(spark)
+    store = RunStore(spark, f"{path}/store")
+    start_monitoring(
+        events_f_stream(spark, folder),
+        "events",
+        store,
+        A.AlertConfig(thresholds=A.Thresholds(100.0)),
+        checkpoint=f"{path}/checkpoint",
+        available_now=True,
+        anomaly_threshold=1.0,
+    ).awaitTermination()
+    alerts = store.alerts().select(*ALERT_COLUMNS)
+    return rounded(alerts.drop("run_id", "timestamp"))
+
+
+@query
+def streamed_windows(spark, folder):
+    """Quality per hour on a stream, written once the watermark has closed the hour."""
+    path = new_folder(spark)
+    quality = quality_by_window(
+        events_f_stream(spark, folder),
+        "ts",
+        "1 hour",
+        ["value", "event_type"],
+        watermark="1 hour",
+    )
+    (
+        quality.writeStream.format("parquet")
+        .option("path", f"{path}/windows")
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    windows = spark.read.schema(quality.schema).parquet(f"{path}/windows")
+    return texted(rounded(windows), "window_start", "window_end")

@@ -51,13 +51,26 @@ def mail_f(spark: SparkSession, folder: str) -> DataFrame:
 
 def events_f(spark: SparkSession, folder: str) -> DataFrame:
     """Some events twice, some without a value."""
+    return faulted_events(table(spark, folder, "events"))
+
+
+def events_f_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as a stream."""
+    events = (
+        spark.readStream.schema(table(spark, folder, "events").schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(folder)
+    )
+    return faulted_events(events)
+
+
+def faulted_events(events: DataFrame) -> DataFrame:
     key = F.col("event_id")
     copies = F.when(key % 50 == 0, F.array(F.lit(1), F.lit(2))).otherwise(
         F.array(F.lit(1))
     )
     return (
-        table(spark, folder, "events")
-        .withColumn("value", F.when(key % 20 != 3, F.col("value")))
+        events.withColumn("value", F.when(key % 20 != 3, F.col("value")))
         .withColumn("copy", F.explode(copies))
         .drop("copy")
     )

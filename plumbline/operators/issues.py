@@ -45,7 +45,9 @@ def total_missing(df: DataFrame) -> DataFrame:
     """One row: missing cells over all columns."""
     df, m = normalise(df), Measures()
     counts = [nulls(m, name) for name in df.columns]
-    return m.frame(df).selectExpr(f"{' + '.join(counts)} AS missing_cells")
+    return m.frame(df).selectExpr(
+        f"CAST({' + '.join(counts) or 0} AS BIGINT) AS missing_cells"
+    )
 
 
 def issue_summary(df: DataFrame) -> DataFrame:
@@ -56,11 +58,12 @@ def issue_summary(df: DataFrame) -> DataFrame:
     for name in frame.columns:
         missing = nulls(m, name)
         entries.append(
-            f"named_struct('column_name', {text(name)}, 'missing_count', {missing}, "
+            f"named_struct('column_name', {text(name)}, "
+            f"'missing_count', CAST({missing} AS BIGINT), "
             f"'missing_percentage', {ratio(missing, n)} * 100)"
         )
     facts = m.frame(frame).selectExpr(
-        f"{n} AS total_rows",
+        f"CAST({n} AS BIGINT) AS total_rows",
         f"filter(array({', '.join(entries)}), e -> e.missing_count > 0) "
         "AS missing_values",
     )

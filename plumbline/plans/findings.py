@@ -16,7 +16,7 @@ ERROR = "Error"
 
 @dataclass(frozen=True)
 class Finding:
-    """One result row, as SQL text over the columns of ``Measures.frame``.
+    """One result row, as SQL text over the row of ``Measures.frame``.
 
     ``passed`` None means the row carries information only (profile, suggestion) and has
     no status. ``error`` set means the check could not be run on this column.
@@ -69,7 +69,11 @@ def findings_frame(
         measures.frame(df, distinct_batch) if len(measures) else df.sparkSession.range(1)
     )
     structs = ", ".join(finding.struct() for finding in findings)
-    return source.selectExpr(f"inline(array({structs}))")
+    # A lambda keeps Spark from compiling this expression. It is evaluated on one row and,
+    # for a wide table, has thousands of parts; compiling would take longer than the scan.
+    return source.selectExpr(
+        f"inline(filter(array({structs}), f -> f.check_type IS NOT NULL))"
+    )
 
 
 FINDINGS_SCHEMA = (

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
-def checkpoint_folder(df: DataFrame) -> str:
+def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only in local mode."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get(CHECKPOINT_SETTING, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_SETTING, None)
     folder = folder or context.getCheckpointDir()
     if folder:
         return folder
@@ -25,5 +25,5 @@ def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it from there from now on."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_folder(df))
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()

@@ -123,7 +123,7 @@ def start_monitoring(
     """
     rules = tuple(rules)
     if checkpoint is None:
-        checkpoint = f"{checkpoint_folder(stream)}/monitoring/{dataset_name}"
+        checkpoint = f"{checkpoint_folder(stream.sparkSession)}/monitoring/{dataset_name}"
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
         # Read from the source once: a cycle passes over its data several times.
