@@ -657,6 +657,18 @@ ORACLE: dict[str, str] = {
                               / count(*)) AS success_rate
            FROM results GROUP BY results.check_type""",
     ),
+    "status_by_check": over(
+        CUSTOMER_RESULTS,
+        f"""SELECT check_type, status, count(*) AS results FROM (
+              SELECT check_type, status FROM results
+              UNION ALL SELECT 'range_check', 'Error' FROM range(2)
+              UNION ALL SELECT 'pattern_check', 'Error'
+              UNION ALL SELECT 'dataset_info', NULL
+              UNION ALL SELECT 'data_profile', NULL FROM range({len(CUSTOMER)})
+              UNION ALL SELECT 'constraint_suggestions', NULL
+                        FROM range({len(CUSTOMER)}))
+            GROUP BY check_type, status""",
+    ),
     "dataset_info": "SELECT count(*) AS rows, 6 AS columns FROM orders",
     "missing_by_column": over(
         CUSTOMER_F,

@@ -191,6 +191,19 @@ def check_type_summary(spark, folder):
     return S.check_type_summary(customer_suite(spark, folder, profile=False))
 
 
+@query
+def status_by_check(spark, folder):
+    """Results per check type and status, some checks being impossible to run."""
+    results = S.run_suite(
+        customer_f(spark, folder),
+        CUSTOMER_RANGES | {"nowhere": {"min": 0}, "c_name": {"max": 1}},
+        CUSTOMER_PATTERNS | {"c_custkey": "^1"},
+    )
+    return results.groupBy("check_type", "status").agg(
+        F.count(F.lit(1)).alias("results")
+    )
+
+
 @query
 def dataset_info(spark, folder):
     return S.dataset_info(table(spark, folder, "orders"))

@@ -17,8 +17,10 @@ from plumbline.functions.predicates import (
     EMAIL_PATTERN,
     SPAM_KEYWORDS,
     bad_email,
+    longer_than,
     looks_like_spam,
     outside,
+    shorter_than,
 )
 
 __all__ = [
@@ -29,6 +31,7 @@ __all__ = [
     "fixed",
     "is_numeric",
     "is_text",
+    "longer_than",
     "looks_like_spam",
     "normalise",
     "number",
@@ -36,6 +39,7 @@ __all__ = [
     "outside",
     "quoted",
     "ratio",
+    "shorter_than",
     "text",
     "text_columns",
 ]

@@ -27,7 +27,9 @@ def text(value: str | None) -> str:
     """A string literal in SQL text."""
     if value is None:
         return "CAST(NULL AS STRING)"
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    # ${...} would be taken for a configuration variable
+    return "'" + escaped.replace("${", "\\u0024{") + "'"
 
 
 def number(value: float | None) -> str:

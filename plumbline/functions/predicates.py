@@ -22,3 +22,24 @@ def looks_like_spam(c: str) -> str:
 def outside(c: str, low: float, high: float) -> str:
     """True strictly outside [low, high]; NULL is not outside."""
     return f"({c} < {number(low)} OR {c} > {number(high)})"
+
+
+def shorter_than(c: str, characters: int) -> str:
+    """True below this many characters; NULL for a missing or a longer text.
+
+    Counting characters walks through the whole text. Its length in bytes is known, and
+    a character takes one to four of them, so most texts need no counting. The branches
+    of CASE keep the count from being pulled out and done for every row.
+    """
+    return (
+        f"CASE WHEN octet_length({c}) < {4 * characters} "
+        f"THEN length({c}) < {characters} END"
+    )
+
+
+def longer_than(c: str, characters: int) -> str:
+    """True above this many characters; NULL for a missing or a shorter text."""
+    return (
+        f"CASE WHEN octet_length({c}) > {4 * characters} THEN true "
+        f"WHEN octet_length({c}) > {characters} THEN length({c}) > {characters} END"
+    )

@@ -19,6 +19,14 @@ from plumbline.operators.checks import Limits
 from plumbline.plans.findings import ERROR, FAILURE
 from plumbline.sources.store import ALERT_FIELDS
 
+# The wording of alerts; {} stands for the measured text.
+LOW_SCORE = "Data quality score ({}%) is below threshold ({}%)"
+FAILED_COMPLETENESS = "Completeness check failed for column: {}"
+FAILED_UNIQUENESS = "Uniqueness check failed for column: {}"
+MANY_ANOMALIES = "High anomaly percentage ({}%) detected in column: {}"
+CHECK_ERROR = "Error in quality threshold checking: {}"
+MESSAGE_SUBJECT = "Data Quality Alert: {}"
+
 # ---------------------------------------------------------------- configuration
 
 
@@ -121,6 +129,13 @@ class AlertRule:
 # ---------------------------------------------------------------- deriving alerts
 
 
+def worded(template: str, *parts: Column) -> Column:
+    """The template with its gaps filled."""
+    texts = [F.lit(piece) for piece in template.split("{}")]
+    filled = [c for pair in zip(texts, parts) for c in pair]
+    return F.concat(*filled, *texts[len(parts) :])
+
+
 def _alerts(rows: DataFrame, **fields: Column) -> DataFrame:
     """Alert rows of the common layout; fields not given are NULL."""
     fields = {name: F.col(name) for name in ("run_id", "dataset_name")} | fields
@@ -143,37 +158,30 @@ def score_alerts(runs: DataFrame, thresholds: Thresholds = Thresholds()) -> Data
         runs.filter(score < least),
         type=F.lit("quality_score_low"),
         severity=F.lit("high"),
-        message=F.concat(
-            F.lit("Data quality score ("),
-            fixed(score, 2),
-            F.lit(f"%) is below threshold ({least}%)"),
-        ),
+        message=worded(LOW_SCORE, fixed(score, 2), F.lit(str(least))),
         value=score,
         threshold=F.lit(least),
     )
 
 
-def _failures(results: DataFrame, check_type: str) -> DataFrame:
+def _failures(results: DataFrame, check_type: str, wording: str) -> DataFrame:
     return _alerts(
         results.filter(
             (F.col("check_type") == check_type) & (F.col("status") == FAILURE)
         ),
         type=F.lit(f"{check_type}_failure"),
         severity=F.lit("medium"),
-        message=F.concat(
-            F.lit(f"{check_type.capitalize()} check failed for column: "),
-            F.col("constraint"),
-        ),
+        message=worded(wording, F.col("constraint")),
         column_name=F.col("column_name"),
     )
 
 
 def completeness_alerts(results: DataFrame) -> DataFrame:
-    return _failures(results, "completeness")
+    return _failures(results, "completeness", FAILED_COMPLETENESS)
 
 
 def uniqueness_alerts(results: DataFrame) -> DataFrame:
-    return _failures(results, "uniqueness")
+    return _failures(results, "uniqueness", FAILED_UNIQUENESS)
 
 
 def system_alerts(results: DataFrame) -> DataFrame:
@@ -182,9 +190,7 @@ def system_alerts(results: DataFrame) -> DataFrame:
         results.filter(F.col("status") == ERROR),
         type=F.lit("system_error"),
         severity=F.lit("high"),
-        message=F.concat(
-            F.lit("Error in quality threshold checking: "), F.col("params")["error"]
-        ),
+        message=worded(CHECK_ERROR, F.col("params")["error"]),
         column_name=F.col("column_name"),
     )
 
@@ -199,12 +205,7 @@ def anomaly_alerts(
         counts.filter(share > most),
         type=F.lit("anomaly_detected"),
         severity=F.lit("high"),
-        message=F.concat(
-            F.lit("High anomaly percentage ("),
-            fixed(share, 2),
-            F.lit("%) detected in column: "),
-            F.col("column_name"),
-        ),
+        message=worded(MANY_ANOMALIES, fixed(share, 2), F.col("column_name")),
         column_name=F.col("column_name"),
         anomaly_percentage=share,
         anomaly_count=F.col("anomaly_count"),
@@ -341,7 +342,7 @@ def outbox(alerts: DataFrame, config: AlertConfig) -> DataFrame:
     )
     return routed.select(
         "*",
-        F.concat(F.lit("Data Quality Alert: "), F.col("type")).alias("subject"),
+        worded(MESSAGE_SUBJECT, F.col("type")).alias("subject"),
         F.concat_ws(
             "\n",
             F.lit("Data Quality Alert"),

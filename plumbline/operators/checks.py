@@ -24,6 +24,7 @@ from plumbline.functions import (
     col,
     is_numeric,
     is_text,
+    longer_than,
     looks_like_spam,
     normalise,
     number,
@@ -31,6 +32,7 @@ from plumbline.functions import (
     outside,
     quoted,
     ratio,
+    shorter_than,
     text,
     text_columns,
 )
@@ -284,7 +286,8 @@ def range_findings(
 def _pattern_problem(spark: SparkSession, pattern: str) -> str | None:
     """A pattern that does not compile must not take the other checks down with it."""
     try:
-        spark.range(1).select(F.lit("").rlike(pattern)).collect()
+        # on literal rows this is evaluated while planning, without a job
+        spark.sql(f"SELECT col1 RLIKE {text(pattern)} FROM VALUES ('x')").collect()
     except PySparkException as error:
         return f"pattern {pattern!r} is not valid: {type(error).__name__}"
     return None
@@ -335,12 +338,12 @@ def text_findings(
         if problem := _problem(df, name, is_text, "string"):
             out.append(Finding("text_quality", name, label, error=problem))
             continue
-        n, size = total(m), f"length({quoted(name)})"
+        n, value = total(m), quoted(name)
         counts = {
             "null": nulls(m, name),
-            "empty": m.count_if(name, f"{size} = 0"),
-            "short": m.count_if(name, f"{size} < {limits.short_chars}"),
-            "long": m.count_if(name, f"{size} > {limits.long_chars}"),
+            "empty": m.count_if(name, f"octet_length({value}) = 0"),
+            "short": m.count_if(name, shorter_than(value, limits.short_chars)),
+            "long": m.count_if(name, longer_than(value, limits.long_chars)),
         }
         allowed = {
             "null": limits.null_text_max,

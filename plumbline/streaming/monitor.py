@@ -112,11 +112,15 @@ def start_monitoring(
     rules: Iterable[AlertRule] = (),
     checkpoint: str | None = None,
     available_now: bool = False,
+    source: Callable[[], DataFrame] | None = None,
     on_cycle: Callable[[Cycle], None] | None = None,
     **cycle_options: Any,
 ) -> StreamingQuery:
     """Run a cycle on every micro-batch of ``stream``, at once and then at the interval.
 
+    With ``source`` a cycle checks the whole table it returns, as it stands when the batch
+    arrives; the stream then only says when. Without it the batch itself is checked.
+
     The run id is made from the dataset and the batch number, and a run overwrites its
     own partitions, so a batch replayed after a failure leaves one set of results. A
     failing cycle fails the query; restarting it repeats that batch.
@@ -126,20 +130,21 @@ def start_monitoring(
         checkpoint = f"{checkpoint_folder(stream.sparkSession)}/monitoring/{dataset_name}"
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
-        # Read from the source once: a cycle passes over its data several times.
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        # A cycle passes over its data several times; a batch is read from its source once.
+        data = batch.persist(StorageLevel.MEMORY_AND_DISK) if source is None else source()
         try:
             done = run_cycle(
-                batch,
+                data,
                 dataset_name,
-                RunStore(batch.sparkSession, store.path),
+                RunStore(data.sparkSession, store.path),
                 config,
                 rules,
                 run_id=f"{dataset_name}-{batch_id:010d}",
                 **cycle_options,
             )
         finally:
-            batch.unpersist()
+            if source is None:
+                data.unpersist()
         if on_cycle is not None:
             on_cycle(done)
 

@@ -178,6 +178,23 @@ def test_pattern_really_matches(spark):
     assert (row.violations, row.status, row.pattern) == (1, "Failure", r"^[a-z]\d+$")
 
 
+@pytest.mark.parametrize(
+    "pattern, value",
+    [
+        (r"^\\$", "\\"),
+        ("^it's$", "it's"),
+        (r"^\$\{x\}$", "${x}"),
+        ("[$]{1}", "$"),
+        ("^a${1}", "a"),
+        ('^"q"\n$', '"q"\n'),
+        (r"^\t\d{2,}$", "\t12"),
+    ],
+)
+def test_patterns_reach_spark_unchanged(spark, pattern, value):
+    row = C.pattern_check(column(spark, [value], "string"), {"c": pattern}).first()
+    assert (row.violations, row.pattern) == (0, pattern)
+
+
 @pytest.mark.parametrize(
     "values, counts, status",
     [
@@ -191,6 +208,10 @@ def test_pattern_really_matches(spark):
         ([None] * 2 + ["x" * 10] * 8, (2, 0, 0, 0), "Failure"),
         ([""] + ["x" * 10] * 19, (0, 1, 1, 0), "Success"),
         ([""] + ["x" * 10] * 18, (0, 1, 1, 0), "Failure"),
+        # characters count, not bytes: of two, three and four bytes each
+        (["é" * 9, "é" * 10, "漢" * 9, "漢" * 10, "😀" * 9, "😀" * 10], (0, 0, 3, 0), "Failure"),
+        (["é" * 1000, "漢" * 1000, "😀" * 1000], (0, 0, 0, 0), "Success"),
+        (["é" * 1001, "漢" * 1001, "😀" * 1001, "x" * 4001], (0, 0, 0, 4), "Failure"),
     ],
 )
 def test_text_quality(spark, values, counts, status):

@@ -8,6 +8,8 @@ from plumbline.catalog import QUERIES
 from plumbline.catalog.views import customer_f, runs_f
 from plumbline.operators import anomalies as Z
 from plumbline.operators import checks as C
+from plumbline.operators import duplicates as D
+from plumbline.operators import profile as P
 from plumbline.operators import runs as R
 from plumbline.operators import suite as S
 
@@ -32,7 +34,20 @@ def test_one_scan_for_all_plain_checks(spark, folder):
     assert len(scans(plan(C.completeness(lineitem)))) == 1
     # the suite: one fused scan, and one per four columns counted exactly
     assert len(scans(plan(S.run_suite(lineitem)))) == 1 + 3
-    assert len(scans(plan(S.run_suite(lineitem, approx_distinct_error=0.05)))) == 1
+
+
+def test_a_wide_suite_reads_each_column_once_per_kind_of_scan(spark, folder):
+    lineitem = spark.read.parquet(f"{folder}/lineitem.parquet")
+    wide = lineitem.selectExpr("*", *[f"{c} AS {c}_2" for c in lineitem.columns])
+    for error, expected in ((0.05, 1), (None, 2)):
+        text = plan(S.run_suite(wide.drop("l_tax_2"), approx_distinct_error=error))
+        read = [
+            field.split(":")[0]
+            for schema in re.findall(r"ReadSchema: struct<(.*?)>", text)
+            for field in schema.split(",")
+        ]
+        # l_tax has no second name here, so nothing but its own check reads it
+        assert read.count("l_tax") == expected
 
 
 def test_only_the_columns_asked_for_are_read(spark, folder):
@@ -64,6 +79,21 @@ def test_latest_runs_are_limited_before_the_shuffle(spark, folder):
     assert text.index("Final") < text.index("Exchange") < text.index("Partial")
 
 
+def test_top_values_are_limited_before_the_last_shuffle(spark, folder):
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    text = plan(P.top_values(orders))
+    partial = text.index("Partial")
+    assert text.index("Final") < text.index("Exchange") < partial
+    # values are counted map-side, below their own shuffle
+    assert text.index("Exchange", partial) < text.rindex("partial_count")
+
+
+def test_duplicates_shuffle_fingerprints_not_rows(spark, folder):
+    text = plan(D.duplicate_rows(spark.read.parquet(f"{folder}/lineitem.parquet")))
+    # no fingerprint occurs twice, so the rows themselves are not grouped at all
+    assert "FileScan" not in text
+
+
 def test_last_runs_need_no_full_sort(spark, folder):
     text = plan(R.run_history(runs_f(spark, folder), limit=10))
     assert "TakeOrderedAndProject" in text

@@ -86,6 +86,17 @@ def test_stream_runs_a_cycle_per_batch(spark, people, store, tmp_path):
     assert sorted(r.rows for r in store.runs().collect()) == [1, 2, 5]
 
 
+def test_stream_that_only_says_when(spark, people, store, tmp_path):
+    ticks = str(tmp_path / "ticks")
+    spark.range(1).write.parquet(ticks)
+    query = start_monitoring(
+        spark.readStream.schema("id bigint").parquet(ticks), "people", store,
+        checkpoint=str(tmp_path / "checkpoint"), available_now=True, source=lambda: people,
+    )
+    assert query.awaitTermination(180)
+    assert [(r.rows, r.quality_score) for r in store.runs().collect()] == [(5, 75.0)]
+
+
 def test_stream_windows_equal_batch_windows(spark, folder, tmp_path):
     events = spark.read.parquet(f"{folder}/events.parquet")
     source = str(tmp_path / "events")
