@@ -19,6 +19,9 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # whole schemas in plans, for test_plans.py
+        .config("spark.sql.maxMetadataStringLength", "100000")
+        .config("spark.sql.debug.maxToStringFields", "1000")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
         .getOrCreate()
