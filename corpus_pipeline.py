@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact, mixing, packing
+from plumbline.llm import exact, mixing, ngram_join, packing, quality
 from plumbline.llm.queries import TOKENIZER
+from plumbline.llm.rows import table
 from plumbline.sources.pinning import checkpoint_folder
 
 ORACLE_SQL = None
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of equal texts stays."""
     return exact.drop_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near copies stays."""
+    return ngram_join.drop_near_copies(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as often as the mix of sources takes it."""
     return mixing.mixed(docs)
@@ -27,13 +40,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("exact_dedup", exact_dedup), ("mix", mix), ("pack", pack)]
+STAGES = [
+    ("quality_filter", quality_filter),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mix", mix),
+    ("pack", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, each written as Parquet and read again."""
-    import uuid
-
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for at, (name, stage) in enumerate(STAGES):

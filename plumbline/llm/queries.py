@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from plumbline.llm import exact, mixing, packing
+from plumbline.llm import exact, mixing, ngram_join, packing, quality
 from plumbline.llm.rows import table
 
 #: The tokenizer whose ids are packed.
@@ -20,11 +19,20 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("__file", "__row")
 
 
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = ngram_join.linked(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     found = mixing.mix(table(spark, folder, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
     file = public_tokenizers.path(TOKENIZER)
     return packing.pack(table(spark, folder, "documents"), file)
@@ -32,6 +40,8 @@ def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_ngram_join": op5_ngram_join,
     "op6_mix_sources": op6_mix_sources,
+    "op8_quality": op8_quality,
     "op10_pack": op10_pack,
 }
