@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact, mixing, ngram_join, packing, quality
+from plumbline.llm import exact, mixing, ngram_join, packing, quality, suffixes
 from plumbline.llm.rows import table
 
 #: The tokenizer whose ids are packed.
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, folder, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = exact.exact_groups(table(spark, folder, "documents"))
     return found.drop("__file", "__row")
@@ -39,6 +43,7 @@ def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_ngram_join": op5_ngram_join,
     "op6_mix_sources": op6_mix_sources,
