@@ -60,7 +60,8 @@ def frequent(marked: DataFrame, tracked: int = TRACKED, heavy: int = HEAVY) -> D
         .groupBy(F.expr("pmod(spark_partition_id(), 64)").alias("part"))
         .agg(F.expr(f"approx_top_k_accumulate(item, {tracked})").alias("summary"))
     )
-    whole = summaries.agg(F.expr(f"approx_top_k_combine(summary, {tracked})").alias("summary"))
+    # grouped by a constant: an empty partition must not add an empty summary
+    whole = summaries.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(summary, {tracked})").alias("summary"))
     return whole.select(
         F.inline(F.expr(f"approx_top_k_estimate(summary, {heavy})"))
     ).select("item")
