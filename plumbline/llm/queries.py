@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact, mixing, ngram_join, packing, quality, suffixes
+from plumbline.llm import exact, fingerprints, mixing, ngram_join, packing, quality, suffixes
 from plumbline.llm.rows import table
 
 #: The tokenizer whose ids are packed.
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, folder, "documents"))
+
+
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, folder, "documents"))
 
@@ -43,6 +47,7 @@ def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_ngram_join": op5_ngram_join,
