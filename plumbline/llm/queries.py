@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact, fingerprints, mixing, ngram_join, packing, quality, suffixes
+from plumbline.llm import exact, fingerprints, mixing, ngram_join, packing, pii, quality, suffixes
 from plumbline.llm.rows import table
 
 #: The tokenizer whose ids are packed.
@@ -41,6 +41,10 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
 def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
     file = public_tokenizers.path(TOKENIZER)
     return packing.pack(table(spark, folder, "documents"), file)
@@ -53,5 +57,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_mix_sources": op6_mix_sources,
     "op8_quality": op8_quality,
+    "op9_personal_data": op9_personal_data,
     "op10_pack": op10_pack,
 }
