@@ -7,11 +7,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact, fingerprints, mixing, ngram_join, packing, pii, quality, suffixes
+from plumbline.llm import (
+    exact,
+    fingerprints,
+    licences,
+    mixing,
+    ngram_join,
+    packing,
+    pii,
+    quality,
+    suffixes,
+    tokens,
+)
 from plumbline.llm.rows import table
 
 #: The tokenizer whose ids are packed.
 TOKENIZER = "word_bpe_49k.json"
+#: The tokenizer whose tokens are counted.
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,6 +35,10 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, folder, "documents"))
 
 
+def op3_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.licences(table(spark, folder, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = exact.exact_groups(table(spark, folder, "documents"))
     return found.drop("__file", "__row")
@@ -37,6 +54,11 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    file = public_tokenizers.path(RANKS)
+    return tokens.token_counts(table(spark, folder, "documents"), file, public_tokenizers.PATTERN)
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -53,9 +75,11 @@ def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_licences": op3_licences,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_ngram_join": op5_ngram_join,
     "op6_mix_sources": op6_mix_sources,
+    "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
     "op9_personal_data": op9_personal_data,
     "op10_pack": op10_pack,
