@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +25,25 @@ def positions(names: list[str], wanted: str) -> int:
     raise ValueError(f"no column {wanted} in {names}")
 
 
+def _reach(spark: SparkSession) -> None:
+    """Lets Python workers find this package where the driver has it.
+
+    They look along their PYTHONPATH; a package installed on the executors is found
+    anyway, and a folder that an executor does not have changes nothing.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
     """The wanted columns under internal names: ``pick(df, key="doc_id")``.
 
     Columns are found by position, so extra columns may have any names, also names
     that differ in case only or that an operator uses itself.
     """
+    _reach(df.sparkSession)
     flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
     return flat.select(
         [F.col(f"_{positions(df.columns, name)}").alias(alias) for alias, name in wanted.items()]

@@ -289,9 +289,10 @@ class Levels:
 
 # ---------------------------------------------------------------- on Spark
 
-_STORE = "batch bigint, ids array<bigint>, known binary, sizes binary, data binary"
+_STORE = "batch bigint, ids array<bigint>, sizes binary, data binary"
 _RUN = "shard int, batch bigint, keys binary, tags binary, twice binary"
 _BACK = "batch bigint, keys binary, tags binary"
+_BITS = "batch bigint, shard int, bits binary"
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,9 +308,9 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         sizes = np.array([len(t) for t in texts], "<i8")
         return pa.RecordBatch.from_arrays(
-            [pa.array([name], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([b""]),
-             pa.array([sizes.tobytes()]), pa.array([zstandard.compress(b"".join(texts), 1)])],
-            ["batch", "ids", "known", "sizes", "data"],
+            [pa.array([name], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
+             pa.array([sizes.tobytes()]), pa.array([zstandard.compress(b"".join(texts), 3)])],
+            ["batch", "ids", "sizes", "data"],
         )
 
     for part in batches:
@@ -382,6 +383,22 @@ def _merged(found: pa.Table) -> pa.Table:
     return _told(runs, levels.repeated())
 
 
+def _merged_to_bits(found: pa.Table) -> pa.Table:
+    """As ``_merged``, but a batch gets one bit for each of its entries, in their order."""
+    shard = found.column("shard")[0].as_py() if found.num_rows else 0
+    levels = Levels()
+    runs = _arrays(found)
+    for _, keys, tags, twice in runs:
+        levels.add(keys, tags, twice)
+    repeated = levels.repeated()
+    out = []
+    for batch, keys, tags, _ in runs:
+        hit = contained(keys, tags, *repeated)
+        if hit.any():
+            out.append((batch, shard, np.packbits(hit).tobytes()))
+    return pa.Table.from_batches([_table(out, _BITS)])
+
+
 def _marked(found: pa.Table) -> pa.Table:
     """A shard: to every batch which of its entries any batch has marked."""
     runs = _arrays(found)
@@ -435,48 +452,69 @@ def _open_anchors(shards: int):
     return run
 
 
+def _sent(scan: Scan, row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the windows at open distances from open anchors."""
+    _, _, hit = scan.open(_answered(row, "one"))
+    keys, start, end = scan.stretches(hit)
+    told = contained(keys, np.zeros(len(keys), np.uint32), *_answered(row, "open"))
+    return scan.fingerprints(np.flatnonzero(scan.within(start[told], end[told])))
+
+
 def _second_entries(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             if row["open"]:
                 scan = Scan(*_opened(row))
-                _, _, hit = scan.open(_answered(row, "one"))
-                keys, start, end = scan.stretches(hit)
-                told = contained(keys, np.zeros(len(keys), np.uint32), *_answered(row, "open"))
-                windows = scan.within(start[told], end[told])
-                found = scan.fingerprints(np.flatnonzero(windows))
-                yield _table(_runs(row["batch"], *found, shards), _RUN)
+                yield _table(_runs(row["batch"], *_sent(scan, row), shards), _RUN)
 
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for row in _rows(batches):
-        data, bounds = _opened(row)
-        covered = np.zeros(len(data), bool)
-        if row["one"]:
-            scan = Scan(data, bounds)
-            sure, may, _ = scan.open(_answered(row, "one"))
-            starts = np.flatnonzero(may)
-            hit = contained(*scan.fingerprints(starts), *_answered(row, "two"))
-            sure[starts[hit]] = True
-            change = np.zeros(len(data) + 1, np.int32)
-            change[:-1] += sure
-            change[LENGTH:] -= sure[: max(0, len(data) + 1 - LENGTH)]
-            covered = np.cumsum(change[:-1], dtype=np.int32) > 0
-        out = []
-        for doc, start, end in zip(row["ids"], bounds[:-1].tolist(), bounds[1:].tolist()):
-            gone = covered[start:end]
-            spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[:1].sum())
-            kept = data[start:end][~gone] if spans else data[start:end]
-            out.append((doc, end - start, int(gone.sum()), spans,
-                        hashlib.sha256(kept.tobytes()).hexdigest()))
-        yield _table(out, _OUT)
+def _cut(shards: int):
+    bits = shards.bit_length() - 1
+
+    def settled(scan: Scan, row: dict) -> np.ndarray:
+        """The windows of a batch that are repeated."""
+        sure, may, _ = scan.open(_answered(row, "one"))
+        if not row["two"]:
+            return sure
+        keys, tags, _ = once(*ordered(*_sent(scan, row)))
+        hit = np.zeros(len(keys), bool)
+        shard = keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
+        for part in row["two"]:
+            lo, hi = np.searchsorted(shard, np.array([part["shard"], part["shard"] + 1], np.uint64))
+            hit[lo:hi] = np.unpackbits(np.frombuffer(part["bits"], "u1"), count=int(hi - lo))
+        starts = np.flatnonzero(may)
+        sure[starts[contained(*scan.fingerprints(starts), keys[hit], tags[hit])]] = True
+        return sure
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            data, bounds = _opened(row)
+            covered = np.zeros(len(data), bool)
+            if row["one"]:
+                sure = settled(Scan(data, bounds), row)
+                change = np.zeros(len(data) + 1, np.int32)
+                change[:-1] += sure
+                change[LENGTH:] -= sure[: max(0, len(data) + 1 - LENGTH)]
+                covered = np.cumsum(change[:-1], dtype=np.int32) > 0
+            out = []
+            for doc, start, end in zip(row["ids"], bounds[:-1].tolist(), bounds[1:].tolist()):
+                gone = covered[start:end]
+                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[:1].sum())
+                kept = data[start:end][~gone] if spans else data[start:end]
+                out.append((doc, end - start, int(gone.sum()), spans,
+                            hashlib.sha256(kept.tobytes()).hexdigest()))
+            yield _table(out, _OUT)
+
+    return run
 
 
-def _index(runs: DataFrame, name: str, settle=_merged) -> DataFrame:
-    back = runs.groupBy("shard").applyInArrow(settle, _BACK)
-    return back.groupBy("batch").agg(F.collect_list(F.struct("keys", "tags")).alias(name))
+def _index(runs: DataFrame, name: str, settle=_merged, back: str = _BACK) -> DataFrame:
+    """A row per batch: what all shards tell it."""
+    told = runs.groupBy("shard").applyInArrow(settle, back)
+    parts = F.struct(*[c for c in told.columns if c != "batch"])
+    return told.groupBy("batch").agg(F.collect_list(parts).alias(name))
 
 
 def _shards(entries: float) -> int:
@@ -496,15 +534,15 @@ def without_repeats(
     text = rows.pick(docs, doc_id=id_column, text=text_column)
     text = text.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    store = text.mapInArrow(_stored, _STORE).drop("known")
-    store = pin(store.repartition("batch"))
+    # Stored once, and shuffled once: Spark reuses the exchange of the store by batch.
+    store = pin(text.mapInArrow(_stored, _STORE))
     # about two entries in 120 bytes
     runs = store.mapInArrow(_first_entries(_shards(size / 60)), _RUN)
-    one = pin(_index(runs, "one"))
-    first = store.join(one, "batch", "left")
+    first = store.join(pin(_index(runs, "one")), "batch", "left")
     runs = first.mapInArrow(_open_anchors(_shards(size / 120)), _RUN)
-    opened = _index(runs, "open", _marked)
+    second = first.join(_index(runs, "open", _marked), "batch", "left")
     # windows of open anchors: assumed to be no more than one in thirty bytes
-    runs = first.join(opened, "batch").mapInArrow(_second_entries(_shards(size / 30)), _RUN)
-    two = _index(runs, "two")
-    return first.join(two, "batch", "left").mapInArrow(_cut, _OUT)
+    shards = _shards(size / 30)
+    runs = second.mapInArrow(_second_entries(shards), _RUN)
+    two = _index(runs, "two", _merged_to_bits, _BITS)
+    return second.join(two, "batch", "left").mapInArrow(_cut(shards), _OUT)
