@@ -54,7 +54,7 @@ def allocated(ends: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarr
 
     ``ends``: where tokens end; ``starts``: where sections start, the first at 0.
     """
-    begin = np.concatenate([[0], ends[:-1]])
+    begin = np.concatenate([[0], ends])[:-1].astype(np.int64)
     first = np.searchsorted(starts, begin, "right") - 1
     last = np.searchsorted(starts, ends - 1, "right") - 1
     crossing = np.flatnonzero(first != last)
