@@ -901,8 +901,19 @@ ORACLE: dict[str, str] = {
             "hour + to_hours(1) <= (SELECT max(ts) FROM events_f) - to_hours(1)"
         ),
     ),
+    "windowed_untimed": over(
+        [
+            EVENTS_F,
+            "gaps AS (SELECT * REPLACE (CASE WHEN event_id % 30 <> 11 THEN ts END AS ts) "
+            "FROM events_f)",
+        ],
+        windows()
+        .replace("events_f", "gaps")
+        .replace("'hour'", "'day'")
+        .replace("to_hours(1)", "to_days(1)"),
+    ),
     "monitor_cycle": over(
-        [*EVENTS_RESULTS, *ALERT_BANDS[1:]],
+        [*EVENTS_RESULTS, *bands(("event_id", "user_id", "value"), 1.0)[1:]],
         union(
             [
                 *suite_alerts(100.0, run="'events-1'", dataset="'events'"),
@@ -910,6 +921,48 @@ ORACLE: dict[str, str] = {
             ]
         ),
     ),
+    "alerts_system": union(
+        f"SELECT 'customer' AS dataset_name, 'high' AS severity, "
+        f"'Error in quality threshold checking: ' || '{error}' AS message, "
+        f"'{column}' AS column_name FROM (SELECT 1 FROM customer LIMIT 1)"
+        for column, error in (
+            ("nowhere", "column nowhere not found"),
+            ("c_name", "max 1 cannot be compared with column c_name of type string"),
+            ("c_custkey", "column c_custkey is bigint, not string"),
+        )
+    ),
+    "anomaly_infinite": over(
+        [
+            EVENTS_F,
+            "huge AS (SELECT * REPLACE (CASE WHEN event_id % 5000 = 7 THEN 'Infinity'::DOUBLE "
+            "ELSE value END AS value) FROM events_f)",
+            # an infinite value leaves its column without a band, as would fewer than two
+            "band AS (SELECT column_name, x, count(*) OVER w AS n, "
+            "bool_or(isinf(x)) OVER w AS endless, "
+            "avg(CASE WHEN NOT isinf(x) THEN x END) OVER w AS mean, "
+            "stddev_samp(CASE WHEN NOT isinf(x) THEN x END) OVER w AS std "
+            f"FROM ({long_values(('value', 'user_id'), 'huge')}) "
+            "WINDOW w AS (PARTITION BY column_name))",
+        ],
+        "SELECT column_name, count(*) FILTER (WHERE NOT endless AND abs(x - mean) > 2 * std) "
+        "AS anomaly_count, round(count(*) FILTER (WHERE NOT endless AND "
+        "abs(x - mean) > 2 * std) * 100.0 / count(*), 6) AS anomaly_percentage, "
+        "count(*) AS total_count FROM band GROUP BY column_name",
+    ),
+    "top_texts": f"""
+        SELECT column_name, value, value_count, CAST(rank AS INTEGER) AS rank FROM (
+          SELECT *, row_number() OVER (
+            PARTITION BY column_name ORDER BY value_count DESC, value) AS rank
+          FROM ({union(
+              f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS value_count "
+              f"FROM documents WHERE {c} IS NOT NULL GROUP BY {c}" for c in ("text", "lang"))}))
+        WHERE rank <= 5""",
+    "uniqueness_wide": union(
+        [
+            *[flat(uniqueness(c), "embeddings") for c in ("vec_id", "embedding", "label")],
+            *[flat(uniqueness(c), "pages") for c in ("page_id", "url", "html")],
+        ]
+    ),
 }
 
 # The stored, exported and streamed forms hold what the plain ones compute.

@@ -6,6 +6,7 @@ another engine; the operators return full values.
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from collections.abc import Callable
 
@@ -20,7 +21,7 @@ from plumbline.catalog.views import (
     runs_f,
     table,
 )
-from plumbline.engine import QualityEngine
+from plumbline.engine import AlertCenter, QualityEngine
 from plumbline.operators import alerts as A
 from plumbline.operators import anomalies as Z
 from plumbline.operators import checks as C
@@ -297,6 +298,19 @@ def top_values(spark, folder):
     )
 
 
+@query
+def top_texts(spark, folder):
+    """Top values of long texts."""
+    return P.top_values(table(spark, folder, "documents"), ["text", "lang"], 5)
+
+
+@query
+def uniqueness_wide(spark, folder):
+    """Distinct vectors and texts."""
+    vectors = C.uniqueness(table(spark, folder, "embeddings"))
+    return without_error(vectors.unionByName(C.uniqueness(table(spark, folder, "pages"))))
+
+
 # ------------------------------------------------------------------ anomalies
 
 
@@ -482,25 +496,59 @@ def windowed_quality(spark, folder):
     return texted(rounded(quality), "window_start", "window_end")
 
 
+@query
+def windowed_untimed(spark, folder):
+    """Windows over events of which some have no time."""
+    events = events_f(spark, folder)
+    gaps = events.withColumn("ts", F.when(F.col("event_id") % 30 != 11, F.col("ts")))
+    quality = quality_by_window(gaps, "ts", "1 day", ["value", "event_type"])
+    return texted(rounded(quality), "window_start", "window_end")
+
+
 @query
 def monitor_cycle(spark, folder):
     """What a cycle over the events raises: one row per alert."""
-    events = events_f(spark, folder)
-    results = pin(
-        S.run_suite(events, profile=False).select(
-            "*",
-            F.lit("events-1").alias("run_id"),
-            F.lit("events").alias("dataset_name"),
-            at(RUN_TIME).alias("timestamp"),
-        )
+    engine = QualityEngine(spark, new_folder(spark))
+    center = AlertCenter(engine, A.AlertConfig(thresholds=A.Thresholds(100.0)))
+    center.run_once(
+        lambda: events_f(spark, folder),
+        "events",
+        run_id="events-1",
+        timestamp=datetime.datetime(2024, 1, 1),
+        anomaly_threshold=1.0,
+        # the registered anomaly alerts look at these two columns
     )
-    record = S.run_record(results, "events", "events-1", at(RUN_TIME))
-    return shown(
-        A.union_alerts(
-            A.quality_alerts(record, results, A.Thresholds(100.0)),
-            event_anomaly_alerts(spark, folder),
-        )
+    return shown(engine.store.alerts())
+
+
+@query
+def alerts_system(spark, folder):
+    """Alerts of checks that could not be run."""
+    results = S.run_suite(
+        customer_f(spark, folder),
+        {"nowhere": {"min": 0}, "c_name": {"max": 1}},
+        {"c_custkey": "^1"},
+        profile=False,
+    )
+    run = results.select(
+        "*",
+        F.lit("customer-2").alias("run_id"),
+        F.lit("customer").alias("dataset_name"),
+        at(RUN_TIME).alias("timestamp"),
+    )
+    alerts = A.result_alerts(run).filter("type = 'system_error'")
+    return alerts.select("dataset_name", "severity", "message", "column_name")
+
+
+@query
+def anomaly_infinite(spark, folder):
+    """Counts over events of which some have an infinite value."""
+    events = events_f(spark, folder)
+    huge = events.withColumn(
+        "value", F.when(F.col("event_id") % 5000 == 7, F.lit(float("inf"))).otherwise(F.col("value"))
     )
+    counts = Z.detect_anomalies(huge, ["value", "user_id"])
+    return rounded(counts.select("column_name", "anomaly_count", "anomaly_percentage", "total_count"))
 
 
 # ------------------------------------------------------------------ stores, streams

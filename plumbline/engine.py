@@ -37,7 +37,13 @@ class QualityEngine:
     ) -> None:
         self.spark = spark
         self.store = RunStore(spark, store_path)
-        self.limits = limits
+        self.base_limits = limits
+        self.center: AlertCenter | None = None
+
+    @property
+    def limits(self) -> Limits:
+        """What checks measure against; an alert center's thresholds go before."""
+        return self.base_limits if self.center is None else self.center.limits
 
     def table(self, data: Any, view: str | None = None) -> DataFrame:
         """Accept a DataFrame as it is and a pandas frame by conversion."""
@@ -139,8 +145,11 @@ class QualityEngine:
     def get_dataset_summary(self, dataset_name: str | None = None) -> DataFrame:
         return runs.dataset_summary(self.store.runs(), dataset_name)
 
-    def get_recent_runs(self, n: int = 5) -> DataFrame:
-        return runs.recent_runs(self.store.runs(), n)
+    def get_recent_runs(self, n: int = 5, dataset_name: str | None = None) -> DataFrame:
+        found = self.store.runs()
+        if dataset_name is not None:
+            found = found.filter(F.col("dataset_name") == dataset_name)
+        return runs.recent_runs(found, n)
 
 
 class AlertCenter:
@@ -151,16 +160,24 @@ class AlertCenter:
         self.store = engine.store
         self.config = config
         self.rules: dict[str, A.AlertRule] = {}
+        engine.center = self
+
+    @property
+    def limits(self) -> Limits:
+        """The engine's limits with the thresholds that alerts are raised at."""
+        return self.config.thresholds.limits(self.engine.base_limits)
 
     def add_alert_rule(self, rule: A.AlertRule) -> None:
         self.rules[rule.name] = rule
 
-    def check_quality_thresholds(self, run_id: str) -> DataFrame:
-        """Alerts of a saved run."""
-        record = self.store.runs().filter(F.col("run_id") == run_id)
+    def check_quality_thresholds(
+        self, run_id: str, dataset_name: str | None = None
+    ) -> DataFrame:
+        """Alerts of a saved run; with its dataset only its own folders are read."""
+        record = self.store.of_run("runs", run_id, dataset_name)
         return A.quality_alerts(
             record,
-            self.store.run_metrics(run_id),
+            self.store.run_metrics(run_id, dataset_name),
             self.config.thresholds,
             self.rules.values(),
         )
@@ -186,10 +203,14 @@ class AlertCenter:
         )
 
     def process_alerts(self, alerts: DataFrame) -> None:
-        """Keep the alerts and put a message per enabled channel into the outbox."""
-        self.store.append("alerts", alerts)
+        """Keep the alerts and put a message per enabled channel into the outbox.
+
+        The alerts are evaluated once; messages are rendered from what was kept. Processing
+        them a second time leaves one set of either.
+        """
+        kept = self.store.add_alerts(alerts)
         if self.config.channels():
-            self.store.append("outbox", A.outbox(alerts, self.config))
+            self.store.replace_runs("outbox", A.outbox(kept, self.config))
 
     def get_alert_summary(
         self, hours: float = 24, as_of: datetime.datetime | None = None
@@ -211,6 +232,7 @@ class AlertCenter:
         self, source: Callable[[], Any], dataset_name: str, **options: Any
     ) -> Cycle:
         """One monitoring cycle over what ``source`` returns."""
+        options.setdefault("limits", self.limits)
         return run_cycle(
             self.engine.table(source()),
             dataset_name,
@@ -223,6 +245,7 @@ class AlertCenter:
     def start_monitoring(
         self, stream: DataFrame, dataset_name: str, **options: Any
     ) -> StreamingQuery:
+        options.setdefault("limits", self.limits)
         return start_monitoring(
             stream,
             dataset_name,

@@ -57,13 +57,33 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_text(f.dataType)]
 
 
+def ambiguous(df: DataFrame) -> list[str]:
+    """Names that several columns share, as Spark resolves names, each once."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive", "false") == "true"
+    keys = [c if exact else c.lower() for c in df.columns]
+    return list(dict.fromkeys(c for c, k in zip(df.columns, keys) if keys.count(k) > 1))
+
+
+def unambiguous(df: DataFrame) -> DataFrame:
+    """``df`` without the columns that cannot be told apart by name."""
+    lost = ambiguous(df)
+    if not lost:
+        return df
+    kept = [(i, c) for i, c in enumerate(df.columns) if c not in lost]
+    flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return flat.select(*[F.col(f"_{i}").alias(c) for i, c in kept])
+
+
 def normalise(df: DataFrame) -> DataFrame:
     """Turn NaN into NULL in the float columns, so that both count as missing.
 
+    Columns of equal names are left out; the suite reports them as errors.
+
     Spark sorts NaN above every number and lets it spread through avg and stddev;
     a missing measurement should do neither. Other columns pass through untouched,
     so pruning and pushdown on them keep working.
     """
+    df = unambiguous(df)
     floats = (T.FloatType, T.DoubleType)
     if not any(isinstance(f.dataType, floats) for f in df.schema.fields):
         return df

@@ -164,35 +164,82 @@ def score_alerts(runs: DataFrame, thresholds: Thresholds = Thresholds()) -> Data
     )
 
 
-def _failures(results: DataFrame, check_type: str, wording: str) -> DataFrame:
-    return _alerts(
-        results.filter(
-            (F.col("check_type") == check_type) & (F.col("status") == FAILURE)
+_RESULT_FIELDS = ("type", "severity", "message", "value", "threshold", "actions")
+
+
+def _outcome(condition: Column, **fields: Column) -> Column:
+    """One alert of a result row if the condition holds, else NULL."""
+    return F.when(
+        condition,
+        F.struct(
+            *[
+                fields.get(name, F.lit(None)).cast(ALERT_FIELDS[name]).alias(name)
+                for name in _RESULT_FIELDS
+            ]
         ),
+    )
+
+
+def _failure(check_type: str, wording: str) -> Column:
+    return _outcome(
+        (F.col("check_type") == check_type) & (F.col("status") == FAILURE),
         type=F.lit(f"{check_type}_failure"),
         severity=F.lit("medium"),
         message=worded(wording, F.col("constraint")),
+    )
+
+
+def _system() -> Column:
+    return _outcome(
+        F.col("status") == ERROR,
+        type=F.lit("system_error"),
+        severity=F.lit("high"),
+        message=worded(CHECK_ERROR, F.col("params")["error"]),
+    )
+
+
+def _rule(rule: AlertRule) -> Column:
+    actions = F.array(*[F.lit(a) for a in rule.actions]) if rule.actions else F.lit(None)
+    return _outcome(
+        rule.holds(),
+        type=F.lit(rule.name),
+        severity=F.lit(rule.severity),
+        message=F.concat(
+            F.lit(f"Rule {rule.name}: {rule.metric} {rule.op} {rule.value} in "),
+            F.col("constraint"),
+        ),
+        value=F.col("metrics")[rule.metric],
+        threshold=F.lit(float(rule.value)),
+        actions=actions,
+    )
+
+
+def _raised(results: DataFrame, outcomes: list[Column]) -> DataFrame:
+    """The outcomes that hold, one row each, in a single pass over the results."""
+    if not outcomes:
+        return _alerts(results.limit(0))
+    hits = results.select(
+        "run_id", "dataset_name", "timestamp", "column_name",
+        F.explode(F.array_compact(F.array(*outcomes))).alias("alert"),
+    )
+    return _alerts(
+        hits,
         column_name=F.col("column_name"),
+        **{name: F.col("alert")[name] for name in _RESULT_FIELDS},
     )
 
 
 def completeness_alerts(results: DataFrame) -> DataFrame:
-    return _failures(results, "completeness", FAILED_COMPLETENESS)
+    return _raised(results, [_failure("completeness", FAILED_COMPLETENESS)])
 
 
 def uniqueness_alerts(results: DataFrame) -> DataFrame:
-    return _failures(results, "uniqueness", FAILED_UNIQUENESS)
+    return _raised(results, [_failure("uniqueness", FAILED_UNIQUENESS)])
 
 
 def system_alerts(results: DataFrame) -> DataFrame:
     """Checks that could not be evaluated."""
-    return _alerts(
-        results.filter(F.col("status") == ERROR),
-        type=F.lit("system_error"),
-        severity=F.lit("high"),
-        message=worded(CHECK_ERROR, F.col("params")["error"]),
-        column_name=F.col("column_name"),
-    )
+    return _raised(results, [_system()])
 
 
 def anomaly_alerts(
@@ -214,54 +261,17 @@ def anomaly_alerts(
 
 def rule_alerts(results: DataFrame, rules: Iterable[AlertRule]) -> DataFrame:
     """One alert per result row and rule that holds; all rules in one pass."""
-    rules = list(rules)
-    if not rules:
-        return _alerts(results.limit(0))
-    outcomes = [
-        F.when(
-            rule.holds(),
-            F.struct(
-                F.lit(rule.name).alias("type"),
-                F.lit(rule.severity).alias("severity"),
-                F.concat(
-                    F.lit(f"Rule {rule.name}: {rule.metric} {rule.op} {rule.value} in "),
-                    F.col("constraint"),
-                ).alias("message"),
-                F.col("metrics")[rule.metric].alias("value"),
-                F.lit(float(rule.value)).alias("threshold"),
-                (
-                    F.array(*[F.lit(a) for a in rule.actions])
-                    if rule.actions
-                    else F.lit(None)
-                )
-                .cast("array<string>")
-                .alias("actions"),
-            ),
-        )
-        for rule in rules
+    return _raised(results, [_rule(rule) for rule in rules])
+
+
+def result_alerts(results: DataFrame, rules: Iterable[AlertRule] = ()) -> DataFrame:
+    """Completeness, uniqueness, system and rule alerts in one pass over the results."""
+    fixed_ones = [
+        _failure("completeness", FAILED_COMPLETENESS),
+        _failure("uniqueness", FAILED_UNIQUENESS),
+        _system(),
     ]
-    hits = results.select(
-        "run_id",
-        "dataset_name",
-        "timestamp",
-        "column_name",
-        F.explode(F.array(*outcomes)).alias("alert"),
-    ).filter(F.col("alert").isNotNull())
-    return _alerts(
-        hits,
-        column_name=F.col("column_name"),
-        **{
-            name: F.col("alert")[name]
-            for name in (
-                "type",
-                "severity",
-                "message",
-                "value",
-                "threshold",
-                "actions",
-            )
-        },
-    )
+    return _raised(results, fixed_ones + [_rule(rule) for rule in rules])
 
 
 def quality_alerts(
@@ -270,14 +280,8 @@ def quality_alerts(
     thresholds: Thresholds = Thresholds(),
     rules: Iterable[AlertRule] = (),
 ) -> DataFrame:
-    """Score, completeness, uniqueness, system and rule alerts."""
-    return union_alerts(
-        score_alerts(runs, thresholds),
-        completeness_alerts(results),
-        uniqueness_alerts(results),
-        system_alerts(results),
-        rule_alerts(results, rules),
-    )
+    """Score alerts of the runs and all alerts of their results."""
+    return union_alerts(score_alerts(runs, thresholds), result_alerts(results, rules))
 
 
 def union_alerts(*parts: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ groups whose minimum and maximum lie inside the band.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -35,8 +36,11 @@ class Band:
 
     @property
     def known(self) -> bool:
-        """A column with fewer than two values has no deviation and no anomalies."""
-        return self.mean is not None and self.std is not None
+        """Without a finite mean and deviation there is no band and no anomaly.
+
+        That is so for a column with fewer than two values or with an infinite one.
+        """
+        return all(x is not None and math.isfinite(x) for x in (self.mean, self.std))
 
     @property
     def lower(self) -> float | None:
@@ -170,9 +174,17 @@ def anomaly_headline(counts: DataFrame) -> DataFrame:
 def anomaly_histogram(
     df: DataFrame, bands: Mapping[str, Band], bins: int = 20
 ) -> DataFrame:
-    """Equal-width bins of the anomalous values of each column, with its band."""
+    """Equal-width bins of the anomalous values of each column, with its band.
+
+    Infinite values are in no bin.
+    """
+    infinity = number(math.inf)
     numbers = _with_hits(df, bands).selectExpr(
-        *[f"{_hit(name, band)} AS {quoted(name)}" for name, band in bands.items()]
+        *[
+            f"if(abs({_hit(name, band)}) < {infinity}, {_hit(name, band)}, NULL) "
+            f"AS {quoted(name)}"
+            for name, band in bands.items()
+        ]
     )
     context = ", ".join(
         f"{text(name)}, named_struct('mean', {number(band.mean)}, "

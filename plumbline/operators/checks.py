@@ -114,12 +114,32 @@ def distinct_key(data_type: T.DataType, value: str) -> str:
 
     Long strings are grouped by their SHA-256, so that counting distinct documents
     shuffles 65 bytes a piece and not the documents. Short ones stay as they are; being
-    shorter than a marked digest they cannot be mistaken for one.
+    shorter than a marked digest they cannot be mistaken for one. Binary values, arrays
+    and structs are digested likewise.
     """
     if isinstance(data_type, T.MapType):
         return f"array_sort(map_entries({value}))"
     if data_type == T.StringType():
         return f"if(octet_length({value}) > 64, concat('#', sha2({value}, 256)), {value})"
+    if data_type == T.BinaryType():
+        return f"if(octet_length({value}) > 64, sha2({value}, 256), hex({value}))"
+    if isinstance(data_type, (T.ArrayType, T.StructType)):
+        return (
+            f"if({value} IS NULL, NULL, sha2(cast(concat(hex(xxhash64({value})), "
+            f"to_json(named_struct('v', {_summed(data_type, value)}), "
+            f"map('ignoreNullFields', 'false', "
+            f"'timestampFormat', 'yyyy-MM-dd HH:mm:ss.SSSSSSXXX', "
+            f"'timestampNTZFormat', 'yyyy-MM-dd HH:mm:ss.SSSSSS'))) AS binary), 256))"
+        )
+    return value
+
+
+def _summed(data_type: T.DataType, value: str) -> str:
+    """The value with zeros of one sign only, as grouping sees them."""
+    if isinstance(data_type, T.ArrayType) and isinstance(
+        data_type.elementType, (T.FloatType, T.DoubleType)
+    ):
+        return f"transform({value}, x -> if(x = 0, abs(x), x))"
     return value
 
 

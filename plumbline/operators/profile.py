@@ -21,6 +21,12 @@ from plumbline.operators.checks import countable, distinct, nulls, total
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.plans import Finding, Measures, findings_frame
 from plumbline.plans.measures import DISTINCT_BATCH
+from plumbline.sources.pinning import pin
+
+#: Characters by which values are counted; longer ones also by a digest.
+PREFIX = 64
+#: Winners that may be broadcast; ties beyond them are joined by shuffle.
+MAX_WINNERS = 100_000
 
 
 def _double(name: str) -> str:
@@ -294,8 +300,10 @@ def top_values(
 ) -> DataFrame:
     """The ``k`` most frequent non-null values of each (by default non-numeric) column.
 
-    Ties go to the smaller value. Values are counted map-side before the shuffle, and
-    each task hands on only its own best ``k`` per column to the final ranking.
+    Ties go to the smaller value. Values are counted map-side before the shuffle by at
+    most their first ``PREFIX`` characters and a digest, and each task hands on only its
+    own best ``k`` per column to the ranking. Only if a winner is longer than that, a
+    second scan looks up the whole values of the winners, few as they are.
     """
     df = normalise(df)
     names = (
@@ -307,14 +315,44 @@ def top_values(
         return df.sparkSession.createDataFrame(
             [], "column_name string, value string, value_count bigint, rank int"
         )
-    counted = (
+    marked = marked_values(df, names)
+    chosen = pin(frequent_keys(marked, k))
+    short_ones = chosen.filter(F.col("digest") == "").withColumn("value", F.col("short"))
+    kept = ["column_name", "value", "value_count"]
+    if chosen.filter(F.col("digest") != "").isEmpty():
+        found = short_ones.select(*kept)
+    else:
+        winners = chosen.filter(F.col("digest") != "").select("column_name", "digest", "value_count")
+        if winners.count() <= MAX_WINNERS:
+            winners = F.broadcast(winners)
+        long_ones = (
+            marked.filter(F.col("digest") != "")
+            .join(winners, ["column_name", "digest"])
+            .groupBy("column_name", "digest")
+            .agg(F.max("value").alias("value"), F.max("value_count").alias("value_count"))
+        )
+        found = short_ones.select(*kept).unionByName(long_ones.select(*kept))
+    order = Window.partitionBy("column_name").orderBy(F.desc("value_count"), "value")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def marked_values(df: DataFrame, names: list[str]) -> DataFrame:
+    """column_name, value, its first characters and, if it is longer, its digest."""
+    values = (
         df.selectExpr(*[f"CAST({quoted(n)} AS STRING) AS {quoted(n)}" for n in names])
         .unpivot([], [col(n) for n in names], "column_name", "value")
         .filter(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
-        .agg(F.count(F.lit(1)).alias("value_count"))
     )
-    best = Window.partitionBy("column_name").orderBy(F.desc("value_count"), "value")
-    return counted.withColumn("rank", F.row_number().over(best)).filter(
-        F.col("rank") <= k
+    short = F.substring("value", 1, PREFIX)
+    digest = F.when(F.char_length("value") > PREFIX, F.sha2("value", 256))
+    return values.withColumns({"short": short, "digest": F.coalesce(digest, F.lit(""))})
+
+
+def frequent_keys(marked: DataFrame, k: int) -> DataFrame:
+    """What the ``k`` most frequent values of each column are counted by, ties included."""
+    counted = marked.groupBy("column_name", "short", "digest").agg(
+        F.count(F.lit(1)).alias("value_count")
     )
+    # values that start alike tie here; which of them is smaller only their whole tells
+    best = Window.partitionBy("column_name").orderBy(F.desc("value_count"), "short")
+    return counted.withColumn("rank", F.rank().over(best)).filter(F.col("rank") <= k)

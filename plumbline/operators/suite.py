@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed, normalise, ratio
+from plumbline.functions.columns import ambiguous
 from plumbline.operators.checks import (
     Limits,
     MailColumns,
@@ -49,8 +50,13 @@ def run_suite(
     and suggestion rows carry no status. All of it shares one fused aggregate plus one
     small batch of columns at a time for the exact distinct counts.
     """
+    lost, width = ambiguous(df), len(df.columns)
     df, m = normalise(df), Measures(approx_distinct_error)
-    found: list[Finding] = []
+    found: list[Finding] = [
+        Finding(check, name, f"{check.title()} of {name}", error=f"column name {name} is ambiguous")
+        for name in lost
+        for check in ("completeness", "uniqueness")
+    ]
     found += completeness_findings(df, m, None, limits)
     found += uniqueness_findings(df, m, None, limits)
     found += consistency_findings(df, m, None, limits)
@@ -67,7 +73,7 @@ def run_suite(
             "dataset_info",
             None,
             "Dataset info",
-            metrics={"rows": total(m), "columns": str(len(df.columns))},
+            metrics={"rows": total(m), "columns": str(width)},
         )
     )
     if profile:

@@ -12,10 +12,11 @@ import datetime
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.plans.findings import FINDINGS_SCHEMA
+from plumbline.sources.pinning import pin
 
 PARTITIONS = ("dataset_name", "run_id")
 
@@ -117,17 +118,23 @@ class RunStore:
     def alerts(self) -> DataFrame:
         return self.read("alerts")
 
-    def run_metrics(self, run_id: str) -> DataFrame:
+    def of_run(self, table: str, run_id: str, dataset_name: str | None = None) -> DataFrame:
+        """One run's rows; with its dataset no other folder is looked at."""
+        if dataset_name is not None:
+            return self.read_run(table, dataset_name, run_id)
+        return self.read(table).filter(F.col("run_id") == run_id)
+
+    def run_metrics(self, run_id: str, dataset_name: str | None = None) -> DataFrame:
         """Check results of one run; no rows if the run is unknown."""
-        return self.read("check_results").filter(F.col("run_id") == run_id)
+        return self.of_run("check_results", run_id, dataset_name)
 
-    def run_anomalies(self, run_id: str) -> DataFrame:
-        return self.read("anomalies").filter(F.col("run_id") == run_id)
+    def run_anomalies(self, run_id: str, dataset_name: str | None = None) -> DataFrame:
+        return self.of_run("anomalies", run_id, dataset_name)
 
-    def metrics_document(self, run_id: str) -> DataFrame:
+    def metrics_document(self, run_id: str, dataset_name: str | None = None) -> DataFrame:
         """(run_id, json): one document with the run's record and all its results."""
         results = (
-            self.run_metrics(run_id)
+            self.run_metrics(run_id, dataset_name)
             .groupBy("run_id")
             .agg(
                 F.array_sort(
@@ -155,7 +162,7 @@ class RunStore:
                 F.from_json(r["params"], "map<string,string>").alias("params"),
             ),
         )
-        record = self.runs().filter(F.col("run_id") == run_id)
+        record = self.of_run("runs", run_id, dataset_name)
         return record.join(results, "run_id").select(
             "run_id",
             F.to_json(
@@ -181,15 +188,39 @@ class RunStore:
         folder = self.run_path(table, dataset_name, run_id)
         rows.drop(*PARTITIONS).coalesce(1).write.mode("overwrite").parquet(folder)
 
-    def append(self, table: str, rows: DataFrame) -> None:
-        """Add rows of any runs to what is there."""
+    def replace_runs(self, table: str, rows: DataFrame) -> None:
+        """Write rows of any runs; what these runs wrote before is replaced.
+
+        Rows are dealt out by run, so as many tasks write as there are runs.
+        """
         (
-            rows.coalesce(1)
-            .write.mode("append")
+            rows.repartition(*PARTITIONS)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*PARTITIONS)
             .parquet(self.table_path(table))
         )
 
+    def add_alerts(self, alerts: DataFrame) -> DataFrame:
+        """Keep alerts, one per run, type and column, and return all of their runs.
+
+        Adding the same alerts again changes nothing; other alerts of the same runs stay.
+        """
+        key = ["run_id", "dataset_name", "type", "column_name"]
+        new = pin(alerts)
+        known = self.read("alerts").join(
+            new.select(*PARTITIONS).distinct(), list(PARTITIONS), "left_semi"
+        )
+        both = known.withColumn("age", F.lit(1)).unionByName(new.withColumn("age", F.lit(0)))
+        latest = Window.partitionBy(*key).orderBy("age")
+        kept = pin(
+            both.withColumn("place", F.row_number().over(latest))
+            .filter("place = 1")
+            .select(*ALERT_FIELDS)
+        )
+        self.replace_runs("alerts", kept)
+        return kept
+
     def save_results(
         self,
         results: DataFrame,

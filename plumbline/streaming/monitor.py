@@ -13,11 +13,12 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.operators.alerts import (
+    CHECK_ERROR,
     AlertConfig,
     AlertRule,
     anomaly_alerts,
@@ -28,15 +29,21 @@ from plumbline.operators.alerts import (
 from plumbline.operators.anomalies import Band, anomaly_counts
 from plumbline.operators.checks import Limits
 from plumbline.operators.suite import run_record, run_suite
-from plumbline.sources.pinning import checkpoint_folder
-from plumbline.sources.store import RunStore, new_run_id
+from plumbline.sources.store import (
+    ALERT_FIELDS,
+    ALERTS,
+    RUNS,
+    RunStore,
+    folder_name,
+    new_run_id,
+)
 
 
 @dataclass(frozen=True)
 class Cycle:
     run_id: str
     dataset_name: str
-    quality_score: float
+    quality_score: float | None
     alert_count: int
 
 
@@ -104,6 +111,28 @@ def run_cycle(
     return Cycle(run_id, dataset_name, score, alerts.count())
 
 
+def record_failure(
+    dataset_name: str, store: RunStore, run_id: str, error: Exception
+) -> Cycle:
+    """A run with status ``failed`` and the alert that says why."""
+    spark, now = store.spark, datetime.datetime.now()
+    said = (str(error).strip().splitlines() or [type(error).__name__])[0]
+    alert = {
+        "run_id": run_id, "dataset_name": dataset_name, "type": "system_error",
+        "severity": "high", "message": CHECK_ERROR.format(said), "timestamp": now,
+    }
+    rows = spark.createDataFrame([tuple(alert.get(f) for f in ALERT_FIELDS)], ALERTS)
+    store.write("alerts", rows, dataset_name, run_id)
+    run = (run_id, dataset_name, now, None, None, None, None, "failed")
+    store.write("runs", spark.createDataFrame([run], RUNS), dataset_name, run_id)
+    return Cycle(run_id, dataset_name, None, 1)
+
+
+def _lasting_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark keeps in a checkpoint: the same for every start from it."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+
+
 def start_monitoring(
     stream: DataFrame,
     dataset_name: str,
@@ -114,6 +143,7 @@ def start_monitoring(
     available_now: bool = False,
     source: Callable[[], DataFrame] | None = None,
     on_cycle: Callable[[Cycle], None] | None = None,
+    go_on: bool = False,
     **cycle_options: Any,
 ) -> StreamingQuery:
     """Run a cycle on every micro-batch of ``stream``, at once and then at the interval.
@@ -121,32 +151,41 @@ def start_monitoring(
     With ``source`` a cycle checks the whole table it returns, as it stands when the batch
     arrives; the stream then only says when. Without it the batch itself is checked.
 
-    The run id is made from the dataset and the batch number, and a run overwrites its
-    own partitions, so a batch replayed after a failure leaves one set of results. A
-    failing cycle fails the query; restarting it repeats that batch.
+    The checkpoint lies in the store by default, so that stores do not share offsets. The
+    run id is made from the dataset, the query's lasting id and the batch number, and a
+    run overwrites its own partitions: a batch replayed after a failure leaves one set of
+    results, and a query with another checkpoint never replaces them.
+
+    A failing cycle fails the query; restarting it repeats that batch. With ``go_on`` the
+    failure is recorded instead, as a run with status ``failed`` and a system alert, and
+    the next batch is awaited; the failed batch is not tried again.
     """
     rules = tuple(rules)
     if checkpoint is None:
-        checkpoint = f"{checkpoint_folder(stream.sparkSession)}/monitoring/{dataset_name}"
+        checkpoint = f"{store.path}/_checkpoints/{folder_name(dataset_name)}"
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
+        own = RunStore(batch.sparkSession, store.path)
+        run_id = f"{dataset_name}-{_lasting_id(batch.sparkSession, checkpoint)}-{batch_id:010d}"
+        try:
+            done = checked(batch, own, run_id)
+        except Exception as error:
+            if not go_on:
+                raise
+            done = record_failure(dataset_name, own, run_id, error)
+        if on_cycle is not None:
+            on_cycle(done)
+
+    def checked(batch: DataFrame, own: RunStore, run_id: str) -> Cycle:
         # A cycle passes over its data several times; a batch is read from its source once.
         data = batch.persist(StorageLevel.MEMORY_AND_DISK) if source is None else source()
         try:
-            done = run_cycle(
-                data,
-                dataset_name,
-                RunStore(data.sparkSession, store.path),
-                config,
-                rules,
-                run_id=f"{dataset_name}-{batch_id:010d}",
-                **cycle_options,
+            return run_cycle(
+                data, dataset_name, own, config, rules, run_id=run_id, **cycle_options
             )
         finally:
             if source is None:
                 data.unpersist()
-        if on_cycle is not None:
-            on_cycle(done)
 
     writer = stream.writeStream.foreachBatch(cycle).option(
         "checkpointLocation", checkpoint

@@ -39,6 +39,10 @@ def quality_by_window(
 
     All measures of a window are combined map-side, so a window holding most of the rows
     is one row per task in the shuffle.
+
+    Rows without a time are in no window. On a table they are reported together, in rows
+    whose bounds are NULL; on a stream, where no watermark would ever close such a row,
+    ``rows_without_time`` counts them beside the windows.
     """
     stamp = col(timestamp)
     if isinstance(df.schema[timestamp].dataType, T.TimestampNTZType) and (
@@ -65,9 +69,15 @@ def quality_by_window(
                 f"approx_count_distinct({quoted(name)}, {approx_distinct_error}) "
                 f"AS distinct{i}"
             )
-    windows = rows.groupBy(F.window(stamp, window).alias("window")).agg(
-        *[F.expr(measure) for measure in measures]
-    )
+    if df.isStreaming or watermark is not None:
+        keys = [F.window(stamp, window).alias("window")]
+    else:
+        # any moment does for rows without one: they are grouped apart
+        moment = F.coalesce(stamp, F.lit(0).cast("timestamp").cast(df.schema[timestamp].dataType))
+        keys = [F.window(moment, window).alias("window"), stamp.isNull().alias("untimed")]
+    windows = rows.groupBy(*keys).agg(*[F.expr(measure) for measure in measures])
+    if len(keys) == 2:
+        windows = windows.withColumn("window", F.expr("if(untimed, NULL, window)"))
 
     entries = []
     for i, name in enumerate(names):
@@ -91,3 +101,14 @@ def quality_by_window(
         "window.end AS window_end",
         f"inline(array({', '.join(entries)}))",
     )
+
+
+def rows_without_time(df: DataFrame, timestamp: str) -> DataFrame:
+    """One row: how many rows have no event time, and how many there are.
+
+    On a stream write it in ``complete`` mode; its state is one row.
+    """
+    return df.agg(
+        F.count_if(col(timestamp).isNull()).alias("untimed_rows"),
+        F.count(F.lit(1)).alias("total_rows"),
+    )

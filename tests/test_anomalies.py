@@ -73,3 +73,21 @@ def test_unknown_columns_are_skipped_and_text_refused(readings, people):
 def test_sample_deviation(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "x double")
     assert Z.fit_bands(df)["x"].std == pytest.approx(np.std([1, 2, 4], ddof=1))
+
+
+@pytest.mark.parametrize("values", [
+    [1.0, 2.0, math.inf], [1.0, -math.inf, math.inf, 3.0], [5.0], [math.nan, math.nan], [2.0] * 4
+])
+def test_no_band_without_a_finite_deviation(spark, values):
+    df = spark.createDataFrame([(v,) for v in values + [None]], "v double")
+    row = Z.detect_anomalies(df).first()
+    assert (row.anomaly_count, row.total_count) == (0, len(values) + 1)
+    assert Z.anomaly_rows(df, Z.fit_bands(df)).count() == 0
+    assert Z.anomaly_histogram(df, Z.fit_bands(df)).count() == 0
+
+
+def test_infinite_hits_of_a_given_band_are_in_no_bin(spark):
+    df = spark.createDataFrame([(v,) for v in (0.0, 9.0, 11.0, math.inf)], "v double")
+    bins = Z.anomaly_histogram(df, {"v": Z.Band(0.0, 1.0)}, bins=2).collect()
+    assert sum(b.value_count for b in bins) == 2
+    assert all(math.isfinite(b.upper_edge) for b in bins)

@@ -80,8 +80,11 @@ def test_latest_runs_are_limited_before_the_shuffle(spark, folder):
 
 
 def test_top_values_are_limited_before_the_last_shuffle(spark, folder):
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
-    text = plan(P.top_values(orders))
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    text = plan(P.frequent_keys(P.marked_values(documents, ["text", "lang"]), 10))
+    # no whole text is shuffled
+    for keys in re.findall(r"hashpartitioning\((.*?)\), ENSURE", text):
+        assert "value#" not in keys
     partial = text.index("Partial")
     assert text.index("Final") < text.index("Exchange") < partial
     # values are counted map-side, below their own shuffle
@@ -90,8 +93,9 @@ def test_top_values_are_limited_before_the_last_shuffle(spark, folder):
 
 def test_duplicates_shuffle_fingerprints_not_rows(spark, folder):
     text = plan(D.duplicate_rows(spark.read.parquet(f"{folder}/lineitem.parquet")))
-    # no fingerprint occurs twice, so the rows themselves are not grouped at all
-    assert "FileScan" not in text
+    # one scan, and nothing but the fingerprint is a key
+    assert text.count("FileScan") == 1
+    assert re.findall(r"hashpartitioning\(([a-z]+)#", text) == ["fingerprint"]
 
 
 def test_last_runs_need_no_full_sort(spark, folder):

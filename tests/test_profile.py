@@ -141,12 +141,21 @@ def test_top_values_rank_ties_by_value(spark):
 # ---------------------------------------------------------------- duplicates, issues
 
 
-@pytest.mark.parametrize("max_broadcast", [1_000_000, 0])
-def test_duplicates(spark, max_broadcast):
+@pytest.fixture(params=["10m", "-1"])
+def broadcasts(spark, request):
+    """With and without broadcast joins."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, request.param)
+    yield
+    spark.conf.set(key, before)
+
+
+def test_duplicates(spark, broadcasts):
     rows = [(1, "a"), (1, "a"), (1, "a"), (None, "x"), (None, "x"), (2, None), (3, "c")]
     df = spark.createDataFrame(rows, "a int, b string")
-    assert D.duplicate_rows(df, max_broadcast).first().duplicate_rows == 3
-    groups = {(r.a, r.b): r.copies for r in D.duplicate_groups(df, max_broadcast).collect()}
+    assert D.duplicate_rows(df).first().duplicate_rows == 3
+    groups = {(r.a, r.b): r.copies for r in D.duplicate_groups(df).collect()}
     assert groups == {(1, "a"): 3, (None, "x"): 2}
 
 
@@ -168,8 +177,17 @@ def test_duplicates_with_nan_zero_and_maps(spark):
 
 def test_half_the_table_is_one_row(spark):
     df = spark.range(4000).selectExpr("if(id % 2 = 0, -1, id) AS k", "if(id % 2 = 0, 'hot', 'x') AS v")
-    for limit in (1_000_000, 0):
-        assert D.duplicate_rows(df, limit).first().duplicate_rows == 1999
+    assert D.duplicate_rows(df).first().duplicate_rows == 1999
+
+
+def test_nested_nulls_are_told_apart(spark):
+    df = spark.sql(
+        "SELECT array(1, NULL) AS a, named_struct('x', 1, 'y', CAST(NULL AS INT)) AS s "
+        "UNION ALL SELECT array(NULL, 1), named_struct('x', CAST(NULL AS INT), 'y', 1) "
+        "UNION ALL SELECT array(), NULL UNION ALL SELECT NULL, NULL"
+    )
+    assert D.duplicate_rows(df).first().duplicate_rows == 0
+    assert D.duplicate_rows(df.union(df)).first().duplicate_rows == 4
 
 
 def test_issue_summary(people):

@@ -60,11 +60,11 @@ def test_counts_equal_python(spark, data):
 
 
 @few
-@given(data=rows, limit=st.sampled_from([0, 1_000_000]))
-def test_duplicates_are_rows_less_distinct_rows(spark, data, limit):
+@given(data=rows)
+def test_duplicates_are_rows_less_distinct_rows(spark, data):
     df = frame(spark, data)
     plain = {tuple(None if missing(v) else v for v in r) for r in data}
-    assert D.duplicate_rows(df, limit).first().duplicate_rows == len(data) - len(plain)
+    assert D.duplicate_rows(df).first().duplicate_rows == len(data) - len(plain)
 
 
 @few

@@ -9,6 +9,7 @@ from plumbline.operators import alerts as A
 from plumbline.operators import anomalies as Z
 from plumbline.operators import suite as S
 from plumbline.sources import RunStore
+from plumbline.streaming.windows import rows_without_time
 from plumbline.streaming import quality_by_window, run_cycle, start_monitoring
 
 NOW = datetime.datetime(2024, 5, 1, 12)
@@ -75,7 +76,8 @@ def test_stream_runs_a_cycle_per_batch(spark, people, store, tmp_path):
         assert query.awaitTermination(180)
 
     go()
-    assert [c.run_id for c in seen] == ["people-0000000000", "people-0000000001"]
+    assert [c.run_id[-11:] for c in seen] == ["-0000000000", "-0000000001"]
+    assert len({c.run_id[:-11] for c in seen}) == 1
     assert sorted(r.rows for r in store.runs().collect()) == [2, 5]
     full = [r for r in store.runs().collect() if r.rows == 5][0]
     assert full.quality_score == 75.0
@@ -128,3 +130,55 @@ def test_window_distinct_counts(spark, folder):
     rows = quality_by_window(events, "ts", "30 days", ["event_type"], approx_distinct_error=0.02)
     exact = events.agg(F.count_distinct("event_type")).first()[0]
     assert {r.approx_distinct for r in rows.collect()} == {exact}
+
+
+def write_source(people, tmp_path, name="in"):
+    people.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    return people.sparkSession.readStream.schema(people.schema).parquet(f"{tmp_path}/{name}")
+
+
+def watch(stream, store, **options):
+    query = start_monitoring(stream, "people: a/b", store, available_now=True, **options)
+    assert query.awaitTermination(180)
+
+
+def test_stores_do_not_share_a_default_checkpoint(spark, people, tmp_path):
+    stream = write_source(people, tmp_path)
+    stores = [RunStore(spark, f"{tmp_path}/{name}") for name in ("one", "two")]
+    for store in stores:
+        watch(stream, store)
+        watch(stream, store)  # resumes, and finds nothing new
+    assert [store.runs().count() for store in stores] == [1, 1]
+
+
+def test_fresh_checkpoint_leaves_older_runs(people, store, tmp_path):
+    stream = write_source(people, tmp_path)
+    for name in ("first", "second"):
+        watch(stream, store, checkpoint=f"{tmp_path}/{name}")
+    assert store.runs().count() == 2
+
+
+def test_failed_cycle_is_recorded(people, store, tmp_path):
+    stream = write_source(people, tmp_path)
+
+    def broken():
+        raise ValueError("no such table")
+
+    watch(stream, store, source=broken, go_on=True)
+    run = store.runs().first()
+    assert (run.status, run.rows, run.quality_score) == ("failed", None, None)
+    alert = store.alerts().first()
+    assert alert.type == "system_error" and "no such table" in alert.message
+
+
+def test_rows_without_time_are_counted(spark):
+    df = spark.sql(
+        "SELECT CAST(t AS TIMESTAMP) AS t, v FROM VALUES ('2024-01-01 10:10:00', 1), (NULL, -1), "
+        "(NULL, NULL) AS x(t, v)"
+    )
+    rows = {r.window_start: r for r in quality_by_window(df, "t", "1 hour").collect()}
+    assert sum(r.total_count for r in rows.values()) == 3
+    untimed = rows[None]
+    assert (untimed.window_end, untimed.total_count, untimed.null_count) == (None, 2, 1)
+    assert untimed.status == "Failure"
+    assert tuple(rows_without_time(df, "t").first()) == (2, 3)
