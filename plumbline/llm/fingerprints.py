@@ -26,8 +26,13 @@ from plumbline.llm.ranks import numbered
 from plumbline.sources.pinning import pin
 
 SAMPLES = 64
-#: Bytes of text in a shard, about.
-SHARD = 12 << 20
+#: Bytes of text in a shard and in a partition of shards, about.
+SHARD = 2 << 20
+PARTITION = 3 << 20
+#: Samples worked out in one row: few enough for the JVM to compile their code.
+CHUNK = 4
+#: Rows (of seven numbers) that may be broadcast; more are joined by shuffle.
+BROADCAST = 300_000
 #: Bits kept of a sample's identity.
 NAME = 20
 
@@ -38,11 +43,11 @@ def _uniform(bits: Column, low: int) -> Column:
     return (part + F.lit(0.5)) / F.lit(float(1 << 24))
 
 
-def sample(term: Column, log_weight: Column, nth: int) -> Column:
+def sample(term: Column, log_weight: Column, nth: Column) -> Column:
     """A term's value for the n-th sample above its name, as one orderable number."""
-    one = F.xxhash64(term, F.lit(nth))
-    two = F.xxhash64(one, F.lit(nth))
-    three = F.xxhash64(two, F.lit(nth))
+    one = F.xxhash64(term, nth)
+    two = F.xxhash64(one, nth)
+    three = F.xxhash64(two, nth)
     r = -F.log(_uniform(one, 0) * _uniform(one, 24))
     c = -F.log(_uniform(two, 0) * _uniform(two, 24))
     b = _uniform(three, 0)
@@ -85,18 +90,41 @@ def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> Dat
     shared = weighted.groupBy(shard, "term", "weight").agg(
         F.collect_list(F.struct(*rest)).alias("owners")
     )
-    log_weight = F.log(F.col("weight").cast("double"))
-    values = F.array(*[sample(F.col("term"), log_weight, i) for i in range(samples)])
-    valued = shared.select(
-        shard, "owners", F.when(F.col("term").isNotNull(), values).alias("values")
+    chunks = -(-samples // CHUNK)
+    each = shared.select(
+        shard, "owners", "term", F.log(F.col("weight").cast("double")).alias("log_weight"),
+        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
     )
-    dealt = valued.select(shard, "values", F.explode("owners").alias("owner"))
-    dealt = dealt.select(shard, *[F.col(f"owner.{k}").alias(k) for k in rest], "values")
-    least = dealt.groupBy(*keys).agg(
-        *[F.min(F.get("values", F.lit(i))).alias(f"v{i}") for i in range(samples)]
+    values = [
+        F.when(
+            F.col("term").isNotNull(),
+            sample(F.col("term"), F.col("log_weight"), F.col("chunk") * CHUNK + i),
+        ).alias(f"v{i}")
+        for i in range(CHUNK)
+    ]
+    valued = each.select(shard, "owners", "chunk", *values)
+    # Spark would compile the samples into the loop over the owners and work them out for
+    # each; a lambda is never compiled, so the loop gets finished rows
+    owners = F.transform("owners", lambda o: F.struct(*[o[k].alias(k) for k in rest]))
+    dealt = valued.select(
+        shard, "chunk", *[f"v{i}" for i in range(CHUNK)], F.explode(owners).alias("owner")
     )
-    names = F.array(*[F.col(f"v{i}").bitwiseAND((1 << NAME) - 1) for i in range(samples)])
-    return least.select(*keys, F.when(F.col("v0").isNotNull(), names).alias("samples"))
+    dealt = dealt.select(
+        shard, *[F.col(f"owner.{k}").alias(k) for k in rest], "chunk",
+        *[f"v{i}" for i in range(CHUNK)],
+    )
+    least = dealt.groupBy(*keys, "chunk").agg(
+        *[F.min(f"v{i}").alias(f"v{i}") for i in range(CHUNK)]
+    )
+    names = F.array(
+        *[F.col(f"v{i}").bitwiseAND((1 << NAME) - 1).cast("int") for i in range(CHUNK)]
+    )
+    parts = least.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("chunk", names.alias("names")))).alias("parts"),
+        F.count("v0").alias("known"),
+    )
+    joined = F.slice(F.flatten(F.col("parts.names")), 1, samples)
+    return parts.select(*keys, F.when(F.col("known") > 0, joined).alias("samples"))
 
 
 def fingerprints(
@@ -132,35 +160,46 @@ def fingerprints(
     leads = (at == 0) | (shard_of(at - 1) < shard_of(at))
     places = F.when(leads, F.array(here, before)).otherwise(F.array(here))
     seats = placed.select("__file", "__row", F.explode(places).alias("seat"))
-    seated = known.join(seats.select("__file", "__row", "seat.*"), ["__file", "__row"])
-    seated = seated.select("shard", "ord", "own", "doc_id", "text").repartition("shard")
+    seats = seats.select("__file", "__row", "seat.*")
+    if count <= BROADCAST:
+        seats = F.broadcast(seats)
+    seated = known.join(seats, ["__file", "__row"]).select("shard", "ord", "own", "doc_id", "text")
+    seated = seated.repartition(max(1, -(-(size or 0) // PARTITION)), "shard")
 
     order = Window.partitionBy("shard").orderBy("ord")
     chars = F.char_length("text")
     half = F.floor(chars / 2).cast("int")
-    edited = F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 2) AS int))"),
-                      F.substring(F.lead("text").over(order), F.lit(1), half))
+    kept = F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 2) AS int))")
+    edited = F.concat(kept, F.substring(F.lead("text").over(order), F.lit(1), half))
     both = seated.select("shard", "ord", "own", "doc_id", "text", edited.alias("edited"))
-    facts = both.where("own").select(
-        "shard", "ord", "doc_id", chars.cast("bigint").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
+    # what else the result tells of a document travels with it as a third version
+    facts = F.concat_ws(
+        "|", chars.cast("string"), F.sha2("edited", 256), F.col("doc_id").cast("string")
     )
-    plain = F.struct(F.lit(0).alias("version"), F.col("text"))
-    changed = F.struct(F.lit(1).alias("version"), F.col("edited").alias("text"))
-    versions = F.when(F.col("own"), F.array(plain, changed)).otherwise(F.array(plain))
-    texts = both.select("shard", "ord", "doc_id", F.explode(versions).alias("v"))
-    keys = ["shard", "ord", "doc_id", "version"]
-    found = signatures(texts.select("shard", "ord", "doc_id", "v.*"), keys, samples)
-    # sorted by version: a document, its edited text, the next document
-    after = Window.partitionBy("shard").orderBy("ord", "version")
+    none = F.lit(None).cast("string")
+
+    def version(number: int, text: Column, fact: Column) -> Column:
+        who = F.col("ord") * 3 + number
+        return F.struct(who.alias("who"), text.alias("text"), fact.alias("fact"))
+
+    plain = version(0, F.col("text"), none)
+    own = F.array(plain, version(1, F.col("edited"), none), version(2, F.lit(""), facts))
+    versions = F.when(F.col("own"), own).otherwise(F.array(plain))
+    texts = both.select("shard", F.explode(versions).alias("v")).select("shard", "v.*")
+    found = signatures(texts, ["shard", "who", "fact"], samples)
+    # a document, its edited text, its facts, the next document
+    after = Window.partitionBy("shard").orderBy("who")
     found = found.select(
-        "shard", "ord", "version", "samples",
+        "who", "samples",
         F.lead("samples", 1).over(after).alias("edited"),
-        F.lead("samples", 2).over(after).alias("next"),
-    ).where("version = 0").drop("version")
-    found = pin(found)
-    return facts.join(found, ["shard", "ord"]).select(
-        "doc_id", "n_chars", "edited_sha256",
+        F.split(F.lead("fact", 2).over(after), "\\|", 3).alias("facts"),
+        F.lead("samples", 3).over(after).alias("next"),
+    ).where("who % 3 = 0 AND facts IS NOT NULL")
+    kind = known.schema["doc_id"].dataType
+    return found.select(
+        F.get("facts", F.lit(2)).cast(kind).alias("doc_id"),
+        F.get("facts", F.lit(0)).cast("bigint").alias("n_chars"),
+        F.get("facts", F.lit(1)).alias("edited_sha256"),
         spelled(F.col("samples")).alias("fingerprint"),
         spelled(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("samples"), F.col("edited")).alias("near_edited"),
