@@ -30,7 +30,7 @@ SAMPLES = 64
 SHARD = 2 << 20
 PARTITION = 3 << 20
 #: Samples worked out in one row: few enough for the JVM to compile their code.
-CHUNK = 4
+CHUNK = 8
 #: Rows (of seven numbers) that may be broadcast; more are joined by shuffle.
 BROADCAST = 300_000
 #: Bits kept of a sample's identity.
@@ -95,33 +95,33 @@ def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> Dat
         shard, "owners", "term", F.log(F.col("weight").cast("double")).alias("log_weight"),
         F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
     )
+    # not within a condition, where Spark would work out every common part again and again;
+    # a text without words has no other terms, and its values are dropped at the end
     values = [
-        F.when(
-            F.col("term").isNotNull(),
-            sample(F.col("term"), F.col("log_weight"), F.col("chunk") * CHUNK + i),
-        ).alias(f"v{i}")
+        sample(F.col("term"), F.col("log_weight"), F.col("chunk") * CHUNK + i).alias(f"v{i}")
         for i in range(CHUNK)
     ]
-    valued = each.select(shard, "owners", "chunk", *values)
+    some = F.col("term").isNotNull().cast("int").alias("some")
+    valued = each.select(shard, "owners", "chunk", some, *values)
     # Spark would compile the samples into the loop over the owners and work them out for
     # each; a lambda is never compiled, so the loop gets finished rows
     owners = F.transform("owners", lambda o: F.struct(*[o[k].alias(k) for k in rest]))
     dealt = valued.select(
-        shard, "chunk", *[f"v{i}" for i in range(CHUNK)], F.explode(owners).alias("owner")
+        shard, "chunk", "some", *[f"v{i}" for i in range(CHUNK)], F.explode(owners).alias("owner")
     )
     dealt = dealt.select(
-        shard, *[F.col(f"owner.{k}").alias(k) for k in rest], "chunk",
+        shard, *[F.col(f"owner.{k}").alias(k) for k in rest], "chunk", "some",
         *[f"v{i}" for i in range(CHUNK)],
     )
     least = dealt.groupBy(*keys, "chunk").agg(
-        *[F.min(f"v{i}").alias(f"v{i}") for i in range(CHUNK)]
+        F.max("some").alias("some"), *[F.min(f"v{i}").alias(f"v{i}") for i in range(CHUNK)]
     )
     names = F.array(
         *[F.col(f"v{i}").bitwiseAND((1 << NAME) - 1).cast("int") for i in range(CHUNK)]
     )
     parts = least.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("chunk", names.alias("names")))).alias("parts"),
-        F.count("v0").alias("known"),
+        F.max("some").alias("known"),
     )
     joined = F.slice(F.flatten(F.col("parts.names")), 1, samples)
     return parts.select(*keys, F.when(F.col("known") > 0, joined).alias("samples"))
