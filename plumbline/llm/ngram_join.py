@@ -15,26 +15,31 @@ difference, and sets that differ in at most D shingles agree in at least K - D b
 next. A band fixes D, from its largest size, and K = D + 1 + a fifth of D. A class is
 sketched for its own band and for the next one.
 
-*Pigeonhole join.* The blocks that hold something are grouped by (band, block, value).
-Blocks without shingles are alike in many unrelated sets, and blocks that more than
-``HOT`` classes share (a passage that many documents quote) would join them all with
-each other; neither is needed for a class that has fewer of them than K - D, because
-then at least one block that agrees is another one. Classes that have more of them are
-*poor* in that band. Poor classes are paired within the hot groups as well, and classes
-with too many empty blocks also emit the shingles of their prefix (the least quarter by
-hash, which two linked sets share one of). Nothing is capped: a linked pair meets in some
-group that is worked off.
-
-*Verification without all pairs.* Of every group only stars around the smallest class
-are verified first, by the exact sets. Linked classes form components. Then the pairs
-of a group that are in different components, and only those, are verified; the groups of
-real copies have none left. What a link would join is already joined otherwise, so the
+*Pigeonhole join.* The blocks that hold something are grouped by (band, block, value): a
+list of classes for each group. Of the K - D blocks that agree, at most as many are empty
+as a class has empty ones, so a class shares ``need`` = K - D - (its empty blocks) lists
+with everyone it links to. A class therefore leaves its ``need`` - 1 largest lists (or
+all, if it has fewer than ``need``): of the lists that two linked classes share, the
+smallest is left by neither. Passages that many documents quote make few large lists,
+which drop out this way; nothing is capped. If so many blocks are empty that ``need`` is
+not positive, the class also sends its prefix: its least shingles by hash, of which two
+linked sets share at least ``shared_prefix`` ones.
+
+*Sifting.* A class also has one small parity sketch of about two bits per shingle. Two
+sketches of different length are folded to the shorter one. Pairs whose sizes or whose
+Hamming distance rule a link out go no further; few others are no links.
+
+*Verification without all pairs.* Of every list only the pairs with a hub, the class that
+meets most others, are sifted and verified first, by the exact sets. Linked classes form
+components. What then is in
+different components of a list is compared by sketch within the task that holds the
+list, and only pairs that may link come out of it, to be verified. What a link would join is already joined otherwise, so the
 components are the same as those of all links.
 
 *Layout.* Map tasks hash whole Arrow batches, sort the blocks and send one compressed run
 per bucket; a bucket merges its runs. The number of buckets follows the number of shingles.
 A value that is hot within one map task is settled there: its list goes out in one piece,
-and only its smallest class travels on. Stars go no wider than a list.
+and only its smallest class travels on. Long lists are kept in parts.
 """
 
 from __future__ import annotations
@@ -45,7 +50,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import rows
@@ -53,12 +58,14 @@ from plumbline.llm.components import components
 from plumbline.llm.words import _GAP, mixed, shingles, text_bytes, words_of
 from plumbline.sources.pinning import pin
 
-#: More classes than this make a group hot.
+#: A list of more classes leaves a map task in one piece.
 HOT = 200
 #: Blocks that a map task collects before it sorts and sends them.
 RUN = 1_000_000
 #: Blocks that a bucket is meant to merge.
 BUCKET = 2_000_000
+#: Rows (of three numbers) that may be broadcast; more are joined by shuffle.
+BROADCAST = 200_000
 #: Classes in one row of a list.
 PART = 4096
 #: Texts that are hashed together.
@@ -89,6 +96,11 @@ def blocks_of(band: int, starts: list[int]) -> tuple[int, int]:
     return differ + 1 + -(-differ // 5), differ
 
 
+def shared_prefix(band: int, starts: list[int]) -> int:
+    """How many shingles the prefixes of two linked sets of a band share at least."""
+    return 1 + 3 * starts[band] // 32
+
+
 def _bands(sizes: np.ndarray) -> tuple[np.ndarray, list[int]]:
     starts = band_starts(int(sizes.max(initial=1)) * 2 + 8)
     return np.searchsorted(starts, sizes, side="right") - 1, starts
@@ -128,17 +140,41 @@ def sketched(hashes: np.ndarray, first: np.ndarray):
         spare.append(k - plan[used, 1])
     # sets with too many empty blocks also send their prefix, in a lane of its own
     for role in (0, 1):
+        used = np.maximum(band, 0) + role
+        extra = np.array([shared_prefix(b, starts) for b in range(len(starts))], np.int64)[used]
         short = some[empty[role][some] >= spare[role][some]]
-        length = sizes[short] // 4 + 1
+        length = np.minimum(sizes[short], sizes[short] - -(-3 * sizes[short] // 4) + extra[short])
         who = np.repeat(short, length)
         step = np.arange(len(who)) - np.repeat(np.cumsum(length) - length, length)
         value = hashes[first[who] + step] if len(who) else hashes[:0]
-        lane = mixed(~(np.maximum(band, 0) + role)[who].astype(np.uint64))
-        out.append((who, -1 - (np.maximum(band, 0) + role)[who], mixed(value ^ lane)))
+        lane = mixed(~used[who].astype(np.uint64))
+        out.append((who, -1 - used[who], mixed(value ^ lane)))
     who, lanes, values = (np.concatenate([o[i] for o in out]) for i in range(3))
     return who, lanes, values, empty, spare, np.maximum(band, 0)
 
 
+def small_sketches(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """One parity sketch per set, of a power of two of bits, at least two per shingle."""
+    sizes = np.diff(first)
+    bits = 1 << np.ceil(np.log2(np.maximum(64, 2 * sizes))).astype(np.int64)
+    start = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = mixed(hashes ^ (_SALT + np.uint64(1))) & (bits[owner] - 1).astype(np.uint64)
+    odd = np.bincount(place.astype(np.int64) + start[:-1][owner], minlength=int(start[-1])) & 1
+    packed = np.packbits(odd.astype(bool), bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(start[:-1].tolist(), start[1:].tolist())]
+
+
+def apart(one: bytes, other: bytes) -> int:
+    """Hamming distance of two sketches, folded to the same length."""
+    if len(one) > len(other):
+        one, other = other, one
+    a, b = np.frombuffer(one, "<u8"), np.frombuffer(other, "<u8")
+    if len(a) < len(b):
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 # ---------------------------------------------------------------- classes
 
 
@@ -154,7 +190,7 @@ def _class_ids(column: pa.Array) -> np.ndarray:
 
 _MEMBER = (
     "doc_id bigint, __file bigint, __row bigint, class bigint, n_shingles bigint, "
-    "band int, empty0 int, spare0 int, empty1 int, spare1 int"
+    "sketch binary, band int, need0 int, need1 int"
 )
 
 
@@ -169,8 +205,9 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     part.column("doc_id"), part.column("__file"), part.column("__row"),
                     pa.array(_class_ids(text)), pa.array(np.diff(first)),
+                    pa.array(small_sketches(hashes, first), pa.binary()),
                     pa.array(band.astype(np.int32)),
-                    *[pa.array(x.astype(np.int32)) for r in (0, 1) for x in (empty[r], spare[r])],
+                    *[pa.array((spare[r] - empty[r]).astype(np.int32)) for r in (0, 1)],
                 ],
                 [c.split()[0] for c in _MEMBER.split(", ")],
             )
@@ -178,8 +215,8 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ---------------------------------------------------------------- groups
 
-_RUNS = "bucket int, ids binary, keys binary, owners binary, lanes binary, hot binary"
-_LISTS = "list bigint, lane int, hot boolean, members array<bigint>"
+_RUNS = "bucket int, ids binary, keys binary, owners binary, lanes binary"
+_LISTS = "list bigint, lane int, times int, members array<bigint>"
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -242,19 +279,18 @@ class _Sender:
         edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
         sizes = np.diff(edge)
         keep = np.ones(len(keys), bool)
-        hot = np.zeros(len(keys), bool)
         spare = 64 - int(self.shift)
         for g in np.flatnonzero(sizes > self.hot).tolist():
             a, b = int(edge[g]), int(edge[g + 1])
             members = np.sort(names[who[a:b]])
             keep[a:b] = False
             lead = a + int(np.argmin(names[who[a:b]]))
-            keep[lead] = hot[lead] = True
+            keep[lead] = True
             # the whole list goes out at once, to some bucket
             name = keys[a : a + 1] >> np.uint64(24 - spare)
             yield (g % (1 << spare), b"", name.tobytes(), members.tobytes(),
-                   lanes[a : a + 1].tobytes(), b"")
-        keys, who, lanes, hot = keys[keep], who[keep], lanes[keep], hot[keep]
+                   lanes[a : a + 1].tobytes())
+        keys, who, lanes = keys[keep], who[keep], lanes[keep]
         bucket = (keys >> self.shift) if spare else np.zeros(len(keys), np.uint64)
         cut = np.searchsorted(bucket, np.arange((1 << spare) + 1, dtype=np.uint64))
         drop = self.shift - np.uint64(40)
@@ -264,7 +300,7 @@ class _Sender:
                 short = (keys[a:z] >> drop) & _LOW
                 here, local = np.unique(who[a:z], return_inverse=True)
                 yield (b, names[here].tobytes(), _pack(short), local.astype("<u2").tobytes(),
-                       lanes[a:z].tobytes(), np.packbits(hot[a:z]).tobytes())
+                       lanes[a:z].tobytes())
 
 
 def _batch(found: list[tuple], schema: str) -> pa.RecordBatch:
@@ -292,44 +328,40 @@ def _sender(buckets: int, hot: int):
     return run
 
 
-def _merged(found: pa.Table, limit: int) -> pa.Table:
-    """Lists of classes that share a block, from all runs of a bucket."""
-    keys, owners, lanes, hot = [], [], [], []
+def _merged(found: pa.Table) -> pa.Table:
+    """Lists of classes that share a block, from all runs of a bucket.
+
+    ``times`` tells how many blocks of the bucket have exactly this list.
+    """
+    keys, owners, lanes = [], [], []
     lists: list[tuple] = []
     bucket = found.column("bucket")[0].as_py() if found.num_rows else 0
     for row in found.to_pylist():
         if not row["ids"]:
-            key = int(np.frombuffer(row["keys"], "<i8")[0])
+            name = int(np.frombuffer(row["keys"], "<i8")[0])
             lane = int(np.frombuffer(row["lanes"], "<i2")[0])
-            lists.append((key, lane, True, np.frombuffer(row["owners"], "<i8")))
+            members = np.frombuffer(row["owners"], "<i8")
+            lists += [(name, lane, 1, members[at : at + PART]) for at in range(0, len(members), PART)]
             continue
         names = np.frombuffer(row["ids"], "<i8")
         keys.append(_unpack(row["keys"]))
         owners.append(names[np.frombuffer(row["owners"], "<u2")])
         lanes.append(np.frombuffer(row["lanes"], "<i2"))
-        hot.append(np.unpackbits(np.frombuffer(row["hot"], "u1"), count=len(keys[-1])).astype(bool))
     if keys:
-        key, owner, lane, warm = map(np.concatenate, (keys, owners, lanes, hot))
+        key, owner, lane = map(np.concatenate, (keys, owners, lanes))
         order = np.argsort(key, kind="stable")
-        key, owner, lane, warm = key[order], owner[order], lane[order], warm[order]
+        key, owner, lane = key[order], owner[order], lane[order]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        seen = set()
+        same: dict[tuple, list] = {}
         for g in np.flatnonzero(np.diff(edge) > 1).tolist():
             a, b = int(edge[g]), int(edge[g + 1])
             members = np.unique(owner[a:b])
-            if len(members) < 2:
-                continue
-            is_hot = bool(warm[a:b].any()) or len(members) > limit
-            if not is_hot:
-                mark = members.tobytes()
-                if mark in seen:
-                    continue
-                seen.add(mark)
-            name = bucket << 40 | int(key[a])
-            lead, rest = members[:1], members[1:]
-            for at in range(0, len(rest), PART):
-                part = np.concatenate([lead, rest[at : at + PART]])
-                lists.append((name, int(lane[a]), is_hot, part))
+            if len(members) > 1:
+                mark = (int(lane[a]), members.tobytes())
+                same.setdefault(mark, [bucket << 40 | int(key[a]), 0])[1] += 1
+        for (where, members), (name, times) in same.items():
+            whole = np.frombuffer(members, "<i8")
+            lists += [(name, where, times, whole[at : at + PART]) for at in range(0, len(whole), PART)]
     return pa.Table.from_batches([_batch(lists, _LISTS)])
 
 
@@ -357,22 +389,54 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that sizes and sketches do not rule out."""
+    for batch in batches:
+        sizes = zip(batch.column("size_a").to_pylist(), batch.column("size_b").to_pylist())
+        sketches = zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())
+        mask = pa.array(
+            [4 * min(n) >= 3 * max(n) and apart(*s) <= sum(n) // 7 for n, s in zip(sizes, sketches)],
+            pa.bool_(),
+        )
+        yield pa.RecordBatch.from_arrays(
+            [pc.filter(batch.column("a"), mask), pc.filter(batch.column("b"), mask)], ["a", "b"]
+        )
+
+
 class _Join:
     def __init__(self, known: DataFrame, members: DataFrame) -> None:
-        text = rows.pick(known, text="text", __file="__file", __row="__row")
-        self.known, self.members = text, members
-        self.sample = members.where("n_shingles > 0").groupBy("class").agg(
-            F.min(F.struct("__file", "__row")).alias("at")
+        self.known = rows.pick(known, text="text", __file="__file", __row="__row")
+        found = members.where("n_shingles > 0").groupBy("class").agg(
+            F.min(F.struct("__file", "__row")).alias("at"),
+            F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"),
         )
+        self.sample = pin(found)
+
+    def sifted(self, pairs: DataFrame) -> DataFrame:
+        a = self.sample.select("class", "size", "sketch").toDF("a", "size_a", "sketch_a")
+        b = self.sample.select("class", "size", "sketch").toDF("b", "size_b", "sketch_b")
+        likely = pairs.join(a, "a").join(b, "b").where("4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b)")
+        return pin(likely.mapInArrow(_possible, "a bigint, b bigint"))
+
+    def open(self, entries: DataFrame, tried: DataFrame) -> DataFrame:
+        """The pairs within lists that are still open, but for those already verified."""
+        known = self.sample.select("class", "size", "sketch")
+        rows_of = entries.join(known, "class").select(*[c.split()[0] for c in _ENTRY.split(", ")])
+        sorted_rows = rows_of.repartition("list").sortWithinPartitions("list")
+        pairs = sorted_rows.mapInArrow(_open_within, "a bigint, b bigint").distinct()
+        return pin(pairs.join(tried, ["a", "b"], "left_anti"))
 
     def texts(self, pairs: DataFrame) -> DataFrame:
         """One text for every class of the pairs."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        rows_of = self.sample.join(wanted, "class").select("class", "at.__file", "at.__row")
+        rows_of = pin(self.sample.join(wanted, "class").select("class", "at.__file", "at.__row"))
+        if rows_of.count() <= BROADCAST:
+            rows_of = F.broadcast(rows_of)
         found = self.known.join(rows_of, ["__file", "__row"]).select("class", "text")
         return pin(found.repartition("class"))
 
-    def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        texts = self.texts(pairs)
         a = texts.toDF("a", "text_a")
         b = texts.toDF("b", "text_b")
         return pairs.join(a, "a").join(b, "b").mapInArrow(_alike, "a bigint, b bigint")
@@ -396,19 +460,15 @@ def linked(
     members = pin(known.mapInArrow(_members, _MEMBER))
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = 1 << max(0, int(np.ceil(np.log2(max(1, total / BUCKET)))))
-    lists = pin(_lists(known, buckets, hot))
+    lists = pin(_kept(_lists(known, buckets, hot), members))
     whole = _Join(known, members)
 
-    leads = lists.select(F.col("members")[0].alias("a"), F.explode("members").alias("b"))
-    stars = pin(leads.where("a <> b").distinct())
-    # hot lists come in parts; their smallest classes are tied by the list of the bucket
-    texts = whole.texts(stars)
-    links = pin(whole.verified(stars, texts))
+    hubs = whole.sifted(_open_pairs(lists, None, every=False))
+    links = pin(whole.verified(hubs))
     label = components(links)
-    rest = pin(_rest(lists, label, members, stars))
+    rest = whole.open(_open_pairs(lists, label, every=True), hubs)
     if not rest.isEmpty():
-        more = pin(whole.verified(rest, whole.texts(rest)))
-        label = components(links.unionByName(more))
+        label = components(links.unionByName(pin(whole.verified(rest))))
     return _labelled(members, label)
 
 
@@ -424,52 +484,135 @@ def _lists(known: DataFrame, buckets: int, hot: int) -> DataFrame:
         yield from send(classed())
 
     runs = known.select("text").mapInArrow(with_class, _RUNS)
-    return runs.groupBy("bucket").applyInArrow(lambda found: _merged(found, hot), _LISTS)
+    return runs.groupBy("bucket").applyInArrow(_merged, _LISTS)
+
 
+def _kept(lists: DataFrame, members: DataFrame) -> DataFrame:
+    """(list, class) without the lists that a class may leave; see *Pigeonhole join*.
 
-def _rest(lists: DataFrame, label: DataFrame, members: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of classes that share a list, are in different components, not yet tried."""
-    flat = lists.where("hot OR size(members) > 2").select(
-        "list", "lane", "hot", F.explode("members").alias("class")
+    A list that a map task sent and the same list of a bucket have the same name. A class
+    is in the lists of its own blocks only, so the window holds one class's blocks.
+    """
+    flat = lists.select("list", "lane", "times", F.explode("members").alias("class"))
+    flat = pin(flat.groupBy("list", "lane", "class").agg(F.max("times").alias("times")))
+    sizes = flat.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shape = members.where("n_shingles > 0").groupBy("class").agg(
+        *[F.first(c).alias(c) for c in ("band", "need0", "need1")]
+    )
+    starts = band_starts(1 << 40)
+    prefixes = F.array(*[F.lit(shared_prefix(b, starts)) for b in range(len(starts))])
+    need = F.when(F.col("lane") < 0, F.get(prefixes, -1 - F.col("lane"))).otherwise(
+        F.when(F.col("lane") == F.col("band"), F.col("need0")).otherwise(F.col("need1"))
     )
-    # blocks that are of no use to a class: empty ones and those of hot lists
-    shape = members.groupBy("class").agg(
-        *[F.first(c).alias(c) for c in ("band", "empty0", "spare0", "empty1", "spare1")]
+    largest = Window.partitionBy("class", "lane").orderBy(F.desc("n"), F.desc("list"))
+    found = flat.join(sizes, "list").join(shape, "class").withColumn(
+        "passed", F.sum("times").over(largest.rowsBetween(Window.unboundedPreceding, 0))
     )
-    warm = flat.where("hot AND lane >= 0").groupBy("class", "lane").agg(F.count(F.lit(1)).alias("n"))
-    own = F.col("lane") == F.col("band")
-    useless = F.col("n") + F.when(own, F.col("empty0")).otherwise(F.col("empty1"))
-    may = F.when(own, F.col("spare0")).otherwise(F.col("spare1"))
-    poor = warm.join(shape, "class").where(useless >= may).select("class", "lane")
-    cool = flat.where("NOT hot OR lane < 0")
-    held = flat.where("hot AND lane >= 0").join(poor, ["class", "lane"], "left_semi")
-    every = cool.unionByName(held.select(*cool.columns)).select("list", "class")
-    every = every.join(label.withColumnRenamed("node", "class"), "class", "left")
-    every = every.select("list", "class", F.coalesce("component", "class").alias("component"))
-    mixed_lists = (
-        every.groupBy("list")
+    kept = found.where(F.col("passed") >= need).select("list", "class")
+    several = kept.groupBy("list").agg(F.count(F.lit(1)).alias("left")).where("left > 1")
+    kept = kept.join(several, "list")
+    # how many others a class meets, list by list
+    met = kept.groupBy("class").agg(F.sum("left").alias("met"))
+    return kept.join(met, "class").select("list", "class", "met")
+
+
+def _open_pairs(
+    lists: DataFrame, label: DataFrame | None, every: bool
+) -> DataFrame:
+    """Of the lists that hold several components, the entries, or the pairs with the hub.
+
+    The hub is the class of the list's largest component that most others meet in lists.
+    """
+    if label is None:
+        placed = lists.withColumn("component", F.col("class"))
+    else:
+        placed = lists.join(label.withColumnRenamed("node", "class"), "class", "left")
+        placed = placed.withColumn("component", F.coalesce("component", "class"))
+    several = (
+        placed.groupBy("list")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low <> high")
         .select("list")
     )
-    every = pin(every.join(mixed_lists, "list").distinct())
-    sizes = every.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("list").agg(F.max(F.struct("n", "component")).alias("main"))
-    main = main.select("list", F.col("main.component").alias("main"))
-    placed = every.join(main, "list")
-    outer = placed.where("component <> main").select(
-        "list", F.col("class").alias("u"), F.col("component").alias("cu")
+    placed = pin(placed.select("list", "class", "met", "component").join(several, "list"))
+    sizes = placed.groupBy("list", "component").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.struct("met", "class")).alias("best")
     )
-    pairs = outer.join(placed, "list").where(
-        "cu <> component AND (component = main OR u < class)"
+    main = sizes.groupBy("list").agg(F.max(F.struct("n", "best", "component")).alias("main"))
+    main = main.select(
+        "list", F.col("main.component").alias("main"), F.col("main.best.class").alias("hub")
     )
-    pairs = pairs.select(F.least("u", "class").alias("a"), F.greatest("u", "class").alias("b")).distinct()
-    return pairs.join(done, ["a", "b"], "left_anti")
+    placed = placed.join(main, "list")
+    if every:
+        return placed.select("list", "class", "component", "main")
+    outer = placed.where("component <> main")
+    pairs = outer.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
+    return pairs.distinct()
+
 
+_ENTRY = "list bigint, class bigint, component bigint, main bigint, size bigint, sketch binary"
 
-def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
+
+def _open_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a list that are in different components and that nothing rules out.
+
+    Rows come sorted by list. Every class outside the list's largest component is held
+    against all others at once; pairs that the sketches rule out are never made.
+    """
+    seen: set = set()
+    kept: pa.Table | None = None
+
+    def pairs_of(part: pa.Table) -> None:
+        lists = part.column("list").to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1], [True]]))
+        names, component, main, size = (
+            part.column(c).to_numpy() for c in ("class", "component", "main", "size")
+        )
+        sketches = part.column("sketch").to_pylist()
+        for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            own = sketches[a:z]
+            width = min(map(len, own)) // 8
+            bits = np.stack(
+                [np.bitwise_xor.reduce(np.frombuffer(x, "<u8").reshape(-1, width), axis=0) for x in own]
+            )
+            name, where, many = names[a:z], component[a:z], size[a:z]
+            for u in np.flatnonzero(where != main[a]).tolist():
+                rest = (where != where[u]) & ((where == main[a]) | (np.arange(z - a) > u))
+                rest &= (4 * many >= 3 * many[u]) & (4 * many[u] >= 3 * many)
+                other = np.flatnonzero(rest)
+                differ = np.bitwise_count(bits[other] ^ bits[u]).sum(axis=1)
+                for v in other[differ <= (many[other] + many[u]) // 7].tolist():
+                    pair = (int(name[u]), int(name[v]))
+                    seen.add(pair if pair[0] < pair[1] else pair[::-1])
+
+    def found() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays(
+            [pa.array([p[i] for p in seen], pa.int64()) for i in (0, 1)], ["a", "b"]
+        )
+        seen.clear()
+        return out
+
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        kept = part if kept is None else pa.concat_tables([kept, part])
+        lists = kept.column("list").to_numpy()
+        last = int(np.searchsorted(lists, lists[-1])) if len(lists) else 0
+        if last:  # the last list may go on in the next batch
+            pairs_of(kept.slice(0, last))
+            kept = kept.slice(last)
+        if len(seen) > 100_000:
+            yield found()
+    if kept is not None and kept.num_rows:
+        pairs_of(kept)
+    yield found()
+
+
+def _labelled(members: DataFrame, label: DataFrame | None) -> DataFrame:
     classes = members.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("low"))
-    joined = classes.join(label.withColumnRenamed("node", "class"), "class", "left")
+    if label is None:
+        joined = classes.withColumn("component", F.col("class"))
+    else:
+        joined = classes.join(label.withColumnRenamed("node", "class"), "class", "left")
     joined = joined.select("class", "low", F.coalesce("component", "class").alias("component"))
     lows = joined.groupBy("component").agg(F.min("low").alias("component_id"))
     by_class = joined.join(lows, "component").select("class", "component_id")

@@ -3,9 +3,9 @@ from __future__ import annotations
 import os
 import sys
 
-from test_exact import brute as exact_brute
-from test_ngram_join import brute as near_brute
-from test_packing import FILE
+from .test_exact import brute as exact_brute
+from .test_ngram_join import brute as near_brute
+from .test_packing import FILE
 
 from plumbline.llm import packing
 
