@@ -921,6 +921,8 @@ ORACLE: dict[str, str] = {
             ]
         ),
     ),
+    "intake": union(flat(completeness(c), "customer") for c in CUSTOMER),
+    "cleared_alerts": over(ALERT_BANDS, ANOMALY_ALERTS),
     "alerts_system": union(
         f"SELECT 'customer' AS dataset_name, 'high' AS severity, "
         f"'Error in quality threshold checking: ' || '{error}' AS message, "

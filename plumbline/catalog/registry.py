@@ -32,6 +32,7 @@ from plumbline.operators import runs as R
 from plumbline.operators import suite as S
 from plumbline.sources.pinning import checkpoint_folder, pin
 from plumbline.sources.store import RunStore
+from plumbline.sources.tables import read_table
 from plumbline.streaming import quality_by_window, start_monitoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -551,6 +552,24 @@ def anomaly_infinite(spark, folder):
     return rounded(counts.select("column_name", "anomaly_count", "anomaly_percentage", "total_count"))
 
 
+@query
+def intake(spark, folder):
+    """Completeness of a table taken in by path."""
+    return without_error(C.completeness(read_table(spark, f"{folder}/customer.parquet")))
+
+
+@query
+def cleared_alerts(spark, folder):
+    """What is kept when alerts are processed, cleared, and others processed twice."""
+    center = AlertCenter(QualityEngine(spark, new_folder(spark)))
+    center.process_alerts(customer_quality_alerts(spark, folder))
+    center.clear_alert_history()
+    later = event_anomaly_alerts(spark, folder)
+    center.process_alerts(later)
+    center.process_alerts(later)
+    return shown(center.store.alerts())
+
+
 # ------------------------------------------------------------------ stores, streams
 
 
