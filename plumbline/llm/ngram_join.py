@@ -39,7 +39,9 @@ components are the same as those of all links.
 *Layout.* Map tasks hash whole Arrow batches, sort the blocks and send one compressed run
 per bucket; a bucket merges its runs. The number of buckets follows the number of shingles.
 A value that is hot within one map task is settled there: its list goes out in one piece,
-and only its smallest class travels on. Long lists are kept in parts.
+and only its smallest class travels on, marked. The bucket writes a list with a marked class
+under its own name, so that it and the piece are one; lists without are folded if equal.
+Long lists are kept in parts.
 """
 
 from __future__ import annotations
@@ -215,7 +217,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ---------------------------------------------------------------- groups
 
-_RUNS = "bucket int, ids binary, keys binary, owners binary, lanes binary"
+_RUNS = "bucket int, ids binary, keys binary, owners binary, lanes binary, leads binary"
 _LISTS = "list bigint, lane int, times int, members array<bigint>"
 
 
@@ -279,18 +281,19 @@ class _Sender:
         edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
         sizes = np.diff(edge)
         keep = np.ones(len(keys), bool)
+        leads = np.zeros(len(keys), bool)
         spare = 64 - int(self.shift)
         for g in np.flatnonzero(sizes > self.hot).tolist():
             a, b = int(edge[g]), int(edge[g + 1])
             members = np.sort(names[who[a:b]])
             keep[a:b] = False
             lead = a + int(np.argmin(names[who[a:b]]))
-            keep[lead] = True
+            keep[lead] = leads[lead] = True
             # the whole list goes out at once, to some bucket
             name = keys[a : a + 1] >> np.uint64(24 - spare)
             yield (g % (1 << spare), b"", name.tobytes(), members.tobytes(),
-                   lanes[a : a + 1].tobytes())
-        keys, who, lanes = keys[keep], who[keep], lanes[keep]
+                   lanes[a : a + 1].tobytes(), b"")
+        keys, who, lanes, leads = keys[keep], who[keep], lanes[keep], leads[keep]
         bucket = (keys >> self.shift) if spare else np.zeros(len(keys), np.uint64)
         cut = np.searchsorted(bucket, np.arange((1 << spare) + 1, dtype=np.uint64))
         drop = self.shift - np.uint64(40)
@@ -300,7 +303,7 @@ class _Sender:
                 short = (keys[a:z] >> drop) & _LOW
                 here, local = np.unique(who[a:z], return_inverse=True)
                 yield (b, names[here].tobytes(), _pack(short), local.astype("<u2").tobytes(),
-                       lanes[a:z].tobytes())
+                       lanes[a:z].tobytes(), np.flatnonzero(leads[a:z]).astype("<u4").tobytes())
 
 
 def _batch(found: list[tuple], schema: str) -> pa.RecordBatch:
@@ -331,9 +334,10 @@ def _sender(buckets: int, hot: int):
 def _merged(found: pa.Table) -> pa.Table:
     """Lists of classes that share a block, from all runs of a bucket.
 
-    ``times`` tells how many blocks of the bucket have exactly this list.
+    ``times`` tells how many blocks of the bucket have exactly this list. A list of which a
+    map task has sent a piece stands for one block only, as its piece does.
     """
-    keys, owners, lanes = [], [], []
+    keys, owners, lanes, leads = [], [], [], []
     lists: list[tuple] = []
     bucket = found.column("bucket")[0].as_py() if found.num_rows else 0
     for row in found.to_pylist():
@@ -347,19 +351,22 @@ def _merged(found: pa.Table) -> pa.Table:
         keys.append(_unpack(row["keys"]))
         owners.append(names[np.frombuffer(row["owners"], "<u2")])
         lanes.append(np.frombuffer(row["lanes"], "<i2"))
+        leads.append(np.zeros(len(lanes[-1]), bool))
+        leads[-1][np.frombuffer(row["leads"], "<u4")] = True
     if keys:
-        key, owner, lane = map(np.concatenate, (keys, owners, lanes))
+        key, owner, lane, lead = map(np.concatenate, (keys, owners, lanes, leads))
         order = np.argsort(key, kind="stable")
-        key, owner, lane = key[order], owner[order], lane[order]
+        key, owner, lane, lead = key[order], owner[order], lane[order], lead[order]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         same: dict[tuple, list] = {}
         for g in np.flatnonzero(np.diff(edge) > 1).tolist():
             a, b = int(edge[g]), int(edge[g + 1])
             members = np.unique(owner[a:b])
             if len(members) > 1:
-                mark = (int(lane[a]), members.tobytes())
-                same.setdefault(mark, [bucket << 40 | int(key[a]), 0])[1] += 1
-        for (where, members), (name, times) in same.items():
+                name = bucket << 40 | int(key[a])
+                mark = (int(lane[a]), members.tobytes(), name if lead[a:b].any() else None)
+                same.setdefault(mark, [name, 0])[1] += 1
+        for (where, members, _), (name, times) in same.items():
             whole = np.frombuffer(members, "<i8")
             lists += [(name, where, times, whole[at : at + PART]) for at in range(0, len(whole), PART)]
     return pa.Table.from_batches([_batch(lists, _LISTS)])

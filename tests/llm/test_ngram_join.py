@@ -121,3 +121,60 @@ def test_components_of_a_long_chain(spark):
     edges = edges.union(spark.createDataFrame([(1000, 1001), (1001, 1002)], "a bigint, b bigint"))
     found = {r.node: r.component for r in components(edges).collect()}
     assert found == {**{i: 0 for i in range(201)}, 1000: 1000, 1001: 1000, 1002: 1000}
+
+
+def clusters(seed, bases):
+    """Groups of near copies, and stragglers that are near to one of a group at most."""
+    rnd = random.Random(seed)
+
+    def edited(own, count):
+        own = list(own)
+        for at in rnd.sample(range(len(own)), count):
+            own[at] = f"e{rnd.randrange(10**9)}"
+        return own
+
+    near, far = [], []
+    for _ in range(bases):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice([80, 120, 200]))]
+        group = [edited(base, len(base) // 60) for _ in range(12)]
+        near += group
+        far += [edited(rnd.choice(group), len(base) // 40) for _ in range(4)]
+    return [" ".join(x) for x in near], [" ".join(x) for x in far]
+
+
+def test_group_hot_in_one_map_task_with_stragglers_in_others(documents):
+    near, far = clusters(5, 60)
+    rows = [(i, t, "s") for i, t in enumerate(near + far)]
+    parts = [rows[: len(near)], rows[len(near) :: 2], rows[len(near) + 1 :: 2]]
+    tables = [documents(part, 1) for part in parts]
+    docs = tables[0].unionAll(tables[1]).unionAll(tables[2])
+    found = N.linked(docs, hot=3).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows)
+
+
+@pytest.mark.parametrize("buckets", [1, 4])
+def test_classes_meet_in_as_many_lists_as_they_share_blocks(buckets):
+    near, far = clusters(6, 2)
+    blocks, runs = {}, []
+    for texts in (near, far[::2], far[1::2]):
+        column = pa.array(texts)
+        sender = N._Sender(buckets, 3)
+        sender.add(column, N._class_ids(column))
+        runs += sender.runs()
+        hashes, first = W.shingles(*W.words_of(column))
+        who, lanes, values, *_ = N.sketched(hashes, first)
+        ids = N._class_ids(column)
+        for w, lane, value in zip(who.tolist(), lanes.tolist(), values.tolist()):
+            blocks.setdefault((int(ids[w]), lane), set()).add(value)
+    held = {}
+    for b in {r[0] for r in runs}:
+        for row in N._merged(pa.Table.from_batches([N._batch([r for r in runs if r[0] == b], N._RUNS)])).to_pylist():
+            for c in row["members"]:
+                own = held.setdefault((c, row["lane"]), {})
+                own[row["list"]] = max(own.get(row["list"], 0), row["times"])
+    for a, lane in blocks:
+        for b, other in blocks:
+            if a < b and lane == other and (shared := blocks[a, lane] & blocks[b, lane]):
+                one, two = held.get((a, lane), {}), held.get((b, lane), {})
+                both = one.keys() & two.keys()
+                assert sum(one[n] for n in both) >= len(shared) <= sum(two[n] for n in both)
