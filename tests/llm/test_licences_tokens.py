@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import textwrap
+
 import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
@@ -35,6 +37,35 @@ def test_disturbed_notices(documents):
     assert found == {0: "GPL-3.0", 1: "MIT"}
 
 
+def test_wrapped_notices(documents):
+    filler = "Ere thint onwh the and of."
+    texts, want = [], {}
+    for family, templates in [*licences.TEMPLATES.items(), ("unknown", licences.UNKNOWN)]:
+        for template in templates:
+            for width, mark in [(72, ""), (72, " * "), (30, "# "), (1, "")]:
+                lines = [mark + x for x in textwrap.wrap(template, width, break_long_words=False)]
+                # after a blank line, and right after a line of other text
+                for before in ([filler, mark], [filler, filler]):
+                    want[len(texts)] = [(2, family)]
+                    texts.append("\n".join([*before, *lines, mark, filler]))
+    found = licences.licences(documents(texts)).collect()
+    got = {i: [] for i in want}
+    for r in found:
+        got[r.doc_id].append((r.paragraph, r.family))
+    assert {i: (texts[i], got[i]) for i in want if got[i] != want[i]} == {}
+
+
+def test_neighbouring_notices_stay_apart(documents):
+    mit, bsd = licences.TEMPLATES["MIT"], licences.TEMPLATES["BSD"]
+    wrapped = [textwrap.wrap(t, 40) for t in (mit[2], bsd[1])]
+    texts = [f"{mit[0]}\n{bsd[0]}", "\n".join(wrapped[0] + wrapped[1]), "\n".join(wrapped[0] * 2)]
+    found = licences.licences(documents(texts)).collect()
+    n = len(wrapped[0])
+    assert sorted((r.doc_id, r.paragraph, r.family) for r in found) == [
+        (0, 0, "MIT"), (0, 1, "BSD"), (1, 0, "MIT"), (1, n, "BSD"), (2, 0, "MIT"), (2, n, "MIT")
+    ]
+
+
 def test_licences_odd_rows(odd, documents):
     assert licences.licences(odd).count() == 0
     assert licences.licences(documents([])).count() == 0
