@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import (
+    bpe,
+    collocations,
     exact,
     fingerprints,
     licences,
@@ -18,6 +20,7 @@ from plumbline.llm import (
     quality,
     suffixes,
     tokens,
+    whitening,
 )
 from plumbline.llm.rows import table
 
@@ -72,6 +75,19 @@ def op10_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), file)
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    file = public_tokenizers.path(RANKS)
+    return bpe.digests(table(spark, folder, "documents"), file, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -83,4 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_personal_data": op9_personal_data,
     "op10_pack": op10_pack,
+    "op11_collocations": op11_collocations,
+    "op12_whitening": op12_whitening,
+    "op13_byte_bpe": op13_byte_bpe,
 }
