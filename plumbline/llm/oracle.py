@@ -57,3 +57,45 @@ SELECT doc_id, size, source_size, target,
        ((floor((place + 1) * expected + shift) - floor(place * expected + shift)) * size)::BIGINT AS taken
 FROM placed
 """
+
+_UPPER, _LOWER = (repr("".join(chr(c + at) for c in range(26))) for at in (65, 97))
+ORACLE["op11_collocations"] = rf"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_UPPER}, {_LOWER}) AS text FROM documents
+), pieces AS (
+  SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts
+), worded AS (
+  SELECT lang, [x for x in string_split_regex(piece, '[\x20\x09]+') if x <> ''] AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang
+), grams AS (
+  SELECT lang, s AS size, array_to_string(w[i : i + s - 1], ' ') AS phrase
+  FROM (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i
+        FROM worded, (VALUES (1), (2), (3)) AS sizes(s) WHERE len(w) >= s)
+), counts AS (
+  SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10
+), phrases AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE size > 1
+), cuts AS (
+  SELECT lang, phrase, size, a, k, array_to_string(w[1:k], ' ') AS first_part,
+         array_to_string(w[k + 1 :], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM phrases)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r,
+         ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.first_part
+  JOIN counts y ON y.lang = c.lang AND y.phrase = c.rest
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a
+  FROM phrases WHERE size = 3
+), covered AS (
+  SELECT DISTINCT i.lang, i.phrase FROM inside i JOIN phrases p ON p.lang = i.lang AND p.phrase = i.phrase
+  WHERE 100 * i.a::HUGEINT >= 50 * p.a::HUGEINT
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest ANTI JOIN covered USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
