@@ -983,3 +983,18 @@ ORACLE["streamed_cycle"] = over(
     f"""SELECT * EXCLUDE (run_id, timestamp) FROM ({union(
         [*suite_alerts(100.0, run="''", dataset="'events'"), ANOMALY_ALERTS])})""",
 )
+
+ORACLE["stored_run_history"] = ORACLE["run_history"]
+ORACLE["stored_last_n_runs"] = ORACLE["last_n_runs"]
+ORACLE["stored_score_summary"] = ORACLE["dataset_score_summary"]
+ORACLE["stored_score_trend"] = ORACLE["score_trend"]
+ORACLE["stored_alert_summary"] = over(
+    RUNS_F,
+    """SELECT CASE grouping(type, severity) WHEN 3 THEN 'total' WHEN 1 THEN 'type'
+                 ELSE 'severity' END AS grouping,
+          coalesce(type, severity) AS value, count(*) AS alerts
+        FROM (SELECT 'quality_score_low' AS type, 'high' AS severity, runs_f.timestamp AS raised
+              FROM runs_f WHERE quality_score < 40)
+        WHERE raised > TIMESTAMP '1998-08-01' - to_hours(24 * 365)
+        GROUP BY GROUPING SETS ((type), (severity), ())""",
+)

@@ -388,6 +388,57 @@ def run_headline(spark, folder):
     return rounded(R.run_headline(runs_f(spark, folder)))
 
 
+_HISTORIES: dict[tuple[str, str], str] = {}
+
+
+def stored_history(spark, folder) -> QualityEngine:
+    """An engine over a store with the runs of ``runs_f`` and their low-score alerts.
+
+    A seventh of the runs is first stored with another score, folded, and stored again. The
+    store is written once per application and folder.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _HISTORIES:
+        path = new_folder(spark)
+        store = RunStore(spark, path)
+        runs = runs_f(spark, folder).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+        again = F.col("rows") % 7 == 0
+        store.replace_runs("runs", runs.filter(again).withColumn("quality_score", F.lit(-1.0)))
+        store.replace_runs("runs", runs)
+        store.replace_runs("alerts", A.score_alerts(store.runs(), A.Thresholds(40.0)))
+        _HISTORIES[key] = path
+    return QualityEngine(spark, _HISTORIES[key])
+
+
+@query
+def stored_run_history(spark, folder):
+    runs = stored_history(spark, folder).get_run_history("ds_2", 25)
+    return texted(rounded(runs.drop("metrics_file")), "timestamp")
+
+
+@query
+def stored_last_n_runs(spark, folder):
+    runs = stored_history(spark, folder).get_recent_runs(5)
+    return texted(rounded(runs.drop("metrics_file")), "timestamp")
+
+
+@query
+def stored_score_summary(spark, folder):
+    return texted(rounded(stored_history(spark, folder).get_dataset_summary()), "first_run", "last_run")
+
+
+@query
+def stored_score_trend(spark, folder):
+    return texted(rounded(stored_history(spark, folder).get_score_trend()), "timestamp")
+
+
+@query
+def stored_alert_summary(spark, folder):
+    """Alerts of the history's last year; older months are not read."""
+    center = AlertCenter(stored_history(spark, folder))
+    return center.get_alert_summary(24 * 365, datetime.datetime(1998, 8, 1))
+
+
 # ------------------------------------------------------------------ alerts
 
 ALERT_COLUMNS = (

@@ -134,22 +134,25 @@ class QualityEngine:
     def get_run_history(
         self, dataset_name: str | None = None, limit: int | None = None
     ) -> DataFrame:
-        return runs.run_history(self.store.runs(), dataset_name, limit)
+        return runs.run_history(self.store.runs(dataset_name), dataset_name, limit)
 
-    def get_run_metrics(self, run_id: str) -> DataFrame:
-        return self.store.run_metrics(run_id)
+    def get_run_metrics(self, run_id: str, dataset_name: str | None = None) -> DataFrame:
+        """Check results of a run; its id alone is enough to find its partition."""
+        return self.store.run_metrics(run_id, dataset_name)
 
-    def download_metrics_json(self, run_id: str, path: str) -> None:
-        self.store.export_metrics(run_id, path)
+    def download_metrics_json(
+        self, run_id: str, path: str, dataset_name: str | None = None
+    ) -> None:
+        self.store.export_metrics(run_id, path, dataset_name)
 
     def get_dataset_summary(self, dataset_name: str | None = None) -> DataFrame:
-        return runs.dataset_summary(self.store.runs(), dataset_name)
+        return runs.dataset_summary(self.store.runs(dataset_name), dataset_name)
+
+    def get_score_trend(self, n: int = 5, dataset_name: str | None = None) -> DataFrame:
+        return runs.score_trend(self.store.runs(dataset_name), n)
 
     def get_recent_runs(self, n: int = 5, dataset_name: str | None = None) -> DataFrame:
-        found = self.store.runs()
-        if dataset_name is not None:
-            found = found.filter(F.col("dataset_name") == dataset_name)
-        return runs.recent_runs(found, n)
+        return runs.recent_runs(self.store.runs(dataset_name), n)
 
 
 class AlertCenter:
@@ -215,9 +218,10 @@ class AlertCenter:
     def get_alert_summary(
         self, hours: float = 24, as_of: datetime.datetime | None = None
     ) -> DataFrame:
-        return A.alert_summary(
-            self.store.alerts(), as_of or datetime.datetime.now(), hours
-        )
+        """Counts of the period's alerts; only the months it touches are read."""
+        as_of = as_of or datetime.datetime.now()
+        since = as_of - datetime.timedelta(hours=hours)
+        return A.alert_summary(self.store.alerts(since), as_of, hours)
 
     def clear_alert_history(self) -> None:
         self.store.clear_alerts()

@@ -34,8 +34,8 @@ from plumbline.sources.store import (
     ALERTS,
     RUNS,
     RunStore,
-    folder_name,
     new_run_id,
+    tag,
 )
 
 
@@ -162,7 +162,7 @@ def start_monitoring(
     """
     rules = tuple(rules)
     if checkpoint is None:
-        checkpoint = f"{store.path}/_checkpoints/{folder_name(dataset_name)}"
+        checkpoint = f"{store.path}/_checkpoints/{tag(dataset_name)}"
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
         own = RunStore(batch.sparkSession, store.path)

@@ -3,11 +3,12 @@ import json
 
 import pytest
 from conftest import by
+from pyspark.sql import functions as F
 
-from plumbline.engine import QualityEngine
+from plumbline.engine import AlertCenter, QualityEngine
 from plumbline.operators import runs as R
 from plumbline.sources import RunStore, from_pandas, read_table
-from plumbline.sources.store import RUNS
+from plumbline.sources.store import ALERTS, RUNS
 
 DAY = datetime.datetime(2024, 5, 1, 12)
 
@@ -84,15 +85,157 @@ def test_writing_a_run_again_replaces_it(spark, people, tmp_path):
     assert store.read("check_results").count() == 5
 
 
-def test_reading_a_run_prunes_partitions(spark, people, tmp_path):
+def folders_read(df):
+    return {f.rpartition("/")[0] for f in df.inputFiles()}
+
+
+def test_a_fresh_run_is_read_alone(spark, people, tmp_path):
     store = RunStore(spark, str(tmp_path))
-    results = people.limit(0).selectExpr(
-        "'' check_type", "'' column_name", "'' constraint", "'' status",
-        "map('a', 1D) metrics", "map('a', 'b') params",
+    for i in range(3):
+        store.write("runs", history(spark).limit(1), "d", f"run-{i}")
+    assert len(folders_read(store.of_run("runs", "run-1"))) == 1
+    assert [r.run_id for r in store.of_run("runs", "run-1").collect()] == ["run-1"]
+
+
+def long_history(spark, n, score="double(id)"):
+    """Runs of seven datasets, one every ten hours."""
+    return spark.range(n).selectExpr(
+        "concat('r', id) AS run_id", "concat('d/=', id % 7) AS dataset_name",
+        "timestamp_seconds(1700000000 + id * 36000) AS timestamp", f"{score} AS quality_score",
+        "id AS rows", "3 AS columns", "CAST(NULL AS STRING) AS metrics_file", "'completed' AS status",
     )
-    store.save_results(results, "d", "run-1", DAY)
-    plan = store.run_metrics("run-1")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(run_id" in plan
+
+
+def data_files(path):
+    return [f for f in path.rglob("*.parquet")]
+
+
+def test_ten_thousand_runs_take_few_files(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path))
+    store.replace_runs("runs", long_history(spark, 10_000))
+    months = long_history(spark, 10_000).selectExpr("date_format(timestamp, 'yyyy-MM')").distinct().count()
+    assert store.runs().count() == 10_000
+    # a file per dataset and month, some cut by a task's border, and the index
+    assert len(data_files(tmp_path / "runs")) <= 7 * months + 16
+    assert len(data_files(tmp_path)) <= 7 * months + 16 + 16 + 16
+    found = store.of_run("runs", "r4711")
+    assert [r.rows for r in found.collect()] == [4711]
+    assert len(folders_read(found)) == 1
+    assert store.of_run("runs", "nobody").count() == 0
+    assert len(folders_read(store.runs("d/=3"))) <= months
+    assert sorted(r.rows for r in store.runs("d/=3").collect()) == list(range(3, 10_000, 7))
+
+
+def test_a_dataset_with_most_runs_is_read_by_time(spark, tmp_path):
+    """Months before the period are no folder of the scan, and a partition filter."""
+    store = RunStore(spark, str(tmp_path))
+    runs = long_history(spark, 3000)
+    low = runs.selectExpr("run_id", "dataset_name", "'low' type", "'high' severity", "'m' message", "timestamp")
+    store.replace_runs("alerts", low)
+    last = runs.selectExpr("max(timestamp) t").first().t
+    since = last - datetime.timedelta(hours=45)
+    recent = store.alerts(since)
+    plan = recent._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
+    assert len({f.rpartition("month=")[2].split("/")[0] for f in recent.inputFiles()}) <= 2
+    assert recent.count() == 5
+    center = AlertCenter(QualityEngine(spark, str(tmp_path)))
+    summary = center.get_alert_summary(45, last)
+    assert {r.alerts for r in summary.collect()} == {5}
+
+
+def test_runs_are_folded_when_enough_have_gathered(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path), fresh=4)
+    for i in range(11):
+        rows = history(spark).limit(1).selectExpr("* EXCEPT (rows)", f"{i}L AS rows")
+        store.write("alerts", spark.createDataFrame([], ALERTS), "d", f"run-{i}")
+        store.write("runs", rows, "d", f"run-{i}")
+    assert sorted(r.rows for r in store.runs().collect()) == list(range(11))
+    assert store._manifest()["version"] == 2
+    assert len(data_files(tmp_path / "runs")) <= 8 + 3
+    # a folded run written again is replaced at once, and for good
+    again = history(spark).limit(1).selectExpr("* EXCEPT (rows)", "99L AS rows")
+    store.write("runs", again, "d", "run-0")
+    for _ in range(2):
+        assert sorted(r.rows for r in store.runs().collect()) == [*range(1, 11), 99]
+        assert [r.rows for r in store.of_run("runs", "run-0").collect()] == [99]
+        assert store.fold()
+    assert len(data_files(tmp_path / "runs")) <= 3
+
+
+def test_a_run_moves_to_another_month(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path))
+    rows = history(spark).limit(1)
+    store.write("runs", rows, "d", "run")
+    store.fold()
+    store.write("runs", rows.withColumn("timestamp", F.lit(DAY + datetime.timedelta(days=90))), "d", "run")
+    store.fold()
+    assert store.runs().count() == store.of_run("runs", "run").count() == 1
+
+
+def test_a_run_without_rows_replaces_one_with_rows(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path))
+    alert = spark.createDataFrame([("r", "d", "t", "high", "m", DAY)], "run_id string, dataset_name string, "
+                                  "type string, severity string, message string, timestamp timestamp")
+    store.write("alerts", alert, "d", "r")
+    store.fold()
+    assert store.alerts().count() == 1
+    store.write("alerts", alert.limit(0), "d", "r")
+    assert store.alerts().count() == store.of_run("alerts", "r").count() == 0
+    store.fold()
+    assert store.alerts().count() == 0
+
+
+def test_same_run_id_in_two_datasets(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path))
+    for name in "ab":
+        store.write("runs", history(spark).limit(1), name, "run")
+    for _ in range(2):
+        assert sorted(r.dataset_name for r in store.of_run("runs", "run").collect()) == ["a", "b"]
+        assert [r.dataset_name for r in store.of_run("runs", "run", "b").collect()] == ["b"]
+        store.fold()
+
+
+def test_of_two_folds_one_gives_way(spark, tmp_path, monkeypatch):
+    first, second = (RunStore(spark, str(tmp_path)) for _ in range(2))
+    first.write("runs", history(spark).limit(1), "d", "one")
+    publish = first._publish
+
+    def late(manifest):
+        first.write("runs", history(spark).limit(1), "d", "two")
+        assert second.fold()
+        return publish(manifest)
+
+    monkeypatch.setattr(first, "_publish", late)
+    assert not first.fold()
+    assert sorted(r.run_id for r in second.runs().collect()) == ["one", "two"]
+    assert second._manifest()["version"] == 1
+    # rows given are folded after all
+    monkeypatch.undo()
+    first.replace_runs("runs", long_history(spark, 300))
+    assert second.runs().count() == 302
+
+
+def test_a_fold_cut_short_changes_nothing(spark, tmp_path, monkeypatch):
+    store = RunStore(spark, str(tmp_path))
+    store.replace_runs("runs", long_history(spark, 300))
+    store.write("runs", history(spark).limit(1), "d", "one")
+
+    def broken(manifest):
+        raise OSError("gone")
+
+    monkeypatch.setattr(store, "_publish", broken)
+    with pytest.raises(OSError):
+        store.fold()
+    monkeypatch.undo()
+    assert store.runs().count() == 301 and store.fold() and store.runs().count() == 301
+
+
+def test_many_runs_replace_fresh_ones(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path))
+    store.replace_runs("runs", long_history(spark, 5, "-1D"))
+    store.replace_runs("runs", long_history(spark, 300))
+    assert store.runs().filter("quality_score < 0").count() == 0 and store.runs().count() == 300
 
 
 def test_pandas_intake(spark, engine, people):

@@ -1,12 +1,11 @@
-"""Every registered query against DuckDB on the same files."""
+"""Every registered query of the library against DuckDB on the same files."""
 
 import pytest
 from compare import database, differences
 
 import __spark_entry__
+from plumbline.catalog import ORACLE, QUERIES
 
-QUERIES = __spark_entry__.queries()
-ORACLE = __spark_entry__.oracle_sql()
 
 
 @pytest.fixture(scope="module")
