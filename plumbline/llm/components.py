@@ -17,6 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     component is a star around its smallest node. The number of rounds grows with the
     logarithm of the longest path.
     """
+    edges = pin(edges.select("a", "b"))
     now = pin(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
               .where("a <> b").distinct())
     mark = None

@@ -630,11 +630,14 @@ def _labelled(members: DataFrame, label: DataFrame | None) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of every component, the one with the smallest id."""
+    """``docs`` with one row of every component, the one with the smallest id.
+
+    A row without an id stays only where no row of its component has one.
+    """
     known = rows.identified(docs)
     found = linked(known)
     # repeated rows share the smallest id; the first of them in the files stays
-    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "__file", "__row")).alias("best"))
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__file", "__row")).alias("best"))
     keep = best.select("best.__file", "best.__row")
     alone = found.where("n_shingles = 0 OR component_id IS NULL").select("__file", "__row")
     lost = found.join(keep.unionByName(alone), ["__file", "__row"], "left_anti")

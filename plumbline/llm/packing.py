@@ -43,6 +43,8 @@ WORDS = 500_000
 PARTS = 1_000_000
 #: First code point that always goes through the whole tokenizer.
 LATIN_END = "\u0250"
+#: The one before it that Python lower-cases in another way than the tokenizer.
+DOTTED = "\u0130"
 #: Marks that stand together as one piece behind a word.
 MARKS = ".,;:!?*%&#$)"
 BYTES = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -92,12 +94,17 @@ class Encoder:
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
 
     def _word(self, word: str) -> bytes:
+        if DOTTED in word:
+            return self._whole(word)
         core = word.rstrip(MARKS)
         if core.isalpha() and (core.isascii() or max(core) < LATIN_END):
             ids = self.parts[core.lower()]
             return ids + self.parts[word[len(core) :]] if len(core) < len(word) else ids
         if word and max(word) < LATIN_END and word.isprintable() and "<|" not in word:
             return b"".join(map(self.parts.__getitem__, self.split(word.lower())))
+        return self._whole(word)
+
+    def _whole(self, word: str) -> bytes:
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 

@@ -123,7 +123,7 @@ class Scan:
         at, first, grams, left, right, prints = [], [], [], [], [], []
         for start in range(0, max(0, n - LENGTH + 1), SLICE):
             # blocks reach into the next slice by at most a window's worth of anchors
-            end = min(n, start + SLICE + 2 * LENGTH)
+            end = min(n, start + SLICE + 3 * LENGTH)
             if not self.windows[start : start + SLICE].any():
                 continue
             part = data[start:end]
@@ -142,7 +142,8 @@ class Scan:
             grams.append(gram[anchor[mine]])
             # a block needs all windows between two anchors to be within the document
             a, b = anchor[:-1], anchor[1:]
-            fits = (a < SLICE) & (b + LENGTH <= len(part)) & (b - a < LENGTH)
+            # an anchor belongs to the slice its first window starts in
+            fits = mine[:-1] & (b + LENGTH <= len(part)) & (b - a < LENGTH)
             a, b = a[fits], b[fits]
             valid = np.concatenate([[0], np.cumsum(inside)])
             whole = (b < len(inside)) & (valid[np.minimum(b + 1, len(inside))] - valid[a] == b - a + 1)

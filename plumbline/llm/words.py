@@ -118,7 +118,7 @@ def shingles(values: np.ndarray, first: np.ndarray, size: int = SHINGLE):
     count = np.diff(first)
     for k in range(size):
         rolled *= _STEP
-        rolled[: n - k] += values[k:]
+        rolled[: max(0, n - k)] += values[k:]
     rolled = mixed(rolled)
     out, starts = [], [0]
     total = 0

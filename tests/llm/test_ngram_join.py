@@ -178,3 +178,20 @@ def test_classes_meet_in_as_many_lists_as_they_share_blocks(buckets):
                 one, two = held.get((a, lane), {}), held.get((b, lane), {})
                 both = one.keys() & two.keys()
                 assert sum(one[n] for n in both) >= len(shared) <= sum(two[n] for n in both)
+
+
+@pytest.mark.parametrize("words", range(7))
+def test_slices_of_few_words(words):
+    """A slice may hold fewer words in all than a shingle has."""
+    for texts in (["a b c d e f g"[: 2 * words]], ["a b c d e f g"[: 2 * words], "", "x"]):
+        values, first = W.words_of(pa.array(texts))
+        _, starts = W.shingles(values, first)
+        counts = [len(t.split()) for t in texts]
+        assert np.diff(starts).tolist() == [max(n - 4, min(n, 1)) for n in counts]
+
+
+def test_partitions_of_one_row(spark):
+    texts = [" ".join("abcdefg"[:n]) for n in (0, 1, 2, 3, 3, 6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6, "doc_id")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in N.linked(df).collect()}
+    assert found == {0: (0, 0), 1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 3), 5: (2, 5)}

@@ -4,6 +4,9 @@ import hashlib
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from plumbline.llm import pii
 
 # the patterns as they are stated, to compare with
@@ -83,3 +86,28 @@ def test_odd_rows(odd, documents):
     assert found.count() == odd.count()
     assert {r.spans for r in found.collect()} == {""}
     assert pii.personal_data(documents([])).count() == 0
+
+
+PLAIN = {
+    "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "IP": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+}
+
+
+@pytest.mark.parametrize("name", PLAIN)
+def test_patterns_find_what_the_plain_ones_find(spark, name):
+    """Python's matches of the stated pattern, on random texts of its characters."""
+    rng = random.Random(8)
+    signs = "ab1@..-_ 2" if name == "EMAIL" else "12.. a"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select("t", pii.located(F.col("t"), getattr(pii, name)).alias("s")).collect()
+    for row in found:
+        plain = [(m.start(), m.end(), m.group()) for m in re.finditer(PLAIN[name], row.t)]
+        assert [tuple(s) for s in row.s or []] == plain
+
+
+def test_long_runs(documents):
+    texts = ["x@a" + ".a" * 50_000, "@" + "x" * 100_000, "1" * 100_000, "1." * 50_000, "a (at) b" + " . c" * 25_000]
+    found = {r.doc_id: (r.n_email, r.n_ip, r.n_card) for r in pii.personal_data(documents(texts)).collect()}
+    assert found == {0: (1, 0, 0), 1: (0, 0, 0), 2: (0, 0, 0), 3: (0, 12_500, 0), 4: (0, 0, 0)}
