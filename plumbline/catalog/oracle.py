@@ -998,3 +998,25 @@ ORACLE["stored_alert_summary"] = over(
         WHERE raised > TIMESTAMP '1998-08-01' - to_hours(24 * 365)
         GROUP BY GROUPING SETS ((type), (severity), ())""",
 )
+
+
+def _grown(column: str, number: bool) -> str:
+    """Measures of one column of the faulted events."""
+    x = f"CAST({column} AS DOUBLE)" if number else NO_NUMBER
+    share = "CASE WHEN count(*) = 0 THEN 0 ELSE round({} / count(*), 6) END"
+    return f"""SELECT '{column}' AS column_name, count(*) AS total_count,
+          count(*) - count({column}) AS null_count, count(DISTINCT {column}) AS distinct_count,
+          {share.format(f"count({column})")} AS completeness,
+          {share.format(f"count(DISTINCT {column})")} AS uniqueness,
+          round(min({x}), 6) AS min, round(max({x}), 6) AS max, round(avg({x}), 6) AS mean,
+          round(stddev_samp({x}), 6) AS std
+        FROM events_f"""
+
+
+ORACLE["grown_measures"] = over(
+    EVENTS_F,
+    union(
+        _grown(column, column in ("event_id", "user_id", "value"))
+        for column in ("event_id", "ts", "user_id", "event_type", "value", "props")
+    ),
+)

@@ -20,6 +20,7 @@ from plumbline.catalog.views import (
     mail_f,
     runs_f,
     table,
+    faulted_events,
 )
 from plumbline.engine import AlertCenter, QualityEngine
 from plumbline.operators import alerts as A
@@ -30,6 +31,7 @@ from plumbline.operators import issues as I
 from plumbline.operators import profile as P
 from plumbline.operators import runs as R
 from plumbline.operators import suite as S
+from plumbline.operators.incremental import States
 from plumbline.sources.pinning import checkpoint_folder, pin
 from plumbline.sources.store import RunStore
 from plumbline.sources.tables import read_table
@@ -721,3 +723,15 @@ def streamed_windows(spark, folder):
     )
     windows = spark.read.schema(quality.schema).parquet(f"{path}/windows")
     return texted(rounded(windows), "window_start", "window_end")
+
+
+@query
+def grown_measures(spark, folder):
+    """Measures of the events after the table has grown in three steps; each scans new files."""
+    path = new_folder(spark)
+    states = States(spark, f"{path}/states")
+    events = table(spark, folder, "events")
+    for step in range(3):
+        events.filter(F.col("event_id") % 3 == step).write.mode("append").parquet(f"{path}/events")
+        grown = states.take_in(spark.read.parquet(f"{path}/events"), faulted_events)
+    return rounded(grown.measures)

@@ -23,6 +23,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -372,7 +373,7 @@ class RunStore:
                 rows = self._fresh(table, f"{self.table_path(table)}/fresh")
                 if rows is not None:
                     new[table] = rows
-                    taken += rows.inputFiles()
+                    taken += [unquote(f) for f in rows.inputFiles()]
                     fresh[table] = self._written(rows)
         if not new:
             return True

@@ -145,6 +145,7 @@ def test_a_dataset_with_most_runs_is_read_by_time(spark, tmp_path):
 
 
 def test_runs_are_folded_when_enough_have_gathered(spark, tmp_path):
+    tmp_path = tmp_path / "a folder%20"
     store = RunStore(spark, str(tmp_path), fresh=4)
     for i in range(11):
         rows = history(spark).limit(1).selectExpr("* EXCEPT (rows)", f"{i}L AS rows")
