@@ -1020,3 +1020,15 @@ ORACLE["grown_measures"] = over(
         for column in ("event_id", "ts", "user_id", "event_type", "value", "props")
     ),
 )
+
+ORACLE["replayed_batches"] = over(
+    EVENTS_F,
+    "SELECT 'events' AS dataset_name, 'completed' AS status, count(*) AS rows, 6 AS columns "
+    "FROM events_f GROUP BY event_id % 3",
+)
+# every third of the events has some without a value
+ORACLE["late_rule"] = over(
+    EVENTS_F,
+    "SELECT 'gaps' AS type, 'medium' AS severity, 'value' AS column_name, "
+    "count(DISTINCT event_id % 3) - 1 AS alerts FROM events_f WHERE value IS NULL",
+)

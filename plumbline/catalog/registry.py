@@ -735,3 +735,50 @@ def grown_measures(spark, folder):
         events.filter(F.col("event_id") % 3 == step).write.mode("append").parquet(f"{path}/events")
         grown = states.take_in(spark.read.parquet(f"{path}/events"), faulted_events)
     return rounded(grown.measures)
+
+
+def event_files(spark, folder, path: str) -> DataFrame:
+    """A stream over the events in three files, one file per batch."""
+    events = table(spark, folder, "events")
+    for step in range(3):
+        events.filter(F.col("event_id") % 3 == step).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query
+def replayed_batches(spark, folder):
+    """The runs of a stream whose first batch fails once and is measured later."""
+    path = new_folder(spark)
+    store = RunStore(spark, f"{path}/store")
+    failed = []
+
+    def prepare(rows: DataFrame) -> DataFrame:
+        if not failed:
+            failed.append(True)
+            raise RuntimeError("the first batch fails once")
+        return faulted_events(rows)
+
+    start_monitoring(
+        event_files(spark, folder, f"{path}/events"), "events", store, available_now=True,
+        go_on=True, prepare=prepare,
+    ).awaitTermination()
+    return store.runs().select("dataset_name", "status", "rows", "columns")
+
+
+@query
+def late_rule(spark, folder):
+    """Alerts of a rule added while the stream runs: all batches but the first raise it."""
+    path = new_folder(spark)
+    center = AlertCenter(QualityEngine(spark, f"{path}/store"))
+    rule = A.AlertRule("gaps", "completeness", "null_count", ">", 0.0, column_name="value")
+
+    def add_once(cycle) -> None:
+        if not center.rules:
+            center.add_alert_rule(rule)
+
+    center.start_monitoring(
+        event_files(spark, folder, f"{path}/events"), "events", available_now=True,
+        prepare=faulted_events, on_cycle=add_once,
+    ).awaitTermination()
+    alerts = center.store.alerts().filter("type = 'gaps'")
+    return alerts.groupBy("type", "severity", "column_name").agg(F.count(F.lit(1)).alias("alerts"))

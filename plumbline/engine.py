@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from plumbline.operators import alerts as A
 from plumbline.operators import anomalies, checks, profile, runs, suite
 from plumbline.operators.checks import Limits, Patterns, Ranges
+from plumbline.sources.rules import RuleTable
 from plumbline.sources.store import RunStore, new_run_id
 from plumbline.sources.tables import from_pandas
 from plumbline.streaming.monitor import Cycle, run_cycle, start_monitoring
@@ -162,16 +163,25 @@ class AlertCenter:
         self.engine = engine
         self.store = engine.store
         self.config = config
-        self.rules: dict[str, A.AlertRule] = {}
+        self.rule_table = RuleTable(engine.spark, f"{engine.store.path}/alert_rules")
         engine.center = self
 
+    @property
+    def rules(self) -> dict[str, A.AlertRule]:
+        """The rules kept in the store, by name."""
+        return {rule.name: rule for rule in self.rule_table.rules()}
+
     @property
     def limits(self) -> Limits:
         """The engine's limits with the thresholds that alerts are raised at."""
         return self.config.thresholds.limits(self.engine.base_limits)
 
     def add_alert_rule(self, rule: A.AlertRule) -> None:
-        self.rules[rule.name] = rule
+        """Keeps a rule; running streams of this store take it up with their next batch."""
+        self.rule_table.add(rule)
+
+    def remove_alert_rule(self, name: str) -> None:
+        self.rule_table.remove(name)
 
     def check_quality_thresholds(
         self, run_id: str, dataset_name: str | None = None
@@ -255,6 +265,6 @@ class AlertCenter:
             dataset_name,
             self.store,
             self.config,
-            tuple(self.rules.values()),
+            self.rule_table,
             **options,
         )

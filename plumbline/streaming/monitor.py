@@ -29,6 +29,7 @@ from plumbline.operators.alerts import (
 from plumbline.operators.anomalies import Band, anomaly_counts
 from plumbline.operators.checks import Limits
 from plumbline.operators.suite import run_record, run_suite
+from plumbline.sources.rules import RuleTable
 from plumbline.sources.store import (
     ALERT_FIELDS,
     ALERTS,
@@ -37,6 +38,10 @@ from plumbline.sources.store import (
     new_run_id,
     tag,
 )
+from plumbline.streaming.letters import DeadLetters
+
+#: How often a failed batch is tried while the stream runs.
+TRIES = 3
 
 
 @dataclass(frozen=True)
@@ -133,17 +138,61 @@ def _lasting_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
 
 
+def as_it_is(rows: DataFrame) -> DataFrame:
+    return rows
+
+
+def _held(store: RunStore, rules: Iterable[AlertRule] | RuleTable) -> tuple[AlertRule, ...]:
+    """The rules of this moment, read in the session of the cycle."""
+    if isinstance(rules, RuleTable):
+        return RuleTable(store.spark, rules.path).rules()
+    return tuple(rules)
+
+
+def replay_failed(
+    store: RunStore,
+    dataset_name: str,
+    config: AlertConfig = AlertConfig(),
+    rules: Iterable[AlertRule] | RuleTable = (),
+    tries: int | None = None,
+    prepare: Callable[[DataFrame], DataFrame] = as_it_is,
+    **cycle_options: Any,
+) -> list[Cycle]:
+    """Measures the batches that failed, each under the run id it had.
+
+    Batches that failed ``tries`` times are left; None tries all of them. A batch that
+    fails again is noted and stays.
+    """
+    letters, done = DeadLetters(store, dataset_name), []
+    for letter in letters.letters():
+        if tries is not None and letter.tries >= tries:
+            continue
+        try:
+            cycle = run_cycle(
+                prepare(letters.rows(letter)), dataset_name, store, config, _held(store, rules),
+                run_id=letter.run_id, **cycle_options,
+            )
+        except Exception as error:
+            letters.put(letter.run_id, None, error)
+            continue
+        letters.settle(letter)
+        done.append(cycle)
+    return done
+
+
 def start_monitoring(
     stream: DataFrame,
     dataset_name: str,
     store: RunStore,
     config: AlertConfig = AlertConfig(),
-    rules: Iterable[AlertRule] = (),
+    rules: Iterable[AlertRule] | RuleTable = (),
     checkpoint: str | None = None,
     available_now: bool = False,
     source: Callable[[], DataFrame] | None = None,
     on_cycle: Callable[[Cycle], None] | None = None,
     go_on: bool = False,
+    tries: int = TRIES,
+    prepare: Callable[[DataFrame], DataFrame] = as_it_is,
     **cycle_options: Any,
 ) -> StreamingQuery:
     """Run a cycle on every micro-batch of ``stream``, at once and then at the interval.
@@ -156,32 +205,43 @@ def start_monitoring(
     run overwrites its own partitions: a batch replayed after a failure leaves one set of
     results, and a query with another checkpoint never replaces them.
 
+    What is checked is what ``prepare`` makes of the batch or the table. Rules from a table
+    are read per cycle, so a rule added while the query runs holds from the next batch on.
+
     A failing cycle fails the query; restarting it repeats that batch. With ``go_on`` the
-    failure is recorded instead, as a run with status ``failed`` and a system alert, and
-    the next batch is awaited; the failed batch is not tried again.
+    failure is recorded instead, as a run with status ``failed`` and a system alert, the
+    batch's rows are kept, and the next batch is awaited. Kept batches are tried again when
+    the next batch comes, up to ``tries`` times; ``replay_failed`` tries them at any time.
+    A whole table from ``source`` is checked again by the next cycle anyway.
     """
-    rules = tuple(rules)
+    rules = rules if isinstance(rules, RuleTable) else tuple(rules)
     if checkpoint is None:
         checkpoint = f"{store.path}/_checkpoints/{tag(dataset_name)}"
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
         own = RunStore(batch.sparkSession, store.path)
         run_id = f"{dataset_name}-{_lasting_id(batch.sparkSession, checkpoint)}-{batch_id:010d}"
+        done = []
+        if go_on and source is None:
+            done += replay_failed(own, dataset_name, config, rules, tries, prepare, **cycle_options)
         try:
-            done = checked(batch, own, run_id)
+            done.append(checked(batch, own, run_id))
         except Exception as error:
             if not go_on:
                 raise
-            done = record_failure(dataset_name, own, run_id, error)
-        if on_cycle is not None:
-            on_cycle(done)
+            if source is None:
+                DeadLetters(own, dataset_name).put(run_id, batch, error)
+            done.append(record_failure(dataset_name, own, run_id, error))
+        for each in done if on_cycle is not None else ():
+            on_cycle(each)
 
     def checked(batch: DataFrame, own: RunStore, run_id: str) -> Cycle:
         # A cycle passes over its data several times; a batch is read from its source once.
         data = batch.persist(StorageLevel.MEMORY_AND_DISK) if source is None else source()
         try:
             return run_cycle(
-                data, dataset_name, own, config, rules, run_id=run_id, **cycle_options
+                prepare(data), dataset_name, own, config, _held(own, rules), run_id=run_id,
+                **cycle_options,
             )
         finally:
             if source is None:

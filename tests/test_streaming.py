@@ -1,4 +1,5 @@
 import datetime
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,11 @@ from plumbline.engine import AlertCenter, QualityEngine
 from plumbline.operators import alerts as A
 from plumbline.operators import anomalies as Z
 from plumbline.operators import suite as S
+from plumbline.operators.alerts import AlertRule
 from plumbline.sources import RunStore
+from plumbline.sources.rules import RuleTable
+from plumbline.streaming.letters import DeadLetters
+from plumbline.streaming.monitor import replay_failed
 from plumbline.streaming.windows import rows_without_time
 from plumbline.streaming import quality_by_window, run_cycle, start_monitoring
 
@@ -182,3 +187,44 @@ def test_rows_without_time_are_counted(spark):
     assert (untimed.window_end, untimed.total_count, untimed.null_count) == (None, 2, 1)
     assert untimed.status == "Failure"
     assert tuple(rows_without_time(df, "t").first()) == (2, 3)
+
+
+def test_a_batch_that_keeps_failing_is_kept(spark, tmp_path):
+    store, calls = RunStore(spark, str(tmp_path / "s")), []
+    folder = str(tmp_path / "in")
+    for i in range(4):
+        spark.range(i, i + 1).selectExpr("id", "CAST(id AS STRING) AS name").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("id bigint, name string").option("maxFilesPerTrigger", 1).parquet(folder)
+
+    def prepare(rows):
+        calls.append(1)
+        if rows.first().id == 0:
+            raise RuntimeError("never good")
+        return rows
+
+    start_monitoring(
+        stream, "d", store, available_now=True, go_on=True, tries=2, prepare=prepare
+    ).awaitTermination()
+    letters = DeadLetters(store, "d")
+    kept = letters.table().collect()
+    assert len(kept) == 1 and (kept[0].tries, kept[0].error) == (2, "never good")
+    assert sorted(r.status for r in store.runs().collect()) == ["completed"] * 3 + ["failed"]
+    assert replay_failed(store, "d", tries=2) == []
+    done = replay_failed(store, "d")
+    assert [c.run_id for c in done] == [kept[0].run_id] and letters.letters() == []
+    assert sorted((r.status, r.rows) for r in store.runs().collect()) == [("completed", 1)] * 4
+
+
+def test_rules_outlast_the_session(spark, tmp_path):
+    table = RuleTable(spark, str(tmp_path / "rules"))
+    assert table.rules() == ()
+    rule = AlertRule("r", "completeness", "null_count", ">", 1.0, ("email",), "high", "id")
+    table.add(rule, datetime.datetime(2024, 1, 1))
+    table.add(replace(rule, value=2.0), datetime.datetime(2024, 1, 2))
+    again = RuleTable(spark, str(tmp_path / "rules"))
+    assert again.rules() == (replace(rule, value=2.0),)
+    assert again.current().first().created_at == datetime.datetime(2024, 1, 2)
+    again.remove("r")
+    assert table.rules() == () and table.history().count() == 3
+    with pytest.raises(ValueError):
+        table.add(replace(rule, op="~"))
