@@ -1032,3 +1032,26 @@ ORACLE["late_rule"] = over(
     "SELECT 'gaps' AS type, 'medium' AS severity, 'value' AS column_name, "
     "count(DISTINCT event_id % 3) - 1 AS alerts FROM events_f WHERE value IS NULL",
 )
+
+
+def _observed(column: str, kind: str) -> str:
+    x = f"CAST({column} AS DOUBLE)" if kind == "number" else NO_NUMBER
+    empty = f"count_if({column} = '')" if kind == "text" else "CAST(NULL AS BIGINT)"
+    return f"""SELECT '{column}' AS column_name, count(*) AS total_count,
+          count(*) - count({column}) AS null_count,
+          round(count({column}) / count(*), 6) AS completeness,
+          round(min({x}), 6) AS min, round(max({x}), 6) AS max, round(avg({x}), 6) AS mean,
+          round(stddev_samp({x}), 6) AS std, CAST({empty} AS BIGINT) AS empty_count
+        FROM events_f"""
+
+
+ORACLE["observed_write"] = over(
+    EVENTS_F,
+    union(
+        _observed(*column)
+        for column in (
+            ("event_id", "number"), ("ts", "time"), ("user_id", "number"),
+            ("event_type", "text"), ("value", "number"), ("props", "text"),
+        )
+    ),
+)

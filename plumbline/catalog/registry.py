@@ -32,6 +32,7 @@ from plumbline.operators import profile as P
 from plumbline.operators import runs as R
 from plumbline.operators import suite as S
 from plumbline.operators.incremental import States
+from plumbline.operators.observed import written_and_measured
 from plumbline.sources.pinning import checkpoint_folder, pin
 from plumbline.sources.store import RunStore
 from plumbline.sources.tables import read_table
@@ -782,3 +783,10 @@ def late_rule(spark, folder):
     ).awaitTermination()
     alerts = center.store.alerts().filter("type = 'gaps'")
     return alerts.groupBy("type", "severity", "column_name").agg(F.count(F.lit(1)).alias("alerts"))
+
+
+@query
+def observed_write(spark, folder):
+    """Measures of the faulted events, taken while they are written."""
+    path = f"{new_folder(spark)}/events"
+    return rounded(written_and_measured(events_f(spark, folder), lambda rows: rows.write.parquet(path)))

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from plumbline.functions import is_numeric, is_text, normalise, quoted
+from plumbline.functions import is_numeric, is_text, quoted
 
 MEASURES = (
     "column_name string, total_count bigint, null_count bigint, completeness double, "
@@ -35,12 +35,9 @@ class Watched:
     def __init__(self, df: DataFrame) -> None:
         self.spark, self._seen = df.sparkSession, Observation()
         self._fields = list(df.schema.fields)
-        cells = normalise(df)
-        # the measures are taken of cells in which NaN is missing, the rows stay as they are
-        clean = dict(zip(df.columns, [quoted(c) for c in cells.columns]))
         taken = [F.expr("count(1)").alias("rows")]
         for i, field in enumerate(self._fields):
-            cell = clean[field.name]
+            cell = quoted(field.name)
             if field.dataType.typeName() in ("float", "double"):
                 cell = f"nanvl({cell}, NULL)"
             taken.append(F.expr(f"count({cell})").alias(f"n{i}"))
