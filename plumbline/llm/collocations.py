@@ -35,9 +35,9 @@ LONGEST, LEAST, TOP = 3, 10, 2000
 #: Percent of its occurrences a phrase may have inside a longer one.
 COVERED = 50
 #: Bytes of text worked on at a time, and n-grams a task holds before it sends them.
-SLICE, HELD = 1 << 22, 4_000_000
+SLICE, HELD = 1 << 22, 3_000_000
 #: Occurrences of n-grams per hash partition, about.
-MASS = 1 << 24
+MASS = 1 << 23
 #: Bits of a key dealt at a time, bits of a key sent, bits of the bitmap as a power of two.
 FAN, KEY, BITMAP = 10, 48, 27
 #: Copies of a part's count, so that a part of very many phrases is looked up in many tasks.
