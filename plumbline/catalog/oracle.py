@@ -1055,3 +1055,20 @@ ORACLE["observed_write"] = over(
         )
     ),
 )
+
+
+def _uniqueness_with_null(c: str):
+    found = f"(count(DISTINCT {c}) + CASE WHEN count(*) > count({c}) THEN 1 ELSE 0 END)"
+    check, label, name, metrics, condition = uniqueness(c)
+    ratio = share(found)
+    metrics = metrics | {"uniqueness_ratio": ratio, "distinct_count": found}
+    return check, label, name, metrics, f"{ratio} >= 0.9"
+
+
+ORACLE["uniqueness_with_null"] = over(
+    CUSTOMER_F, union(flat(_uniqueness_with_null(c), "customer_f") for c in CUSTOMER)
+)
+ORACLE["top_ties"] = f"""
+    SELECT 'link' AS column_name, 'https://example.com/{"customers/" * 6}' || c_name AS value,
+           count(*) AS value_count, row_number() OVER (ORDER BY count(*) DESC, c_name) AS rank
+    FROM customer GROUP BY c_name QUALIFY rank <= 10"""

@@ -790,3 +790,18 @@ def observed_write(spark, folder):
     """Measures of the faulted events, taken while they are written."""
     path = f"{new_folder(spark)}/events"
     return rounded(written_and_measured(events_f(spark, folder), lambda rows: rows.write.parquet(path)))
+
+
+@query
+def uniqueness_with_null(spark, folder):
+    """Uniqueness where missing counts as one value."""
+    return without_error(C.uniqueness(customer_f(spark, folder), count_null=True))
+
+
+@query
+def top_ties(spark, folder):
+    """Top values of a column whose values all occur once and start alike."""
+    links = table(spark, folder, "customer").select(
+        F.concat(F.lit("https://example.com/" + "customers/" * 6), "c_name").alias("link")
+    )
+    return P.top_values(links, ["link"], 10)

@@ -64,9 +64,10 @@ class QualityEngine:
         df,
         columns: Iterable[str] | None = None,
         approx_distinct_error: float | None = None,
+        count_null: bool = False,
     ):
         return checks.uniqueness(
-            self.table(df), columns, self.limits, approx_distinct_error
+            self.table(df), columns, self.limits, approx_distinct_error, count_null=count_null
         )
 
     def run_consistency_check(self, df, columns: Iterable[str] | None = None):

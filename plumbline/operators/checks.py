@@ -182,9 +182,13 @@ def completeness_findings(
 
 
 def uniqueness_findings(
-    df: DataFrame, m: Measures, columns: Iterable[str] | None, limits: Limits
+    df: DataFrame,
+    m: Measures,
+    columns: Iterable[str] | None,
+    limits: Limits,
+    count_null: bool = False,
 ) -> list[Finding]:
-    """Distinct non-null values over all rows."""
+    """Distinct non-null values over all rows; with ``count_null`` missing counts as one."""
     out = []
     for name in df.columns if columns is None else columns:
         label = f"Uniqueness of {name}"
@@ -192,6 +196,8 @@ def uniqueness_findings(
             out.append(Finding("uniqueness", name, label, error=problem))
             continue
         n, values = total(m), distinct(m, df, name)
+        if count_null:
+            values = f"({values} + IF({nulls(m, name)} > 0, 1, 0))"
         share = ratio(values, n)
         out.append(
             Finding(
@@ -478,10 +484,14 @@ def uniqueness(
     limits: Limits = Limits(),
     approx_distinct_error: float | None = None,
     distinct_batch: int = DISTINCT_BATCH,
+    count_null: bool = False,
 ) -> DataFrame:
-    """Exact unless ``approx_distinct_error`` (a relative standard deviation) is given."""
+    """Exact unless ``approx_distinct_error`` (a relative standard deviation) is given.
+
+    With ``count_null`` a column with missing cells has one distinct value more.
+    """
     df, m = normalise(df), Measures(approx_distinct_error)
-    found = uniqueness_findings(df, m, columns, limits)
+    found = uniqueness_findings(df, m, columns, limits, count_null)
     return _flat(
         findings_frame(df, m, found, distinct_batch),
         ["uniqueness_ratio"],

@@ -302,8 +302,10 @@ def top_values(
 
     Ties go to the smaller value. Values are counted map-side before the shuffle by at
     most their first ``PREFIX`` characters and a digest, and each task hands on only its
-    own best ``k`` per column to the ranking. Only if a winner is longer than that, a
-    second scan looks up the whole values of the winners, few as they are.
+    own best ``k`` per column to the ranking, and one more. Only if a winner is longer than
+    that, a second scan looks up the whole values of the winners, few as they are. If longer
+    values of one start and one count go on beyond the ``k``-th place, those are compared by
+    their whole values, of which each task again hands on ``k``.
     """
     df = normalise(df)
     names = (
@@ -316,7 +318,8 @@ def top_values(
             [], "column_name string, value string, value_count bigint, rank int"
         )
     marked = marked_values(df, names)
-    chosen = pin(frequent_keys(marked, k))
+    ranked = pin(frequent_keys(marked, k + 1))
+    chosen, tied = split_at_limit(ranked, k)
     short_ones = chosen.filter(F.col("digest") == "").withColumn("value", F.col("short"))
     kept = ["column_name", "value", "value_count"]
     if chosen.filter(F.col("digest") != "").isEmpty():
@@ -332,6 +335,8 @@ def top_values(
             .agg(F.max("value").alias("value"), F.max("value_count").alias("value_count"))
         )
         found = short_ones.select(*kept).unionByName(long_ones.select(*kept))
+    if tied:
+        found = found.unionByName(smallest_of_ties(marked, tied, k).select(*kept))
     order = Window.partitionBy("column_name").orderBy(F.desc("value_count"), "value")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -348,11 +353,56 @@ def marked_values(df: DataFrame, names: list[str]) -> DataFrame:
     return values.withColumns({"short": short, "digest": F.coalesce(digest, F.lit(""))})
 
 
-def frequent_keys(marked: DataFrame, k: int) -> DataFrame:
-    """What the ``k`` most frequent values of each column are counted by, ties included."""
-    counted = marked.groupBy("column_name", "short", "digest").agg(
+def counted_keys(marked: DataFrame) -> DataFrame:
+    return marked.groupBy("column_name", "short", "digest").agg(
         F.count(F.lit(1)).alias("value_count")
     )
-    # values that start alike tie here; which of them is smaller only their whole tells
-    best = Window.partitionBy("column_name").orderBy(F.desc("value_count"), "short")
-    return counted.withColumn("rank", F.rank().over(best)).filter(F.col("rank") <= k)
+
+
+def frequent_keys(marked: DataFrame, k: int) -> DataFrame:
+    """What ``k`` most frequent values of each column are counted by: ``k`` rows at most.
+
+    Values of equal counts and starts are put in order by their digest here.
+    """
+    best = Window.partitionBy("column_name").orderBy(F.desc("value_count"), "short", "digest")
+    return counted_keys(marked).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def split_at_limit(ranked: DataFrame, k: int) -> tuple[DataFrame, list]:
+    """Rows that belong to the best ``k``, and per column the (start, count) that may not.
+
+    Where the rows ``k`` and ``k + 1`` are longer values of one start and one count, which
+    of all such values come first is open: they are left to ``smallest_of_ties``.
+    """
+    edge = (
+        ranked.filter(F.col("rank").isin(k, k + 1) & (F.col("digest") != ""))
+        .groupBy("column_name", "short", "value_count")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter("n = 2")
+        .select("column_name", "short", "value_count")
+    )
+    tied = edge.collect()  # one row per column at most
+    best = ranked.filter(F.col("rank") <= k)
+    for row in tied:
+        own = (F.col("column_name") == row.column_name) & (F.col("short") == row.short)
+        best = best.filter(~(own & (F.col("value_count") == row.value_count)))
+    return best, tied
+
+
+def smallest_of_ties(marked: DataFrame, tied: list, k: int) -> DataFrame:
+    """The ``k`` smallest whole values per column among those of a start and a count."""
+    wanted = marked.sparkSession.createDataFrame(
+        [tuple(row) for row in tied], "column_name string, short string, value_count bigint"
+    )
+    alike = marked.filter(F.col("digest") != "").join(
+        F.broadcast(wanted), ["column_name", "short"]
+    )
+    key = ["column_name", "digest"]
+    ties = alike.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.max("value_count").alias("value_count")
+    ).filter("n = value_count").select(*key)
+    values = alike.join(ties, key, "left_semi").groupBy(*key).agg(
+        F.min("value").alias("value"), F.max("value_count").alias("value_count")
+    )
+    order = Window.partitionBy("column_name").orderBy("value")
+    return values.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)

@@ -202,3 +202,18 @@ def test_issue_summary(people):
 def test_missing(people):
     assert [tuple(r) for r in I.missing_by_column(people).collect()] == [("name", 1, 20.0)]
     assert I.total_missing(people).first().missing_cells == 1
+
+
+def test_ties_of_one_start_are_cut_by_whole_values(spark):
+    """Only k + 1 keys of a column leave the first ranking, whatever ties there are."""
+    start = "https://example.com/" + "x" * 60
+    rows = [(f"{start}{i:05d}", "a" if i % 2 else "b") for i in range(3000)]
+    rows += [(f"{start}{i:05d}", None) for i in (7, 2999)] + [("short", "a")] * 3
+    df = spark.createDataFrame(rows, "u string, t string").repartition(4)
+    marked = P.marked_values(df, ["u", "t"])
+    assert P.frequent_keys(marked, 6).count() <= 2 * 6
+    found = {(r.column_name, r.rank): (r.value, r.value_count) for r in P.top_values(df, ["u", "t"], 5).collect()}
+    assert [found["u", i] for i in range(1, 6)] == [
+        ("short", 3), (f"{start}00007", 2), (f"{start}02999", 2), (f"{start}00000", 1), (f"{start}00001", 1)
+    ]
+    assert [found["t", i] for i in (1, 2)] == [("a", 1503), ("b", 1500)] and len(found) == 7
