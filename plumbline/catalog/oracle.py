@@ -901,6 +901,19 @@ ORACLE: dict[str, str] = {
             "hour + to_hours(1) <= (SELECT max(ts) FROM events_f) - to_hours(1)"
         ),
     ),
+    "streamed_distinct": over(
+        EVENTS_F,
+        union(
+            f"""SELECT {stamp("hour")} AS window_start,
+                  {stamp("hour + to_hours(1)")} AS window_end,
+                  '{c}' AS column_name, count(*) AS total_count,
+                  count({c}) AS filled_count, count(DISTINCT {c}) AS distinct_count
+                FROM (SELECT *, date_trunc('hour', ts) AS hour FROM events_f)
+                WHERE hour + to_hours(1) <= (SELECT max(ts) FROM events_f) - to_hours(1)
+                GROUP BY hour"""
+            for c in ("user_id", "value", "event_type")
+        ),
+    ),
     "windowed_untimed": over(
         [
             EVENTS_F,

@@ -36,7 +36,7 @@ from plumbline.operators.observed import written_and_measured
 from plumbline.sources.pinning import checkpoint_folder, pin
 from plumbline.sources.store import RunStore
 from plumbline.sources.tables import read_table
-from plumbline.streaming import quality_by_window, start_monitoring
+from plumbline.streaming import distinct_by_window, quality_by_window, start_monitoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -726,6 +726,30 @@ def streamed_windows(spark, folder):
     return texted(rounded(windows), "window_start", "window_end")
 
 
+@query
+def streamed_distinct(spark, folder):
+    """Exact distinct counts per hour on a stream, for the hours the watermark has closed."""
+    path = new_folder(spark)
+    distinct = distinct_by_window(
+        events_f_stream(spark, folder),
+        "ts",
+        "1 hour",
+        ["user_id", "value", "event_type"],
+        watermark="1 hour",
+    )
+    (
+        distinct.writeStream.format("parquet")
+        .option("path", f"{path}/windows")
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    windows = spark.read.schema(distinct.schema).parquet(f"{path}/windows")
+    return texted(windows, "window_start", "window_end")
+
+
 @query
 def grown_measures(spark, folder):
     """Measures of the events after the table has grown in three steps; each scans new files."""

@@ -18,7 +18,7 @@ from plumbline.functions import (
     quoted,
 )
 from plumbline.operators.checks import countable, distinct, nulls, total
-from plumbline.operators.quantiles import exact_quantiles
+from plumbline.operators.quantiles import moments_and_quantiles
 from plumbline.plans import Finding, Measures, findings_frame
 from plumbline.plans.measures import DISTINCT_BATCH
 from plumbline.sources.pinning import pin
@@ -167,40 +167,19 @@ def describe(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """count, mean, std, min, exact quartiles (linear interpolation) and max per column."""
     df = normalise(df)
     names = list(numeric_columns(df) if columns is None else columns)
-    m = Measures()
-    found = []
-    for name in names:
-        x = _double(name)
-        found.append(
-            Finding(
-                "describe",
-                name,
-                name,
-                metrics={
-                    "count": m.stat(name, f"count({x})"),
-                    "mean": m.stat(name, f"avg({x})"),
-                    "std": m.stat(name, f"stddev_samp({x})"),
-                    "min": m.stat(name, f"min({x})"),
-                    "max": m.stat(name, f"max({x})"),
-                },
-            )
-        )
-    moments = findings_frame(df, m, found).selectExpr(
-        "column_name",
-        "CAST(metrics['count'] AS BIGINT) AS count",
-        *[f"metrics['{k}'] AS {k}" for k in ("mean", "std", "min", "max")],
+    known, quantiles = moments_and_quantiles(df, names, (0.25, 0.5, 0.75))
+    moments = df.sparkSession.createDataFrame(
+        [(n, m.count, m.mean, m.std, m.min, m.max) for n, m in known.items()],
+        "column_name string, count bigint, mean double, std double, min double, max double",
     )
-    quartiles = (
-        exact_quantiles(df, names, (0.25, 0.5, 0.75))
-        .groupBy("column_name")
-        .agg(
-            *[
-                F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(alias)
-                for p, alias in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))
-            ]
-        )
+    quartiles = quantiles.groupBy("column_name").agg(
+        *[
+            F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(alias)
+            for p, alias in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))
+        ]
     )
-    return moments.join(quartiles, "column_name", "left").select(
+    # one row per column on either side
+    return moments.join(F.broadcast(quartiles), "column_name", "left").select(
         "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
     )
 

@@ -3,7 +3,8 @@
 The built-in ``percentile`` merges one value-to-count map of the whole column in a single
 task. Here a quantile is found as the order statistics around its position:
 
-1. count the rows and (approximately) the distinct values of every column;
+1. one scan counts the rows of every column, takes the moments asked for and draws a first
+   quantile sketch;
 2. while the candidates for a rank are many rows *and* many distinct values, draw a
    quantile sketch of them, put a tight interval around the rank and count exactly what
    lies below, on and between its ends. The counts decide: a rank that fell on an end is
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from plumbline.functions import col, normalise, number, quoted
 from plumbline.plans.measures import DISTINCT_BATCH as COLUMNS_PER_SCAN
 
+#: A column with at most this many rows is settled without narrowing.
+FEW_ROWS = 100_000
 #: An interval with at most this many rows, or ...
 MAX_ROWS = 2_000_000
 #: ... this many distinct values, is settled by counting its values.
@@ -118,23 +121,30 @@ def _clusters(targets: Sequence[_Target]) -> list[list[_Target]]:
 
 def _propose(
     df: DataFrame, clusters: Sequence[Sequence[_Target]]
-) -> list[tuple[float, float]]:
-    """A (low, high) around the ranks of each cluster, from one scan."""
+) -> tuple[list[tuple[float, float]], dict[Interval, int]]:
+    """A (low, high) around the ranks of each cluster, and about how many distinct values
+    each interval holds, from one scan."""
     intervals = list(dict.fromkeys(c[0].interval for c in clusters))
     grouped = (
         _candidates(df, intervals)
         .groupBy(F.expr(f"pmod(spark_partition_id(), {MERGE_GROUPS})").alias("merge"))
         .agg(
             *[
-                F.expr(f"kll_sketch_agg_double(i{i}, {SKETCH_K}) AS s{i}")
+                F.expr(f"{what} AS {alias}{i}")
                 for i in range(len(intervals))
+                for alias, what in (
+                    ("s", f"kll_sketch_agg_double(i{i}, {SKETCH_K})"),
+                    # adding 0 makes one zero of two
+                    ("d", f"hll_sketch_agg(if(i{i} IS NULL, NULL, xxhash64(i{i} + 0D)))"),
+                )
             ]
         )
     )
     merged = grouped.selectExpr(
-        *[f"kll_merge_agg_double(s{i}) AS s{i}" for i in range(len(intervals))]
+        *[f"kll_merge_agg_double(s{i}) AS s{i}" for i in range(len(intervals))],
+        *[f"hll_union_agg(d{i}) AS d{i}" for i in range(len(intervals))],
     )
-    wanted = []
+    wanted = [f"hll_sketch_estimate(d{i}) AS d{i}" for i in range(len(intervals))]
     for j, cluster in enumerate(clusters):
         first, last = cluster[0], cluster[-1]
         sketch = f"s{intervals.index(first.interval)}"
@@ -147,12 +157,16 @@ def _propose(
                 f"kll_sketch_get_quantile_double({sketch}, {number(at)}) AS {side}{j}"
             )
     row = merged.selectExpr(*wanted).first()
-    return [(row[f"l{j}"], row[f"h{j}"]) for j in range(len(clusters))]
+    between = [(row[f"l{j}"], row[f"h{j}"]) for j in range(len(clusters))]
+    return between, {interval: row[f"d{i}"] for i, interval in enumerate(intervals)}
 
 
-def _narrow(df: DataFrame, targets: Sequence[_Target]) -> list[_Target]:
-    clusters = _clusters(targets)
-    proposals = _propose(df, clusters)
+def _narrow(
+    df: DataFrame,
+    clusters: Sequence[Sequence[_Target]],
+    proposals: Sequence[tuple[float, float]],
+) -> list[_Target]:
+    """The targets after one counting scan; see step 2 above."""
     intervals = list(dict.fromkeys(c[0].interval for c in clusters))
     aggregates = []
     for j, (cluster, (low, high)) in enumerate(zip(clusters, proposals)):
@@ -163,7 +177,6 @@ def _narrow(df: DataFrame, targets: Sequence[_Target]) -> list[_Target]:
             f"count_if({x} = {number(low)}) AS at_low{j}",
             f"count_if({inside}) AS inside{j}",
             f"count_if({x} = {number(high)}) AS at_high{j}",
-            f"approx_count_distinct(if({inside}, {x}, NULL)) AS distinct{j}",
         ]
     row = _candidates(df, intervals).selectExpr(*aggregates).first()
     out = []
@@ -182,7 +195,7 @@ def _narrow(df: DataFrame, targets: Sequence[_Target]) -> list[_Target]:
                         high=high,
                         before=t.before + below + at_low,
                         inside=inside,
-                        distinct=row[f"distinct{j}"],
+                        distinct=inside,
                         margin=MARGIN,
                     )
                 )
@@ -196,13 +209,19 @@ def _narrow(df: DataFrame, targets: Sequence[_Target]) -> list[_Target]:
 def _settle(df: DataFrame, targets: Sequence[_Target]) -> DataFrame:
     """(column_name, rank, value) of targets whose intervals are small enough.
 
-    A few columns at a time share a scan; the scans read disjoint columns.
+    Narrowed intervals share one scan. Of whole columns a few at a time do; those scans read
+    disjoint columns.
     """
+    whole = {t.column for t in targets if t.low is None and t.high is None}
     columns = list(dict.fromkeys(t.column for t in targets))
+    narrow = [c for c in columns if c not in whole]
+    columns = [c for c in columns if c in whole]
+    groups = [columns[i : i + COLUMNS_PER_SCAN] for i in range(0, len(columns), COLUMNS_PER_SCAN)]
+    if narrow:
+        groups.append(narrow)
     labels: dict[Interval, str] = {}
     counted = []
-    for start in range(0, len(columns), COLUMNS_PER_SCAN):
-        some = columns[start : start + COLUMNS_PER_SCAN]
+    for some in groups:
         intervals = list(dict.fromkeys(t.interval for t in targets if t.column in some))
         first = len(labels)
         labels |= {interval: f"{first + i}" for i, interval in enumerate(intervals)}
@@ -230,6 +249,99 @@ def _settle(df: DataFrame, targets: Sequence[_Target]) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Moments:
+    """What the first scan tells of a column; NULL and NaN are left out."""
+
+    count: int
+    mean: float | None
+    std: float | None
+    min: float | None
+    max: float | None
+
+
+def _merged_squares(i: int) -> str:
+    """Squared deviations from the mean, added up over groups of tasks."""
+    return (
+        f"aggregate(collect_list(struct(n{i} AS n, a{i} AS a, q{i} AS q)), "
+        "struct(CAST(0 AS BIGINT) AS n, 0D AS a, 0D AS q), (x, y) -> if(y.n = 0, x, struct("
+        "x.n + y.n AS n, x.a + (y.a - x.a) * y.n / (x.n + y.n) AS a, "
+        "x.q + y.q + (y.a - x.a) * (y.a - x.a) * x.n * y.n / (x.n + y.n) AS q)), x -> x.q)"
+    )
+
+
+def _survey(
+    df: DataFrame, names: Sequence[str], probabilities: Sequence[float]
+) -> tuple[list[Moments], dict[tuple[int, int], tuple[float, float]]]:
+    """Moments of every column, and an interval per column and probability, in one scan.
+
+    Tasks combine their rows first, then up to ``MERGE_GROUPS`` groups of them; the last
+    step merges one row per group.
+    """
+    columns = range(len(names))
+    first = (
+        normalise(df)
+        .selectExpr(*[f"{_double(n)} AS x{i}" for i, n in enumerate(names)])
+        .groupBy(F.expr(f"pmod(spark_partition_id(), {MERGE_GROUPS})").alias("merge"))
+        .agg(
+            *[
+                F.expr(f"{what} AS {alias}{i}")
+                for i in columns
+                for alias, what in (
+                    ("n", f"count(x{i})"),
+                    ("a", f"avg(x{i})"),
+                    ("q", f"var_pop(x{i}) * count(x{i})"),
+                    ("lo", f"min(x{i})"),
+                    ("hi", f"max(x{i})"),
+                    ("s", f"kll_sketch_agg_double(x{i}, {SKETCH_K})"),
+                )
+            ]
+        )
+    )
+    merged = first.selectExpr(
+        *[
+            f"{what} AS {alias}{i}"
+            for i in columns
+            for alias, what in (
+                ("n", f"coalesce(sum(n{i}), 0)"),
+                ("t", f"sum(a{i} * n{i})"),
+                ("q", _merged_squares(i)),
+                ("lo", f"min(lo{i})"),
+                ("hi", f"max(hi{i})"),
+                ("s", f"kll_merge_agg_double(s{i})"),
+            )
+        ]
+    )
+    sides = [
+        (i, j, alias, min(max(p + margin, 0.0), 1.0))
+        for i in columns
+        for j, p in enumerate(probabilities)
+        for alias, margin in (("l", -MARGIN), ("h", MARGIN))
+    ]
+    row = merged.selectExpr(
+        *[f"n{i}" for i in columns],
+        *[f"lo{i}" for i in columns],
+        *[f"hi{i}" for i in columns],
+        *[f"if(n{i} > 0, t{i} / n{i}, NULL) AS mean{i}" for i in columns],
+        *[f"if(n{i} > 1, sqrt(q{i} / (n{i} - 1)), NULL) AS std{i}" for i in columns],
+        *[
+            f"if(n{i} > 0, kll_sketch_get_quantile_double(s{i}, {number(at)}), NULL) "
+            f"AS {alias}{i}_{j}"
+            for i, j, alias, at in sides
+        ],
+    ).first()
+    moments = [
+        Moments(*[row[f"{what}{i}"] for what in ("n", "mean", "std", "lo", "hi")])
+        for i in columns
+    ]
+    between = {
+        (i, j): (row[f"l{i}_{j}"], row[f"h{i}_{j}"])
+        for i in columns
+        for j in range(len(probabilities))
+    }
+    return moments, between
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Iterable[str],
@@ -239,49 +351,73 @@ def exact_quantiles(
 ) -> DataFrame:
     """column_name, probability, quantile; linear interpolation, NULL and NaN left out.
 
-    A column without values gets no rows. Small tables take one scan for the row counts
-    and one for the result; each narrowing pass adds two and keeps about one row in a
-    hundred.
+    A column without values gets no rows; see ``moments_and_quantiles``.
+    """
+    return moments_and_quantiles(df, columns, probabilities, max_rows, max_distinct)[1]
+
+
+def moments_and_quantiles(
+    df: DataFrame,
+    columns: Iterable[str],
+    probabilities: Sequence[float],
+    max_rows: int = MAX_ROWS,
+    max_distinct: int = MAX_DISTINCT,
+) -> tuple[dict[str, Moments], DataFrame]:
+    """The moments of each column, and the frame of ``exact_quantiles``.
+
+    One scan for moments and sketches, one that counts around the ranks, one for the result;
+    a small table needs no second one. Where an interval still holds many rows (a pass keeps
+    about one in a hundred), each further pass adds two scans.
     """
     spark, names = df.sparkSession, list(columns)
     schema = "column_name string, probability double, quantile double"
     if not names:
-        return spark.createDataFrame([], schema)
-    clean = normalise(df)
-    size = clean.selectExpr(
-        *[f"count({quoted(n)}) AS n{i}" for i, n in enumerate(names)]
-    ).first()
-    large = [n for i, n in enumerate(names) if size[f"n{i}"] > max_rows]
-    distinct = dict.fromkeys(names, 0)
-    if large:
-        row = clean.selectExpr(
-            *[f"approx_count_distinct({quoted(n)})" for n in large]
-        ).first()
-        distinct |= dict(zip(large, row))
+        return {}, spark.createDataFrame([], schema)
+    moments, between = _survey(df, names, probabilities)
 
     targets: dict[tuple[str, int], _Target] = {}
     parts: list[tuple[str, float, int, int, float]] = []
+    clusters: list[list[_Target]] = []
+    proposals: list[tuple[float, float]] = []
     for i, name in enumerate(names):
-        rows = size[f"n{i}"]
+        rows = moments[i].count
         if rows == 0:
             continue
-        for p in probabilities:
+        for j, p in enumerate(probabilities):
             position = p * (rows - 1)
             lower = math.floor(position)
             upper = min(lower + 1, rows - 1)
             parts.append((name, float(p), lower, upper, position - lower))
-            for rank in (lower, upper):
-                targets[name, rank] = _Target(
-                    name, rank, inside=rows, distinct=distinct[name]
-                )
+            fresh = [rank for rank in dict.fromkeys((lower, upper)) if (name, rank) not in targets]
+            for rank in fresh:
+                # how many values are distinct is not known before a sketch of them
+                targets[name, rank] = _Target(name, rank, inside=rows, distinct=rows)
+            if fresh and rows > min(max_rows, FEW_ROWS):
+                clusters.append([targets[name, rank] for rank in fresh])
+                proposals.append(between[i, j])
+    known = dict(zip(names, moments))
     if not parts:
-        return spark.createDataFrame([], schema)
+        return known, spark.createDataFrame([], schema)
 
+    if clusters:
+        for t in _narrow(df, clusters, proposals):
+            targets[t.column, t.rank] = t
     while pending := [
         t for t in targets.values() if not t.settled(max_rows, max_distinct)
     ]:
-        for t in _narrow(df, pending):
-            targets[t.column, t.rank] = t
+        clusters = _clusters(pending)
+        proposals, distinct = _propose(df, clusters)
+        open_ones = []
+        for cluster, proposal in zip(clusters, proposals):
+            found = distinct[cluster[0].interval]
+            if found > max_distinct:
+                open_ones.append((cluster, proposal))
+                continue
+            for t in cluster:
+                targets[t.column, t.rank] = replace(t, distinct=found)
+        if open_ones:
+            for t in _narrow(df, *zip(*open_ones)):
+                targets[t.column, t.rank] = t
 
     found = [(t.column, t.rank, t.value) for t in targets.values() if t.value is not None]
     open_targets = [t for t in targets.values() if t.value is None]
@@ -296,7 +432,7 @@ def exact_quantiles(
         "column_name string, probability double, lower bigint, upper bigint, "
         "fraction double",
     )
-    return (
+    quantiles = (
         values.join(F.broadcast(wanted), "column_name")
         .groupBy("column_name", "probability")
         .agg(
@@ -307,9 +443,10 @@ def exact_quantiles(
         .select(
             "column_name",
             "probability",
-            # equal neighbours need no interpolation (and infinities allow none)
-            F.when(F.col("a") == F.col("b"), F.col("a"))
+            # a rank met exactly and equal neighbours need no interpolation (infinities allow none)
+            F.when((F.col("a") == F.col("b")) | (F.col("fraction") == 0), F.col("a"))
             .otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("fraction"))
             .alias("quantile"),
         )
     )
+    return known, quantiles

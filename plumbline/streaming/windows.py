@@ -17,7 +17,8 @@ from plumbline.functions import (
     ratio,
     text,
 )
-from plumbline.operators.checks import Limits
+from plumbline.functions.columns import comparable
+from plumbline.operators.checks import Limits, distinct_key
 from plumbline.plans.findings import FAILURE, SUCCESS
 
 
@@ -112,3 +113,65 @@ def rows_without_time(df: DataFrame, timestamp: str) -> DataFrame:
         F.count_if(col(timestamp).isNull()).alias("untimed_rows"),
         F.count(F.lit(1)).alias("total_rows"),
     )
+
+
+def _value_text(data_type: T.DataType, value: str) -> str:
+    """A string that is equal for equal values of a column only."""
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        value = f"if({value} = 0, abs({value}), {value})"  # zeros of one sign
+    elif isinstance(data_type, T.TimestampType):
+        value = f"unix_micros({value})"  # local times may name two moments
+    return f"CAST({distinct_key(data_type, value)} AS STRING)"
+
+
+def distinct_by_window(
+    df: DataFrame,
+    timestamp: str,
+    window: str = "1 hour",
+    columns: Iterable[str] | None = None,
+    watermark: str | None = None,
+) -> DataFrame:
+    """Exact counts of filled and of distinct values of each column in each window.
+
+    Works on a table and on a stream, in ``append`` mode. On a stream two groupings follow one
+    another: the first keeps a count per window, column and value, and hands it on when the
+    watermark closes the window; the second adds these up. State is therefore one short row per
+    distinct value of the open windows, dealt by value, so a window or value that holds most of
+    the rows fills no task; it is dropped when the window closes. Values wider than 64 bytes are
+    counted by digest. Missing values (NULL, NaN) are not distinct values; a window without
+    filled values of a column has a row with zeros. Rows without event time are in no window.
+    """
+    stamp = col(timestamp)
+    if isinstance(df.schema[timestamp].dataType, T.TimestampNTZType):
+        df = df.withColumn(timestamp, stamp.cast("timestamp"))
+    names = [c for c in df.columns if c != timestamp] if columns is None else list(columns)
+    df = comparable(normalise(df.select(stamp, *[col(c) for c in names if c != timestamp])))
+    rows = df.selectExpr(
+        quoted(timestamp),
+        *[f"{_value_text(df.schema[n].dataType, quoted(n))} AS __value{i}" for i, n in enumerate(names)],
+    )
+    if watermark is not None:
+        rows = rows.withWatermark(timestamp, watermark)
+    entries = ", ".join(
+        f"named_struct('column_name', {text(n)}, 'value', __value{i})" for i, n in enumerate(names)
+    )
+    values = (
+        rows.filter(stamp.isNotNull())
+        .select(stamp, F.expr(f"inline(array({entries}))"))
+        .groupBy(F.window(stamp, window).alias("window"), "column_name", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    again = F.window(F.window_time("window"), window).alias("window")
+    return (
+        values.groupBy(again, "column_name")
+        .agg(
+            F.sum("n").alias("total_count"),
+            F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("filled_count"),
+            F.count("value").alias("distinct_count"),
+        )
+        .select(
+            F.col("window.start").alias("window_start"),
+            F.col("window.end").alias("window_end"),
+            "column_name", "total_count", "filled_count", "distinct_count",
+        )
+    )

@@ -2,12 +2,16 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
+import pandas as pd
 import pytest
 from conftest import by
 
 from plumbline.operators import duplicates as D
 from plumbline.operators import issues as I
 from plumbline.operators import profile as P
+from plumbline.operators import quantiles
+from plumbline.operators import quantiles
 from plumbline.operators.quantiles import exact_quantiles
 
 
@@ -217,3 +221,38 @@ def test_ties_of_one_start_are_cut_by_whole_values(spark):
         ("short", 3), (f"{start}00007", 2), (f"{start}02999", 2), (f"{start}00000", 1), (f"{start}00001", 1)
     ]
     assert [found["t", i] for i in (1, 2)] == [("a", 1503), ("b", 1500)] and len(found) == 7
+
+
+# ---------------------------------------------------------------- scans of describe
+
+
+def test_describe_of_a_large_table_takes_three_scans(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = {"a": rng.normal(1e6, 1.0, 4000), "b": rng.integers(0, 3, 4000) * 1.0}
+    spark.createDataFrame(pd.DataFrame(values)).repartition(7).write.parquet(f"{tmp_path}/t")
+    calls = []
+    for step in ("_survey", "_propose", "_narrow", "_settle"):
+        work = getattr(quantiles, step)
+        monkeypatch.setattr(
+            quantiles, step, lambda *a, work=work, step=step: calls.append(step) or work(*a)
+        )
+    monkeypatch.setattr(quantiles, "FEW_ROWS", 100)
+    result = P.describe(spark.read.parquet(f"{tmp_path}/t"))
+    assert calls == ["_survey", "_narrow", "_settle"]
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    expected = pd.DataFrame(values).describe()
+    for name, row in by(result).items():
+        got = [row["count"], row.mean, row.std, row.min, row.p25, row.p50, row.p75, row.max]
+        assert got == pytest.approx(expected[name].tolist(), rel=1e-9)
+
+
+def test_moments_of_partitions_without_values_and_of_infinite_ones(spark):
+    df = spark.createDataFrame(
+        [(1.0, None, float("inf")), (float("nan"), None, 1.0), (3.0, None, 2.0)],
+        "a double, b double, c double",
+    ).repartition(5)
+    rows = by(P.describe(df))
+    assert (rows["a"]["count"], rows["a"].mean, rows["a"].std) == (2, 2.0, pytest.approx(2**0.5))
+    assert (rows["b"]["count"], rows["b"].mean, rows["b"].std, rows["b"].p50) == (0, None, None, None)
+    assert rows["c"].mean == rows["c"].max == float("inf") and rows["c"].p50 == 2.0

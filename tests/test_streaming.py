@@ -15,7 +15,7 @@ from plumbline.sources.rules import RuleTable
 from plumbline.streaming.letters import DeadLetters
 from plumbline.streaming.monitor import replay_failed
 from plumbline.streaming.windows import rows_without_time
-from plumbline.streaming import quality_by_window, run_cycle, start_monitoring
+from plumbline.streaming import distinct_by_window, quality_by_window, run_cycle, start_monitoring
 
 NOW = datetime.datetime(2024, 5, 1, 12)
 
@@ -137,6 +137,45 @@ def test_window_distinct_counts(spark, folder):
     assert {r.approx_distinct for r in rows.collect()} == {exact}
 
 
+def test_exact_distinct_counts_of_odd_values(spark):
+    rows = [
+        ("2024-01-01 00:10:00", 0.0, "x" * 100, [1]),
+        ("2024-01-01 00:20:00", -0.0, "x" * 99 + "y", [1]),
+        ("2024-01-01 00:30:00", float("nan"), "", [2]),
+        ("2024-01-01 01:30:00", None, None, None),
+        (None, 5.0, "late", [3]),
+    ]
+    df = spark.createDataFrame(rows, "t string, `a.b` double, s string, l array<int>")
+    df = df.withColumn("t", F.col("t").cast("timestamp"))
+    found = distinct_by_window(df, "t", "1 hour").collect()
+    got = {(r.window_start.hour, r.column_name): tuple(r)[3:] for r in found}
+    assert got == {
+        (0, "a.b"): (3, 2, 1), (0, "s"): (3, 3, 3), (0, "l"): (3, 3, 2),
+        (1, "a.b"): (1, 0, 0), (1, "s"): (1, 0, 0), (1, "l"): (1, 0, 0),
+    }
+    assert distinct_by_window(df.limit(0), "t", "1 hour").count() == 0
+
+
+def test_streamed_distinct_counts_drop_the_state_of_closed_windows(spark, folder, tmp_path):
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    source = str(tmp_path / "events")
+    for step, part in enumerate(events.orderBy("ts").randomSplit([1.0] * 3, 1)):
+        part.sortWithinPartitions("ts").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = (
+        distinct_by_window(stream, "ts", "1 day", ["user_id"], watermark="400 days")
+        .writeStream.format("memory").queryName("distincts").outputMode("append")
+        .option("checkpointLocation", str(tmp_path / "checkpoint"))
+        .trigger(availableNow=True).start()
+    )
+    assert query.awaitTermination(180)
+    assert spark.table("distincts").count() == 0  # nothing is closed, everything is state
+    held = query.lastProgress["stateOperators"]
+    assert max(s["numRowsTotal"] for s in held) == events.groupBy(
+        F.to_date("ts"), "user_id"
+    ).count().count()
+
+
 def write_source(people, tmp_path, name="in"):
     people.coalesce(1).write.parquet(f"{tmp_path}/{name}")
     return people.sparkSession.readStream.schema(people.schema).parquet(f"{tmp_path}/{name}")
