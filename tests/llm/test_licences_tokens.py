@@ -37,6 +37,36 @@ def test_disturbed_notices(documents):
     assert found == {0: "GPL-3.0", 1: "MIT"}
 
 
+def test_sentences_by_name_years_and_asides(documents):
+    want = {
+        "Copyright 2019 Foo Inc. All rights reserved.": ["unknown"],
+        "Copyright (c) 2001 Jane Roe": ["unknown"],
+        "SPDX-License-Identifier: MIT": ["MIT"],
+        "SPDX-License-Identifier: MIT OR Apache-2.0": ["Apache-2.0", "MIT"],
+        "The Unlicense": ["Unlicense"],
+        "Dual licensed under the MIT and Apache-2.0 licenses.": ["Apache-2.0", "MIT"],
+        "Licensed under MIT/BSD, ISC, zlib at your choice.": ["BSD", "ISC", "MIT", "Zlib"],
+        "You do not need a driving license to ride a bicycle here.": [],
+        "She asked for permission to leave.": [],
+        "The MIT professor lost his fishing licence.": [],
+        "The copyright debate in the house went on.": [],
+    }
+    texts = [f"Ere thint.\n{t}\nEre thint." for t in want]
+    got = {i: [] for i in range(len(texts))}
+    for r in licences.licences(documents(texts)).collect():
+        assert r.paragraph == 1 and r.confirmed == (r.family != "unknown")
+        got[r.doc_id].append(r.family)
+    assert {texts[i]: sorted(f) for i, f in got.items()} == dict(zip(texts, want.values()))
+
+
+def test_what_is_learned_does_not_depend_on_the_corpus(documents):
+    notice = "Copyright 2019 Foo Inc. All rights reserved."
+    many = [f"Copyright {1990 + i % 30} {'abcdefghij'[i % 10] * 4} Inc." for i in range(300)]
+    alone = licences.licences(documents([notice])).first()
+    among = licences.licences(documents([notice, *many])).where("doc_id = 0").first()
+    assert alone == among and alone.family == "unknown"
+
+
 def test_wrapped_notices(documents):
     filler = "Ere thint onwh the and of."
     texts, want = [], {}
