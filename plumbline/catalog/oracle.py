@@ -894,6 +894,21 @@ ORACLE: dict[str, str] = {
             FROM ({OUTBOX_ALERTS}), (VALUES ('email'), ('webhook')) AS routes(channel)
             WHERE route_to IS NULL OR route_to = channel""",
     ),
+    "alert_payloads": over(
+        CUSTOMER_RESULTS,
+        f"""SELECT channel, TRUE AS details_are_payload, run_id, dataset_name, type, severity,
+              message, timestamp, column_name, value, threshold, anomaly_percentage,
+              anomaly_count, actions
+            FROM (
+              SELECT *, CAST(NULL AS VARCHAR) AS actions FROM ({union(suite_alerts(80.0))})
+              UNION ALL
+              SELECT 'customer-1', 'customer', type, severity, message, '2024-01-01 00:00:00',
+                column_name, value, threshold, {NO_NUMBER}, CAST(NULL AS BIGINT),
+                CASE WHEN type = 'too_short' THEN 'webhook' END
+              FROM ({RULE_HITS})
+            ), (VALUES ('email'), ('webhook')) AS routes(channel)
+            WHERE actions IS NULL OR actions = channel""",
+    ),
     "windowed_quality": over(EVENTS_F, windows()),
     "streamed_windows": over(
         EVENTS_F,

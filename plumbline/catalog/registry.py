@@ -34,7 +34,7 @@ from plumbline.operators import suite as S
 from plumbline.operators.incremental import States
 from plumbline.operators.observed import written_and_measured
 from plumbline.sources.pinning import checkpoint_folder, pin
-from plumbline.sources.store import RunStore
+from plumbline.sources.store import ALERTS, RunStore
 from plumbline.sources.tables import read_table
 from plumbline.streaming import distinct_by_window, quality_by_window, start_monitoring
 
@@ -540,6 +540,22 @@ def alert_outbox(spark, folder):
     )
 
 
+@query
+def alert_payloads(spark, folder):
+    """Every field of the payloads, and whether a message's details are its payload."""
+    alerts = customer_quality_alerts(spark, folder, RULES)
+    details = F.substring_index("body", "Additional Details:\n", -1)
+    sent = A.outbox(alerts, CHANNELS).select(
+        "channel",
+        (details == F.col("payload")).alias("details_are_payload"),
+        F.inline(F.array(F.from_json("payload", ALERTS))),
+    )
+    return rounded(
+        sent.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+        .withColumn("actions", F.array_join("actions", ","))
+    )
+
+
 # ------------------------------------------------------------------ monitoring
 
 
