@@ -14,6 +14,12 @@ neighbours; the first document of a shard also goes to the shard before. From th
 nothing is shuffled: all groups lie within a shard. Values are computed once per distinct
 (term, weight) of a shard, not once per document, and handed to the documents that have
 it. Everything is built from Spark's own expressions.
+
+The smallest of a text's values, as a power of e, is exponential with the text's weight W
+as its rate, so it hardly ever lies above ``REACH / W``. A term's values are handed to a
+text only where one of them lies below that limit, which few do in a long text. Whether
+every sample of a text was found below its limit is checked; a shard where one was not
+(e^-REACH a sample) is worked out again without limits. So the samples are exact.
 """
 
 from __future__ import annotations
@@ -35,6 +41,10 @@ CHUNK = 8
 BROADCAST = 300_000
 #: Bits kept of a sample's identity.
 NAME = 20
+#: Values above this share of a text's weight are handed out in a second go only.
+REACH = 16.0
+#: Added to the values of a text's closing mark, which is no term; above all others.
+ABSENT = 1 << 62
 
 
 def _uniform(bits: Column, low: int) -> Column:
@@ -53,10 +63,13 @@ def sample(term: Column, log_weight: Column, nth: Column) -> Column:
     b = _uniform(three, 0)
     step = F.floor(log_weight / r + b)
     value = F.log(c) - r * (step - b + 1)
-    # values lie well within -120 and 120; 2^34 steps for each
-    place = ((value + F.lit(120.0)) * F.lit(float(1 << 34))).cast("bigint")
     name = F.xxhash64(term, step).bitwiseAND((1 << NAME) - 1)
-    return F.shiftleft(place, NAME).bitwiseOR(name)
+    return _placed(value).bitwiseOR(name)
+
+
+def _placed(value: Column) -> Column:
+    # values lie well within -120 and 120; 2^34 steps for each
+    return F.shiftleft(((value + F.lit(120.0)) * F.lit(float(1 << 34))).cast("bigint"), NAME)
 
 
 def likeness(one: Column, other: Column) -> Column:
@@ -76,55 +89,72 @@ def spelled(samples: Column) -> Column:
     return F.coalesce(F.array_join(digits, ""), F.lit(""))
 
 
-def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """``keys`` and the samples of ``text``; NULL for a text without words.
+def signatures(
+    texts: DataFrame, keys: list[str], samples: int = SAMPLES, reach: float | None = None
+) -> DataFrame:
+    """``keys``, the samples of ``text`` (NULL for a text without words) and ``whole``.
 
     The first key is the shard: rows of a shard must already lie together, so that the
-    groupings below need no shuffle.
+    groupings below need no shuffle. With ``reach`` samples are looked for below a limit;
+    ``whole`` is false where one was not found there.
     """
     shard, *rest = keys
     pieces = F.filter(F.split("text", f"{rows.SPACE}+"), lambda w: w != "")
-    terms = texts.select(*keys, F.explode_outer(pieces).alias("word"))
-    terms = terms.select(*keys, F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term"))
-    weighted = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("weight"))
+    cut = texts.select(*keys, pieces.alias("pieces"))
+    total = F.size("pieces")
+    if reach is None:
+        limit = F.lit(ABSENT - 1)
+    else:
+        limit = F.coalesce(_placed(F.log(F.lit(reach) / F.nullif(total, F.lit(0)))), F.lit(ABSENT - 1))
+    # every text ends with a mark without a term, so that none is lost
+    marked = F.array_append("pieces", F.lit(None).cast("string"))
+    terms = cut.select(*keys, limit.alias("limit"), F.explode(marked).alias("word"))
+    terms = terms.select(
+        *keys, "limit", F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term")
+    )
+    weighted = terms.groupBy(*keys, "limit", "term").agg(F.count(F.lit(1)).alias("weight"))
     shared = weighted.groupBy(shard, "term", "weight").agg(
-        F.collect_list(F.struct(*rest)).alias("owners")
+        F.collect_list(F.struct(*rest, "limit")).alias("owners")
     )
     chunks = -(-samples // CHUNK)
+    last = F.when(F.col("term").isNull(), 0).otherwise(chunks - 1)
     each = shared.select(
         shard, "owners", "term", F.log(F.col("weight").cast("double")).alias("log_weight"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
+        F.when(F.col("term").isNull(), F.lit(ABSENT)).otherwise(F.lit(0)).alias("absent"),
+        F.explode(F.sequence(F.lit(0), last)).alias("chunk"),
     )
-    # not within a condition, where Spark would work out every common part again and again;
-    # a text without words has no other terms, and its values are dropped at the end
+    # not within a condition, where Spark would work out every common part again and again
+    columns = [f"v{i}" for i in range(CHUNK)]
     values = [
-        sample(F.col("term"), F.col("log_weight"), F.col("chunk") * CHUNK + i).alias(f"v{i}")
-        for i in range(CHUNK)
+        (sample(F.col("term"), F.col("log_weight"), F.col("chunk") * CHUNK + i) + F.col("absent")).alias(v)
+        for i, v in enumerate(columns)
     ]
-    some = F.col("term").isNotNull().cast("int").alias("some")
-    valued = each.select(shard, "owners", "chunk", some, *values)
-    # Spark would compile the samples into the loop over the owners and work them out for
-    # each; a lambda is never compiled, so the loop gets finished rows
-    owners = F.transform("owners", lambda o: F.struct(*[o[k].alias(k) for k in rest]))
-    dealt = valued.select(
-        shard, "chunk", "some", *[f"v{i}" for i in range(CHUNK)], F.explode(owners).alias("owner")
-    )
+    valued = each.select(shard, "owners", "chunk", "absent", *values)
+    low = F.when(F.col("absent") > 0, F.lit(0)).otherwise(F.least(*columns))
+    valued = valued.select(shard, "owners", "chunk", *columns, low.alias("low"))
+    # A lambda is never compiled, so the loop over the owners gets finished rows; compiled
+    # into it, the samples would be worked out for each owner. The second mention of the
+    # least value keeps Spark from moving it into the lambda.
+    owners = F.filter("owners", lambda o: (o["limit"] >= F.col("low")) & F.col("low").isNotNull())
+    dealt = valued.select(shard, "chunk", *columns, owners.alias("owners"))
+    # not explode, below which Spark would ask for owners by working out all samples again
+    dealt = dealt.select(shard, "chunk", *columns, F.explode_outer("owners").alias("owner"))
+    dealt = dealt.where(F.col("owner").isNotNull())
     dealt = dealt.select(
-        shard, *[F.col(f"owner.{k}").alias(k) for k in rest], "chunk", "some",
-        *[f"v{i}" for i in range(CHUNK)],
-    )
-    least = dealt.groupBy(*keys, "chunk").agg(
-        F.max("some").alias("some"), *[F.min(f"v{i}").alias(f"v{i}") for i in range(CHUNK)]
+        shard, *[F.col(f"owner.{k}").alias(k) for k in [*rest, "limit"]], "chunk", *columns
     )
-    names = F.array(
-        *[F.col(f"v{i}").bitwiseAND((1 << NAME) - 1).cast("int") for i in range(CHUNK)]
-    )
-    parts = least.groupBy(*keys).agg(
+    least = dealt.groupBy(*keys, "limit", "chunk").agg(*[F.min(v).alias(v) for v in columns])
+    names = F.array(*[F.col(v).bitwiseAND((1 << NAME) - 1).cast("int") for v in columns])
+    parts = least.groupBy(*keys, "limit").agg(
         F.array_sort(F.collect_list(F.struct("chunk", names.alias("names")))).alias("parts"),
-        F.max("some").alias("known"),
+        F.max(F.greatest(*columns)).alias("most"),
     )
     joined = F.slice(F.flatten(F.col("parts.names")), 1, samples)
-    return parts.select(*keys, F.when(F.col("known") > 0, joined).alias("samples"))
+    no_words = (F.col("limit") == ABSENT - 1) & (F.col("most") >= ABSENT)
+    found = (F.size("parts") == chunks) & (F.col("most") <= F.col("limit"))
+    return parts.select(
+        *keys, F.when(~no_words, joined).alias("samples"), (no_words | found).alias("whole")
+    )
 
 
 def fingerprints(
@@ -161,6 +191,19 @@ def fingerprints(
     places = F.when(leads, F.array(here, before)).otherwise(F.array(here))
     seats = placed.select("__file", "__row", F.explode(places).alias("seat"))
     seats = seats.select("__file", "__row", "seat.*")
+    found = pin(_compared(known, seats, count, size, samples, REACH))
+    open_shards = found.where(~F.col("whole")).select("shard").distinct()
+    if not open_shards.isEmpty():
+        again = seats.join(open_shards, "shard", "left_semi")
+        redone = _compared(known, again, count, size, samples, None)
+        found = found.join(open_shards, "shard", "left_anti").unionByName(redone)
+    return found.drop("shard", "whole")
+
+
+def _compared(
+    known: DataFrame, seats: DataFrame, count: int, size: int | None, samples: int, reach: float | None
+) -> DataFrame:
+    """Result of the documents that have a seat, with ``shard`` and ``whole``."""
     if count <= BROADCAST:
         seats = F.broadcast(seats)
     seated = known.join(seats, ["__file", "__row"]).select("shard", "ord", "own", "doc_id", "text")
@@ -186,17 +229,19 @@ def fingerprints(
     own = F.array(plain, version(1, F.col("edited"), none), version(2, F.lit(""), facts))
     versions = F.when(F.col("own"), own).otherwise(F.array(plain))
     texts = both.select("shard", F.explode(versions).alias("v")).select("shard", "v.*")
-    found = signatures(texts, ["shard", "who", "fact"], samples)
+    found = signatures(texts, ["shard", "who", "fact"], samples, reach)
     # a document, its edited text, its facts, the next document
     after = Window.partitionBy("shard").orderBy("who")
+    nearby = after.rowsBetween(Window.currentRow, 3)
     found = found.select(
-        "who", "samples",
+        "shard", "who", "samples", F.min("whole").over(nearby).alias("whole"),
         F.lead("samples", 1).over(after).alias("edited"),
         F.split(F.lead("fact", 2).over(after), "\\|", 3).alias("facts"),
         F.lead("samples", 3).over(after).alias("next"),
     ).where("who % 3 = 0 AND facts IS NOT NULL")
     kind = known.schema["doc_id"].dataType
     return found.select(
+        "shard", "whole",
         F.get("facts", F.lit(2)).cast(kind).alias("doc_id"),
         F.get("facts", F.lit(0)).cast("bigint").alias("n_chars"),
         F.get("facts", F.lit(1)).alias("edited_sha256"),

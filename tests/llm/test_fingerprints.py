@@ -54,3 +54,16 @@ def test_odd_rows(odd, documents):
     alone = P.fingerprints(documents(["only one"])).first()
     assert alone.near_next == 1.0
     assert P.fingerprints(documents([])).count() == 0
+
+
+def test_limits_change_nothing(documents, monkeypatch):
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{rnd.randint(0, 300)}" for _ in range(rnd.choice([0, 3, 90, 900]))) for _ in range(60)]
+    texts[7] = " ".join(["same"] * 700)
+    monkeypatch.setattr(P, "SHARD", 4000)
+    found = []
+    for reach in (0.05, 3.0, 16.0, 1e9):  # nothing found, many texts worked out again, few, no limit
+        monkeypatch.setattr(P, "REACH", reach)
+        found.append(sorted(map(tuple, P.fingerprints(documents(texts, 3)).collect())))
+    assert found[0] == found[1] == found[2] == found[3]
+    assert len(found[0]) == len(texts)
