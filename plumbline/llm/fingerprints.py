@@ -57,10 +57,10 @@ def sample(term: Column, log_weight: Column, nth: Column) -> Column:
     """A term's value for the n-th sample above its name, as one orderable number."""
     one = F.xxhash64(term, nth)
     two = F.xxhash64(one, nth)
-    three = F.xxhash64(two, nth)
     r = -F.log(_uniform(one, 0) * _uniform(one, 24))
     c = -F.log(_uniform(two, 0) * _uniform(two, 24))
-    b = _uniform(three, 0)
+    # the bits that r and c leave over
+    b = _uniform(F.shiftleft(F.shiftrightunsigned(one, 48), 8).bitwiseOR(F.shiftrightunsigned(two, 56)), 0)
     step = F.floor(log_weight / r + b)
     value = F.log(c) - r * (step - b + 1)
     name = F.xxhash64(term, step).bitwiseAND((1 << NAME) - 1)
