@@ -38,9 +38,9 @@ GROUP = 128
 FINE = 6
 LEAST = 4
 END_ID = 2
-#: Words and pieces of words remembered per worker.
-WORDS = 500_000
-PARTS = 1_000_000
+#: Words, and pieces of words, remembered by a task, and the longest of them in characters.
+REMEMBERED = 600_000
+LONGEST = 48
 #: First code point that always goes through the whole tokenizer.
 LATIN_END = "\u0250"
 #: The one before it that Python lower-cases in another way than the tokenizer.
@@ -56,16 +56,31 @@ PIECES = (
 
 
 class Memory(dict):
-    """Remembers what ``find`` gives."""
+    """Remembers what ``find`` gives for short keys.
+
+    Half of them are those met last; when that half is full it takes the place of the
+    other, from which keys come back when they are met again.
+    """
 
     def __init__(self, find: Callable) -> None:
         super().__init__()
-        self.find = find
+        self.find, self.older = find, {}
 
     def __missing__(self, key):
-        self[key] = value = self.find(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.find(key)
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBERED // 2:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit numbers, by the tokenizer's file.
@@ -74,8 +89,8 @@ class Encoder:
     ids of its words. A printable Latin word is lower-cased, split by the tokenizer's own
     pattern (letters with marks behind them need no pattern) and given to its model piece
     by piece; any other word goes through the whole tokenizer (tests compare both with
-    whole texts). Words and pieces are remembered until ``WORDS`` or ``PARTS`` of them
-    are; then the memory is emptied.
+    whole texts). Short words and pieces are remembered, ``REMEMBERED`` of each at most,
+    until the task ends.
     """
 
     def __init__(self, file: str) -> None:
@@ -109,15 +124,17 @@ class Encoder:
         return np.array(ids, "<u4").tobytes()
 
     def __call__(self, text: str | None) -> bytes:
-        if len(self.words) > WORDS:
-            self.words.clear()
-        if len(self.parts) > PARTS:
-            self.parts.clear()
         words = (text or "").replace("\n", " ").split(" ")
         return b"".join(map(self.words.__getitem__, words))
 
+    def forget(self) -> None:
+        """Gives the memory back, which later stages of a worker process need."""
+        self.words.forget()
+        self.parts.forget()
+        pa.default_memory_pool().release_unused()
+
 
-#: One per file and worker process, so that later tasks find the words of earlier ones.
+#: The tokenizer's tables, one per file and worker process.
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -241,17 +258,20 @@ def _packer(file: str, window: int, group: int) -> Callable:
             columns = zip(*found)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-        for part in batches:
-            for at in range(0, part.num_rows, 256):
-                some = part.slice(at, 256)
-                found = []
-                texts = some.column("text").to_pylist()
-                for doc, text in zip(some.column("doc_id").to_pylist(), texts):
-                    found.extend(packer.add(doc, encode(text) + end))
-                if found:
-                    yield batch(found)
-        if found := list(packer.finish()):
-            yield batch(found)
+        try:
+            for part in batches:
+                for at in range(0, part.num_rows, 256):
+                    some = part.slice(at, 256)
+                    found = []
+                    texts = some.column("text").to_pylist()
+                    for doc, text in zip(some.column("doc_id").to_pylist(), texts):
+                        found.extend(packer.add(doc, encode(text) + end))
+                    if found:
+                        yield batch(found)
+            if found := list(packer.finish()):
+                yield batch(found)
+        finally:
+            encode.forget()
 
     return run
 

@@ -18,6 +18,8 @@ _BYTE[_SPACES] = 0
 _GAP = np.zeros(256, bool)
 _GAP[_SPACES] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Most powers kept for later; longer tables are made for one use.
+_KEPT = 1 << 16
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -32,12 +34,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006
     """1, m, m^2 ... modulo 2^64, for places in a word."""
-    if kept.get("n", 0) < n:
-        kept["n"] = max(n, 1024)
-        steps = np.full(kept["n"], _STEP, np.uint64)
-        steps[0] = 1
-        kept["powers"] = np.cumprod(steps, dtype=np.uint64)
-    return kept["powers"]
+    if len(kept.get("powers", ())) >= n:
+        return kept["powers"]
+    steps = np.full(max(n, 1024), _STEP, np.uint64)
+    steps[0] = 1
+    powers = np.cumprod(steps, dtype=np.uint64)
+    if n <= _KEPT:
+        kept["powers"] = powers
+    return powers
 
 
 def _slice(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
