@@ -96,6 +96,61 @@ def test_neighbouring_notices_stay_apart(documents):
     ]
 
 
+def test_lines_without_a_licence_word(documents):
+    filler = "Ere thint onwh the and of."
+    want = {
+        "Available under GPL-2.0.": ["GPL-2.0"],
+        "Released under MIT": ["MIT"],
+        "This file is distributed under the terms of Apache-2.0": ["Apache-2.0"],
+        "Available under MIT/BSD, ISC at your choice.": ["BSD", "ISC", "MIT"],
+        "He studied at MIT in Boston.": [],
+        "The report is available to all of the people in the town.": [],
+        "Das Haus mit dem Garten.": [],
+    }
+    texts = [f"{filler}\n{t}\n{filler}" for t in want]
+    # a wrapped notice that holds none in the whole text
+    bsd = licences.TEMPLATES["BSD"][1]
+    tail = textwrap.wrap(bsd[bsd.index("source and binary"):], 30)
+    texts.append("\n".join([filler, *tail, filler]))
+    assert not any(s in t.lower() for t in texts for s in licences.STEMS)
+    got = {i: [] for i in range(len(texts))}
+    for r in licences.licences(documents(texts)).collect():
+        got[r.doc_id].append(r.family)
+        assert r.paragraph == 1 and r.confirmed
+    assert {texts[i]: sorted(f) for i, f in got.items()} == dict(zip(texts, [*want.values(), ["BSD"]]))
+
+
+def test_no_line_is_left_out_that_the_model_doubts(documents):
+    """Every line is judged as if the model saw them all."""
+    learned = licences.model()
+    at = {g: i for i, g in enumerate(learned.grams)}
+    rng = np.random.default_rng(5)
+    pool = [licences.words(t) for t in [*sum(licences.TEMPLATES.values(), ()), *licences.UNKNOWN, *licences.NEGATIVES]]
+    names = {n for ns in licences.NAMES.values() for n in ns}
+    texts, want = [], set()
+    for d in range(120):
+        lines = []
+        for k in range(3):
+            found = []
+            for i in rng.integers(0, len(pool), int(rng.integers(1, 4))):
+                start = int(rng.integers(0, len(pool[i])))
+                found += [*pool[i][start : start + int(rng.integers(2, 9))], *(["zq"] if rng.random() < 0.5 else [])]
+            # what is judged for families by name, or by neighbouring lines, is tested above
+            found = [w for w in found if w not in names and w not in licences.GRANT] or ["zq"]
+            lines += [" ".join(found), "", ""]
+            own = [found[i : i + n] for n in (1, 2, 3) for i in range(len(found) - n + 1)]
+            z = learned.weights[-1].astype(float)
+            for g in {" ".join(x) for x in own} & at.keys():
+                z = z + learned.weights[at[g]]
+            p = np.exp((z - z.max()) / learned.temperature)
+            p /= p.sum()
+            if learned.classes[int(p.argmax())] != "none" or p.max() < licences.SURE:
+                want.add((d, 3 * k))
+        texts.append("\n".join(lines))
+    got = {(r.doc_id, r.paragraph) for r in licences.licences(documents(texts)).collect()}
+    assert 10 < len(want) < 350 and got == want
+
+
 def test_licences_odd_rows(odd, documents):
     assert licences.licences(odd).count() == 0
     assert licences.licences(documents([])).count() == 0
