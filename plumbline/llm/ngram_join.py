@@ -29,12 +29,18 @@ linked sets share at least ``shared_prefix`` ones.
 sketches of different length are folded to the shorter one. Pairs whose sizes or whose
 Hamming distance rule a link out go no further; few others are no links.
 
-*Verification without all pairs.* Of every list only the pairs with a hub, the class that
-meets most others, are sifted and verified first, by the exact sets. Linked classes form
-components. What then is in
-different components of a list is compared by sketch within the task that holds the
-list, and only pairs that may link come out of it, to be verified. What a link would join is already joined otherwise, so the
-components are the same as those of all links.
+*Clumps.* Lists of the same classes count once. The task that holds a list compares its
+classes by size and sketch, and of the pairs that nothing rules out only a spanning forest
+leaves it: at most one edge for each class. What the forests of all lists connect is a clump.
+Every link is between two classes of one clump, so the text of a class travels once, to its
+clump, and not once for every pair.
+
+*Verification within clumps.* Within the task that holds a clump, classes not yet connected
+are compared by their exact sets, the nearest sketches first, and only links that connect
+something leave it: fewer than there are classes. What any other link would join is already
+joined, so the components are the same as those of all links. A clump too large for a task
+is dealt in blocks: each block for itself, then one class of every component so found, then,
+where several are left, every class outside a clump's largest component against all others.
 
 *Layout.* Map tasks hash whole Arrow batches, sort the blocks and send one compressed run
 per bucket; a bucket merges its runs. The number of buckets follows the number of shingles.
@@ -51,7 +57,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +77,9 @@ BROADCAST = 200_000
 PART = 4096
 #: Texts that are hashed together.
 STEP = 500
+#: Classes, and shingles, of a clump that one task is meant to compare with each other.
+BLOCK = 2048
+BLOCK_SHINGLES = 2_000_000
 _LOW = np.uint64(2**40 - 1)
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -239,6 +247,20 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
+def _pack_short(values: np.ndarray) -> bytes:
+    """16-bit numbers, byte plane by byte plane, compressed."""
+    import zstandard
+
+    return zstandard.compress(values.astype("<u2").view("u1").reshape(-1, 2).T.tobytes(), 1)
+
+
+def _unpack_short(data: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(data), "u1").reshape(2, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 class _Sender:
     """Collects the blocks of distinct classes and turns them into runs per bucket."""
 
@@ -302,8 +324,8 @@ class _Sender:
             if a < z:
                 short = (keys[a:z] >> drop) & _LOW
                 here, local = np.unique(who[a:z], return_inverse=True)
-                yield (b, names[here].tobytes(), _pack(short), local.astype("<u2").tobytes(),
-                       lanes[a:z].tobytes(), np.flatnonzero(leads[a:z]).astype("<u4").tobytes())
+                yield (b, names[here].tobytes(), _pack(short), _pack_short(local),
+                       _pack_short(lanes[a:z]), np.flatnonzero(leads[a:z]).astype("<u4").tobytes())
 
 
 def _batch(found: list[tuple], schema: str) -> pa.RecordBatch:
@@ -349,8 +371,8 @@ def _merged(found: pa.Table) -> pa.Table:
             continue
         names = np.frombuffer(row["ids"], "<i8")
         keys.append(_unpack(row["keys"]))
-        owners.append(names[np.frombuffer(row["owners"], "<u2")])
-        lanes.append(np.frombuffer(row["lanes"], "<i2"))
+        owners.append(names[_unpack_short(row["owners"], "<u2")])
+        lanes.append(_unpack_short(row["lanes"], "<i2"))
         leads.append(np.zeros(len(lanes[-1]), bool))
         leads[-1][np.frombuffer(row["leads"], "<u4")] = True
     if keys:
@@ -375,39 +397,126 @@ def _merged(found: pa.Table) -> pa.Table:
 # ---------------------------------------------------------------- verification
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of texts to pairs of classes that link, by their exact sets."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, STEP):
-            part = batch.slice(at, STEP)
-            left, la = shingles(*words_of(part.column("text_a")))
-            right, ra = shingles(*words_of(part.column("text_b")))
-            link = []
-            for i in range(part.num_rows):
-                a, b = left[la[i] : la[i + 1]], right[ra[i] : ra[i + 1]]
-                both = np.concatenate([a, b])
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                union = len(both) - common
-                link.append(100 * common >= 75 * union and union > 0)
-            mask = pa.array(link, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [pc.filter(part.column("a"), mask), pc.filter(part.column("b"), mask)], ["a", "b"]
-            )
+def _in_groups(work, keys: list[str]):
+    """Runs ``work`` on all rows of a key at a time; rows come sorted by the keys.
 
+    ``work`` takes a table and adds pairs (a, b) to a list.
+    """
+
+    def edges(part: pa.Table) -> np.ndarray:
+        fresh = np.zeros(part.num_rows, bool)
+        fresh[:1] = True
+        for key in keys:
+            column = part.column(key).to_numpy()
+            fresh[1:] |= column[1:] != column[:-1]
+        return np.flatnonzero(fresh)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: list[tuple[int, int]] = []
+        open_parts: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            open_parts.append(batch)
+            kept = pa.Table.from_batches([p.slice(p.num_rows - 1) for p in open_parts[-2:-1]] + [batch])
+            if len(edges(kept)) == 1:
+                continue  # the group goes on
+            kept = pa.Table.from_batches(open_parts)
+            starts = edges(kept).tolist()
+            for at, end in zip(starts, starts[1:]):
+                work(kept.slice(at, end - at), pairs)
+                if len(pairs) >= 100_000:
+                    yield _batch(pairs, _PAIRS)
+                    pairs.clear()
+            open_parts = kept.slice(starts[-1]).to_batches()
+        if open_parts:
+            work(pa.Table.from_batches(open_parts), pairs)
+        yield _batch(pairs, _PAIRS)
+
+    return run
+
+
+_PAIRS = "a bigint, b bigint"
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches folded to the shortest of them, a row of words each."""
+    width = min(map(len, sketches)) // 8
+    return np.stack(
+        [np.bitwise_xor.reduce(np.frombuffer(x, "<u8").reshape(-1, width), axis=0) for x in sketches]
+    )
 
-def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that sizes and sketches do not rule out."""
-    for batch in batches:
-        sizes = zip(batch.column("size_a").to_pylist(), batch.column("size_b").to_pylist())
-        sketches = zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())
-        mask = pa.array(
-            [4 * min(n) >= 3 * max(n) and apart(*s) <= sum(n) // 7 for n, s in zip(sizes, sketches)],
-            pa.bool_(),
-        )
-        yield pa.RecordBatch.from_arrays(
-            [pc.filter(batch.column("a"), mask), pc.filter(batch.column("b"), mask)], ["a", "b"]
-        )
+
+def _likely(u: int, others: np.ndarray, size: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The others that sizes and sketches do not rule out, and how far their sketches are."""
+    others = others[(4 * size[others] >= 3 * size[u]) & (4 * size[u] >= 3 * size[others])]
+    differ = np.bitwise_count(bits[others] ^ bits[u]).sum(axis=1, dtype=np.int64)
+    near = differ <= (size[others] + size[u]) // 7
+    return others[near], differ[near]
+
+
+def _forest(part: pa.Table, pairs: list[tuple[int, int]]) -> None:
+    """Edges that connect what the pairs of a list connect that nothing rules out."""
+    names, size = part.column("class").to_numpy(), part.column("size").to_numpy()
+    bits = _folded(part.column("sketch").to_pylist())
+    clump = np.arange(len(names))
+    for u in range(len(names) - 1):
+        others = u + 1 + np.flatnonzero(clump[u + 1 :] != clump[u])
+        if len(others):
+            near, _ = _likely(u, others, size, bits)
+            if len(near):
+                clump[np.isin(clump, np.append(clump[near], clump[u]))] = clump[u]
+    order = np.lexsort((names, clump))
+    names, clump = names[order], clump[order]
+    first = np.flatnonzero(np.concatenate([[True], clump[1:] != clump[:-1]]))
+    low = np.repeat(names[first], np.diff(np.append(first, len(names))))
+    pairs += zip(low[low != names].tolist(), names[low != names].tolist())
+
+
+def _links(part: pa.Table, pairs: list[tuple[int, int]]) -> None:
+    """Links that connect what all links of a cell connect, by exact sets.
+
+    Classes of one component are not compared, nor, in a cell of two blocks, those of one.
+    """
+    n = part.num_rows
+    sets, sketches, starts = [], [], [np.zeros(1, np.int64)]
+    for at in range(0, n, STEP):
+        hashes, first = shingles(*words_of(part.slice(at, STEP).column("text").combine_chunks()))
+        sets.append(hashes)
+        sketches += small_sketches(hashes, first)
+        starts.append(first[1:] + starts[-1][-1])
+    first = np.concatenate(starts)
+    size = np.diff(first)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    del sets
+    bits = _folded(sketches)
+    names = part.column("class").to_numpy()
+    _, group = np.unique(part.column("component").to_numpy(), return_inverse=True)
+    block = part.column("block").to_numpy()
+    crossed = part.column("low")[0].as_py() != part.column("high")[0].as_py()
+    marked = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
+    for u in range(n - 1):
+        others = u + 1 + np.flatnonzero(group[u + 1 :] != group[u])
+        if crossed:
+            others = others[block[others] != block[u]]
+        if not len(others):
+            continue
+        near, differ = _likely(u, others, size, bits)
+        near = near[np.argsort(differ, kind="stable")]
+        own = ids[first[u] : first[u + 1]]
+        marked[own] = True
+        many = 1
+        while len(near):
+            some, near = near[:many], near[many:]
+            held = np.concatenate([ids[first[v] : first[v + 1]] for v in some.tolist()])
+            common = np.add.reduceat(marked[held], np.cumsum(size[some]) - size[some], dtype=np.int64)
+            for v in some[100 * common >= 75 * (size[some] + size[u] - common)].tolist():
+                if group[v] != group[u]:
+                    pairs.append((int(names[u]), int(names[v])))
+                    group[group == group[v]] = group[u]
+            near = near[group[near] != group[u]]
+            many = min(2 * many, 64)
+        marked[own] = False
 
 
 class _Join:
@@ -419,34 +528,86 @@ class _Join:
         )
         self.sample = pin(found)
 
-    def sifted(self, pairs: DataFrame) -> DataFrame:
-        a = self.sample.select("class", "size", "sketch").toDF("a", "size_a", "sketch_a")
-        b = self.sample.select("class", "size", "sketch").toDF("b", "size_b", "sketch_b")
-        likely = pairs.join(a, "a").join(b, "b").where("4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b)")
-        return pin(likely.mapInArrow(_possible, "a bigint, b bigint"))
-
-    def open(self, entries: DataFrame, tried: DataFrame) -> DataFrame:
-        """The pairs within lists that are still open, but for those already verified."""
+    def clumps(self, lists: DataFrame) -> DataFrame:
+        """class and clump of all classes that a pair of a list may link."""
         known = self.sample.select("class", "size", "sketch")
-        rows_of = entries.join(known, "class").select(*[c.split()[0] for c in _ENTRY.split(", ")])
-        sorted_rows = rows_of.repartition("list").sortWithinPartitions("list")
-        pairs = sorted_rows.mapInArrow(_open_within, "a bigint, b bigint").distinct()
-        return pin(pairs.join(tried, ["a", "b"], "left_anti"))
-
-    def texts(self, pairs: DataFrame) -> DataFrame:
-        """One text for every class of the pairs."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        rows_of = pin(self.sample.join(wanted, "class").select("class", "at.__file", "at.__row"))
-        if rows_of.count() <= BROADCAST:
-            rows_of = F.broadcast(rows_of)
-        found = self.known.join(rows_of, ["__file", "__row"]).select("class", "text")
-        return pin(found.repartition("class"))
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        texts = self.texts(pairs)
-        a = texts.toDF("a", "text_a")
-        b = texts.toDF("b", "text_b")
-        return pairs.join(a, "a").join(b, "b").mapInArrow(_alike, "a bigint, b bigint")
+        entries = lists.join(known, "class").select("list", "class", "size", "sketch")
+        entries = entries.repartition("list").sortWithinPartitions("list")
+        edges = entries.mapInArrow(_in_groups(_forest, ["list"]), _PAIRS).distinct()
+        return components(edges).select(F.col("node").alias("class"), F.col("component").alias("clump"))
+
+    def links(self, clumps: DataFrame) -> DataFrame:
+        """Links that connect, within every clump, all that its links connect."""
+        known = self.sample.select("class", "size", "at.__file", "at.__row")
+        found = pin(clumps.join(known, "class").withColumn("component", F.col("class")))
+        blocks = found.groupBy("clump").agg(
+            F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+        )
+        found = found.join(blocks, "clump").withColumn("block", F.expr("pmod(hash(class, 1), blocks)"))
+        alone = found.withColumns({"low": F.col("block"), "high": F.col("block")})
+        links = pin(self._verified(alone))
+        large = found.where("blocks > 1").drop("component", "block", "blocks")
+        if large.isEmpty():
+            return links
+        large = pin(large)
+        # one class of every component, then all classes of clumps with several components
+        for every in (False, True):
+            links = pin(links.unionByName(self._verified(_cells(large, components(links), every))))
+        return links
+
+    def _verified(self, cells: DataFrame) -> DataFrame:
+        """Links of all cells (clump, low, high); one text for every class of a cell."""
+        wanted = cells.select("__file", "__row", *_CELL)
+        if cells.count() <= BROADCAST:
+            wanted = F.broadcast(wanted)
+        found = self.known.join(wanted, ["__file", "__row"]).select(*_CELL, "text")
+        keys = ["clump", "low", "high"]
+        found = found.repartition(*keys).sortWithinPartitions(*keys)
+        return found.mapInArrow(_in_groups(_links, keys), _PAIRS)
+
+
+_CELL = ["clump", "low", "high", "block", "class", "component"]
+
+
+def _cells(classes: DataFrame, label: DataFrame, every: bool) -> DataFrame:
+    """Classes of clumps with several components, dealt so that any two components meet.
+
+    Of every component one class, or all of them; classes of a clump's largest component
+    need not meet each other then.
+    """
+    label = label.select(F.col("node").alias("class"), "component")
+    found = classes.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    if not every:
+        found = found.groupBy("clump", "component").agg(
+            F.min(F.struct("class", "size", "__file", "__row")).alias("one")
+        ).select("clump", "component", "one.*")
+    found = pin(found)
+    sizes = found.groupBy("clump", "component").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")
+    )
+    of_main = F.max(F.struct("n", "shingles", "component"))
+    per_clump = sizes.groupBy("clump").agg(
+        of_main.alias("main"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"),
+        F.count(F.lit(1)).alias("components"),
+    ).where("components > 1")
+    blocks = lambda n, shingles: f"int(ceil(greatest({n} / {BLOCK}, {shingles} / {BLOCK_SHINGLES})))"
+    per_clump = per_clump.select(
+        "clump", F.col("main.component").alias("main"),
+        F.expr(blocks("n", "shingles")).alias("all"),
+        F.expr(blocks("(n - main.n)", "(shingles - main.shingles)")).alias("outer"),
+        F.expr(blocks("main.n", "main.shingles")).alias("inner"),
+    )
+    found = found.join(per_clump, "clump")
+    # a small clump is one cell; else blocks of other classes come before those of the largest component
+    found = found.withColumn("block", F.expr(
+        "CASE WHEN all = 1 THEN 0 WHEN component <> main THEN pmod(hash(class, 1), outer) "
+        "ELSE outer + pmod(hash(class, 1), inner) END"
+    ))
+    found = found.withColumn("other", F.expr(
+        "explode(CASE WHEN all = 1 THEN array(0) WHEN component <> main THEN sequence(0, outer + inner - 1) "
+        "ELSE sequence(0, outer - 1) END)"
+    ))
+    return found.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
 
 
 def linked(
@@ -470,13 +631,7 @@ def linked(
     lists = pin(_kept(_lists(known, buckets, hot), members))
     whole = _Join(known, members)
 
-    hubs = whole.sifted(_open_pairs(lists, None, every=False))
-    links = pin(whole.verified(hubs))
-    label = components(links)
-    rest = whole.open(_open_pairs(lists, label, every=True), hubs)
-    if not rest.isEmpty():
-        label = components(links.unionByName(pin(whole.verified(rest))))
-    return _labelled(members, label)
+    return _labelled(members, components(whole.links(whole.clumps(lists))))
 
 
 def _lists(known: DataFrame, buckets: int, hot: int) -> DataFrame:
@@ -495,7 +650,7 @@ def _lists(known: DataFrame, buckets: int, hot: int) -> DataFrame:
 
 
 def _kept(lists: DataFrame, members: DataFrame) -> DataFrame:
-    """(list, class) without the lists that a class may leave; see *Pigeonhole join*.
+    """(list, class), each list once, without the lists that a class may leave; see *Pigeonhole join*.
 
     A list that a map task sent and the same list of a bucket have the same name. A class
     is in the lists of its own blocks only, so the window holds one class's blocks.
@@ -516,110 +671,18 @@ def _kept(lists: DataFrame, members: DataFrame) -> DataFrame:
         "passed", F.sum("times").over(largest.rowsBetween(Window.unboundedPreceding, 0))
     )
     kept = found.where(F.col("passed") >= need).select("list", "class")
-    several = kept.groupBy("list").agg(F.count(F.lit(1)).alias("left")).where("left > 1")
-    kept = kept.join(several, "list")
-    # how many others a class meets, list by list
-    met = kept.groupBy("class").agg(F.sum("left").alias("met"))
-    return kept.join(met, "class").select("list", "class", "met")
-
-
-def _open_pairs(
-    lists: DataFrame, label: DataFrame | None, every: bool
-) -> DataFrame:
-    """Of the lists that hold several components, the entries, or the pairs with the hub.
-
-    The hub is the class of the list's largest component that most others meet in lists.
-    """
-    if label is None:
-        placed = lists.withColumn("component", F.col("class"))
-    else:
-        placed = lists.join(label.withColumnRenamed("node", "class"), "class", "left")
-        placed = placed.withColumn("component", F.coalesce("component", "class"))
-    several = (
-        placed.groupBy("list")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low <> high")
-        .select("list")
-    )
-    placed = pin(placed.select("list", "class", "met", "component").join(several, "list"))
-    sizes = placed.groupBy("list", "component").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.struct("met", "class")).alias("best")
-    )
-    main = sizes.groupBy("list").agg(F.max(F.struct("n", "best", "component")).alias("main"))
-    main = main.select(
-        "list", F.col("main.component").alias("main"), F.col("main.best.class").alias("hub")
+    # lists are named by what they hold, so that equal ones are one; a name that two
+    # others share by chance makes them one longer list
+    named = kept.groupBy("list").agg(
+        F.count(F.lit(1)).alias("left"), F.bit_xor(F.xxhash64("class")).alias("name")
     )
-    placed = placed.join(main, "list")
-    if every:
-        return placed.select("list", "class", "component", "main")
-    outer = placed.where("component <> main")
-    pairs = outer.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
-    return pairs.distinct()
-
-
-_ENTRY = "list bigint, class bigint, component bigint, main bigint, size bigint, sketch binary"
-
+    kept = kept.join(named.where("left > 1"), "list")
+    return kept.select(F.col("name").alias("list"), "class").distinct()
 
-def _open_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a list that are in different components and that nothing rules out.
 
-    Rows come sorted by list. Every class outside the list's largest component is held
-    against all others at once; pairs that the sketches rule out are never made.
-    """
-    seen: set = set()
-    kept: pa.Table | None = None
-
-    def pairs_of(part: pa.Table) -> None:
-        lists = part.column("list").to_numpy()
-        edge = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1], [True]]))
-        names, component, main, size = (
-            part.column(c).to_numpy() for c in ("class", "component", "main", "size")
-        )
-        sketches = part.column("sketch").to_pylist()
-        for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            own = sketches[a:z]
-            width = min(map(len, own)) // 8
-            bits = np.stack(
-                [np.bitwise_xor.reduce(np.frombuffer(x, "<u8").reshape(-1, width), axis=0) for x in own]
-            )
-            name, where, many = names[a:z], component[a:z], size[a:z]
-            for u in np.flatnonzero(where != main[a]).tolist():
-                rest = (where != where[u]) & ((where == main[a]) | (np.arange(z - a) > u))
-                rest &= (4 * many >= 3 * many[u]) & (4 * many[u] >= 3 * many)
-                other = np.flatnonzero(rest)
-                differ = np.bitwise_count(bits[other] ^ bits[u]).sum(axis=1)
-                for v in other[differ <= (many[other] + many[u]) // 7].tolist():
-                    pair = (int(name[u]), int(name[v]))
-                    seen.add(pair if pair[0] < pair[1] else pair[::-1])
-
-    def found() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays(
-            [pa.array([p[i] for p in seen], pa.int64()) for i in (0, 1)], ["a", "b"]
-        )
-        seen.clear()
-        return out
-
-    for batch in batches:
-        part = pa.Table.from_batches([batch])
-        kept = part if kept is None else pa.concat_tables([kept, part])
-        lists = kept.column("list").to_numpy()
-        last = int(np.searchsorted(lists, lists[-1])) if len(lists) else 0
-        if last:  # the last list may go on in the next batch
-            pairs_of(kept.slice(0, last))
-            kept = kept.slice(last)
-        if len(seen) > 100_000:
-            yield found()
-    if kept is not None and kept.num_rows:
-        pairs_of(kept)
-    yield found()
-
-
-def _labelled(members: DataFrame, label: DataFrame | None) -> DataFrame:
+def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
     classes = members.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("low"))
-    if label is None:
-        joined = classes.withColumn("component", F.col("class"))
-    else:
-        joined = classes.join(label.withColumnRenamed("node", "class"), "class", "left")
+    joined = classes.join(label.withColumnRenamed("node", "class"), "class", "left")
     joined = joined.select("class", "low", F.coalesce("component", "class").alias("component"))
     lows = joined.groupBy("component").agg(F.min("low").alias("component_id"))
     by_class = joined.join(lows, "component").select("class", "component_id")

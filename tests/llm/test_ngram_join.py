@@ -195,3 +195,49 @@ def test_partitions_of_one_row(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6, "doc_id")
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in N.linked(df).collect()}
     assert found == {0: (0, 0), 1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 3), 5: (2, 5)}
+
+
+def listed(texts, **columns):
+    column = pa.array(texts)
+    hashes, first = W.shingles(*W.words_of(column))
+    names = np.arange(len(texts)) * 7 + 1
+    same = {c: np.zeros(len(texts), np.int64) for c in ("clump", "low", "high", "block")}
+    return pa.table({
+        "class": names, "component": names, "size": np.diff(first), "text": column,
+        "sketch": pa.array(N.small_sketches(hashes, first), pa.binary()), **same, **columns,
+    })
+
+
+@pytest.mark.parametrize("work", ["_forest", "_links"])
+def test_fewer_pairs_than_classes_leave_a_large_group(work):
+    near, far = clusters(7, 10)
+    base, rnd = near[0].split(), random.Random(2)
+    group = []
+    for _ in range(150):  # about as far from each other as links may be
+        own = list(base)
+        for at in rnd.sample(range(len(own)), max(1, len(own) // 60)):
+            own[at] = f"x{rnd.randrange(10**9)}"
+        group.append(" ".join(own))
+    texts = group + near[12:] + far
+    pairs = []
+    getattr(N, work)(listed(texts), pairs)
+    assert len(pairs) < len(texts)
+    low = list(range(len(texts)))
+    for a, b in pairs * len(texts):
+        a, b = (a - 1) // 7, (b - 1) // 7
+        if low[a] == low[b]:
+            continue
+        low[a] = low[b] = min(low[a], low[b])
+    want = brute([(i, t, "s") for i, t in enumerate(texts)])
+    if work == "_links":
+        assert low == [want[i][1] for i in range(len(texts))]
+    else:  # a clump may hold several components, and cuts none
+        assert len({(low[i], want[i][1]) for i in low}) <= len({w for _, w in want.values()})
+
+
+def test_clumps_of_many_blocks(documents, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 6)
+    near, far = clusters(8, 4)
+    rows = [(i, t, "s") for i, t in enumerate(near + far)]
+    found = N.linked(documents(rows, 3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows)
