@@ -339,8 +339,10 @@ class RunStore:
         at once.
         """
         named = self._laid_out(rows, table)
-        many = named.select(*RUN).distinct().limit(self.fresh + 1).count() > self.fresh
-        if many:
+        runs = named.select(*RUN)
+        # the first rows usually tell, without a shuffle of all of them
+        some = runs.limit(4 * self.fresh + 1).distinct().count() > self.fresh
+        if some or runs.distinct().limit(self.fresh + 1).count() > self.fresh:
             while not self.fold({table: named}):
                 pass
             return
@@ -385,17 +387,19 @@ class RunStore:
         shards = [f"shard={r.shard}" for r in keys.select(shard).distinct().collect()]
         index = self._folded(manifest, "index", shards)
         # a run written again may have lain in another month
-        before = index.join(keys.select(*RUN).distinct(), RUN, "left_semi").select("dataset_name", "month")
+        before = index.join(keys.select(*RUN), RUN, "left_semi").select("dataset_name", "month")
         places = before.union(keys.select("dataset_name", "month")).distinct().collect()
         touched = [f"ds={tag(r.dataset_name)}/month={r.month}" for r in places]
         generation = f"g-{uuid.uuid4().hex}"
         parts = {t: dict(p) for t, p in manifest["parts"].items()}
         retired = list(taken)
         for table, rows in new.items():
-            runs = fresh.get(table)
-            if runs is None:
-                runs = rows.select(tagged("run_id").alias("run"), "ds").distinct()
-            both = rows.unionByName(_without(self._folded(manifest, table, touched), runs))
+            old = self._folded(manifest, table, touched)
+            if table in fresh:
+                left = _without(old, fresh[table])
+            else:  # runs that are given have names, which need no digest
+                left = old.join(rows.select(*RUN), RUN, "left_anti")
+            both = rows.unionByName(left)
             written = self._write_folded(table, both, generation, ["ds", "month"], ["timestamp"])
             retired += self._replace(parts, table, touched, written, generation)
         entries = keys.select(*RUN, "month", shard).unionByName(index.join(keys, [*RUN, "month"], "left_anti"))
@@ -418,9 +422,10 @@ class RunStore:
         """Writes partitions of a new generation, and says which there are."""
         path = f"{self.table_path(table)}/folded/{generation}"
         keys = [*partitions, *order, "run_id"]
-        # by range, so that a dataset with most of the rows is written by many tasks
+        # rebalanced by size, so that a dataset with most of the rows is written by many tasks;
+        # a partition by range would work out all rows twice, once for its bounds
         (
-            rows.repartitionByRange(*keys)
+            rows.hint("rebalance", *[F.col(c) for c in partitions])
             .sortWithinPartitions(*keys)
             .write.option("maxRecordsPerFile", FILE_ROWS)
             .option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")

@@ -288,3 +288,21 @@ def test_run_table_rounds_ties_to_even(spark):
     ]
     assert R.run_headline(runs, "r00").first().quality_score == 66.125
     assert R.dataset_names(history(spark)).count() == 2
+
+
+def test_a_fold_works_out_rows_few_times(spark, tmp_path):
+    """Four times at most: no further time for the bounds of a range."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    store = RunStore(spark, str(tmp_path))
+    runs = long_history(spark, 3000)
+    for _ in range(2):  # the second time over rows that are folded already
+        read.value = 0
+        store.replace_runs("runs", runs.mapInArrow(counted, runs.schema))
+        assert 0 < read.value <= 4 * 3000
+        assert store.runs().count() == 3000
