@@ -44,10 +44,13 @@ where several are left, every class outside a clump's largest component against
 
 *Layout.* Map tasks hash whole Arrow batches, sort the blocks and send one compressed run
 per bucket; a bucket merges its runs. The number of buckets follows the number of shingles.
+Only blocks of one lane (band) can meet, so a lane has buckets of its own, or shares one with
+other small lanes: the name of a class goes to the buckets of its two lanes, not to all.
 A value that is hot within one map task is settled there: its list goes out in one piece,
 and only its smallest class travels on, marked. The bucket writes a list with a marked class
 under its own name, so that it and the piece are one; lists without are folded if equal.
-Long lists are kept in parts.
+Long lists are kept in parts. The size of a list without pieces is known to its bucket; only
+those with pieces are put together, and counted, by a shuffle.
 """
 
 from __future__ import annotations
@@ -226,7 +229,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- groups
 
 _RUNS = "bucket int, ids binary, keys binary, owners binary, lanes binary, leads binary"
-_LISTS = "list bigint, lane int, times int, members array<bigint>"
+_LISTS = "list bigint, lane int, times int, n int, members array<bigint>"
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -261,14 +264,47 @@ def _unpack_short(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def _dealt(shingles_of: dict[int, int]) -> list[tuple[int, int]]:
+    """First bucket of every band, and the power of two of its buckets.
+
+    A class has blocks in its own band and in the next one, in either about a third as
+    many as shingles.
+    """
+    plan: list[tuple[int, int]] = []
+    unused = held = 0
+    for band in range(max(shingles_of, default=0) + 2):
+        size = shingles_of.get(band, 0) + shingles_of.get(band - 1, 0)
+        bits = max(0, int(np.ceil(np.log2(max(1, size / (2 * BUCKET))))))
+        if plan and not bits and not plan[-1][1] and held + size <= 2 * BUCKET:
+            held += size
+            plan.append(plan[-1])
+        else:
+            held = size
+            plan.append((unused, bits))
+            unused += 1 << bits
+    return plan
+
+
 class _Sender:
-    """Collects the blocks of distinct classes and turns them into runs per bucket."""
+    """Collects the blocks of distinct classes and turns them into runs per bucket.
+
+    ``buckets`` is what ``_dealt`` says, or a power of two for all bands.
+    """
 
-    def __init__(self, buckets: int, hot: int) -> None:
+    def __init__(self, buckets: int | list[tuple[int, int]], hot: int) -> None:
         self.hot = hot
-        self.shift = np.uint64(64 - buckets.bit_length() + 1)
+        plan = [(0, buckets.bit_length() - 1)] if isinstance(buckets, int) else buckets
+        self.first, self.bits = np.array(plan, np.uint64).T
+        self.buckets = plan[-1][0] + (1 << plan[-1][1])
         self.clear()
 
+    def places(self, keys: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+        """Bucket and, in the low 40 bits, key within the bucket."""
+        band = np.minimum(np.where(lanes < 0, -1 - lanes, lanes), len(self.bits) - 1)
+        bits = self.bits[band]
+        bucket = self.first[band] + (keys >> np.uint64(1) >> (np.uint64(63) - bits))
+        return bucket << np.uint64(40) | keys >> (np.uint64(24) - bits) & _LOW
+
     def clear(self) -> None:
         self.classes: dict[int, int] = {}
         self.parts: list[tuple] = []
@@ -298,13 +334,13 @@ class _Sender:
         names = np.fromiter(self.classes, np.int64, len(self.classes))
         who, lanes, keys = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
         self.clear()
+        keys = self.places(keys, lanes)
         order = np.argsort(keys, kind="stable")
         keys, who, lanes = keys[order], who[order].astype("<u2"), lanes[order].astype("<i2")
         edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
         sizes = np.diff(edge)
         keep = np.ones(len(keys), bool)
         leads = np.zeros(len(keys), bool)
-        spare = 64 - int(self.shift)
         for g in np.flatnonzero(sizes > self.hot).tolist():
             a, b = int(edge[g]), int(edge[g + 1])
             members = np.sort(names[who[a:b]])
@@ -312,20 +348,15 @@ class _Sender:
             lead = a + int(np.argmin(names[who[a:b]]))
             keep[lead] = leads[lead] = True
             # the whole list goes out at once, to some bucket
-            name = keys[a : a + 1] >> np.uint64(24 - spare)
-            yield (g % (1 << spare), b"", name.tobytes(), members.tobytes(),
+            yield (g % self.buckets, b"", keys[a : a + 1].tobytes(), members.tobytes(),
                    lanes[a : a + 1].tobytes(), b"")
         keys, who, lanes, leads = keys[keep], who[keep], lanes[keep], leads[keep]
-        bucket = (keys >> self.shift) if spare else np.zeros(len(keys), np.uint64)
-        cut = np.searchsorted(bucket, np.arange((1 << spare) + 1, dtype=np.uint64))
-        drop = self.shift - np.uint64(40)
-        for b in range(1 << spare):
-            a, z = int(cut[b]), int(cut[b + 1])
-            if a < z:
-                short = (keys[a:z] >> drop) & _LOW
-                here, local = np.unique(who[a:z], return_inverse=True)
-                yield (b, names[here].tobytes(), _pack(short), _pack_short(local),
-                       _pack_short(lanes[a:z]), np.flatnonzero(leads[a:z]).astype("<u4").tobytes())
+        bucket = keys >> np.uint64(40)
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            here, local = np.unique(who[a:z], return_inverse=True)
+            yield (int(bucket[a]), names[here].tobytes(), _pack(keys[a:z] & _LOW), _pack_short(local),
+                   _pack_short(lanes[a:z]), np.flatnonzero(leads[a:z]).astype("<u4").tobytes())
 
 
 def _batch(found: list[tuple], schema: str) -> pa.RecordBatch:
@@ -338,7 +369,7 @@ def _batch(found: list[tuple], schema: str) -> pa.RecordBatch:
     )
 
 
-def _sender(buckets: int, hot: int):
+def _sender(buckets: int | list[tuple[int, int]], hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender(buckets, hot)
         for batch in batches:
@@ -356,8 +387,9 @@ def _sender(buckets: int, hot: int):
 def _merged(found: pa.Table) -> pa.Table:
     """Lists of classes that share a block, from all runs of a bucket.
 
-    ``times`` tells how many blocks of the bucket have exactly this list. A list of which a
-    map task has sent a piece stands for one block only, as its piece does.
+    ``times`` tells how many blocks of the bucket have exactly this list, ``n`` how many
+    classes it holds. A list of which a map task has sent a piece stands for one block only,
+    as its piece does, and has no ``n``.
     """
     keys, owners, lanes, leads = [], [], [], []
     lists: list[tuple] = []
@@ -367,7 +399,7 @@ def _merged(found: pa.Table) -> pa.Table:
             name = int(np.frombuffer(row["keys"], "<i8")[0])
             lane = int(np.frombuffer(row["lanes"], "<i2")[0])
             members = np.frombuffer(row["owners"], "<i8")
-            lists += [(name, lane, 1, members[at : at + PART]) for at in range(0, len(members), PART)]
+            lists += [(name, lane, 1, None, members[at : at + PART]) for at in range(0, len(members), PART)]
             continue
         names = np.frombuffer(row["ids"], "<i8")
         keys.append(_unpack(row["keys"]))
@@ -388,9 +420,10 @@ def _merged(found: pa.Table) -> pa.Table:
                 name = bucket << 40 | int(key[a])
                 mark = (int(lane[a]), members.tobytes(), name if lead[a:b].any() else None)
                 same.setdefault(mark, [name, 0])[1] += 1
-        for (where, members, _), (name, times) in same.items():
+        for (where, members, piece), (name, times) in same.items():
             whole = np.frombuffer(members, "<i8")
-            lists += [(name, where, times, whole[at : at + PART]) for at in range(0, len(whole), PART)]
+            n = len(whole) if piece is None else None
+            lists += [(name, where, times, n, whole[at : at + PART]) for at in range(0, len(whole), PART)]
     return pa.Table.from_batches([_batch(lists, _LISTS)])
 
 
@@ -626,15 +659,16 @@ def linked(
         known, doc_id=id_column, text=text_column, __file="__file", __row="__row"
     ).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     members = pin(known.mapInArrow(_members, _MEMBER))
-    total = members.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = 1 << max(0, int(np.ceil(np.log2(max(1, total / BUCKET)))))
+    # one row for every band, of which there are about four for each doubling of a set's size
+    bands = members.where("n_shingles > 0").groupBy("band").agg(F.sum("n_shingles").alias("size"))
+    buckets = _dealt({r["band"]: r["size"] for r in bands.collect()})
     lists = pin(_kept(_lists(known, buckets, hot), members))
     whole = _Join(known, members)
 
     return _labelled(members, components(whole.links(whole.clumps(lists))))
 
 
-def _lists(known: DataFrame, buckets: int, hot: int) -> DataFrame:
+def _lists(known: DataFrame, buckets: list[tuple[int, int]], hot: int) -> DataFrame:
     def with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         send = _sender(buckets, hot)
 
@@ -655,9 +689,10 @@ def _kept(lists: DataFrame, members: DataFrame) -> DataFrame:
     A list that a map task sent and the same list of a bucket have the same name. A class
     is in the lists of its own blocks only, so the window holds one class's blocks.
     """
-    flat = lists.select("list", "lane", "times", F.explode("members").alias("class"))
-    flat = pin(flat.groupBy("list", "lane", "class").agg(F.max("times").alias("times")))
-    sizes = flat.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    flat = pin(lists).select("list", "lane", "times", "n", F.explode("members").alias("class"))
+    pieces = flat.where("n IS NULL").groupBy("list", "lane", "class").agg(F.max("times").alias("times"))
+    sizes = pieces.groupBy("list").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
+    flat = flat.where("n IS NOT NULL").unionByName(pieces.join(sizes, "list"))
     shape = members.where("n_shingles > 0").groupBy("class").agg(
         *[F.first(c).alias(c) for c in ("band", "need0", "need1")]
     )
@@ -667,7 +702,7 @@ def _kept(lists: DataFrame, members: DataFrame) -> DataFrame:
         F.when(F.col("lane") == F.col("band"), F.col("need0")).otherwise(F.col("need1"))
     )
     largest = Window.partitionBy("class", "lane").orderBy(F.desc("n"), F.desc("list"))
-    found = flat.join(sizes, "list").join(shape, "class").withColumn(
+    found = flat.join(shape, "class").withColumn(
         "passed", F.sum("times").over(largest.rowsBetween(Window.unboundedPreceding, 0))
     )
     kept = found.where(F.col("passed") >= need).select("list", "class")

@@ -241,3 +241,53 @@ def test_clumps_of_many_blocks(documents, monkeypatch):
     rows = [(i, t, "s") for i, t in enumerate(near + far)]
     found = N.linked(documents(rows, 3)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows)
+
+
+def test_bands_have_buckets_of_their_own(monkeypatch):
+    """The name of a class goes to the buckets of its two bands, not to all buckets."""
+    monkeypatch.setattr(N, "BUCKET", 500)
+    texts = [" ".join(f"w{i}x{j}" for j in range(60 * 2 ** (i % 4))) for i in range(40)]
+    column = pa.array(texts)
+    hashes, first = W.shingles(*W.words_of(column))
+    who, lanes, _, _, _, band = N.sketched(hashes, first)
+    sizes = {}
+    for b, n in zip(band.tolist(), np.diff(first).tolist()):
+        sizes[b] = sizes.get(b, 0) + n
+    plan = N._dealt(sizes)
+    total = plan[-1][0] + (1 << plan[-1][1])
+    spans = sorted(set(plan))
+    assert [a + (1 << bits) for a, bits in spans] == [a for a, _ in spans[1:]] + [total] and total > 8
+    sender = N._Sender(plan, 200)
+    sender.add(column, N._class_ids(column))
+    ids, held, blocks = N._class_ids(column), {}, 0
+    for bucket, names, keys, *_ in sender.runs():
+        blocks += len(N._unpack(keys))
+        for c in np.frombuffer(names, "<i8").tolist():
+            held.setdefault(c, set()).add(bucket)
+    assert blocks == len(who)
+    for c, b in zip(ids.tolist(), band.tolist()):
+        own = [set(range(plan[x][0], plan[x][0] + (1 << plan[x][1]))) for x in (b, b + 1)]
+        assert held[c] <= own[0] | own[1] < set(range(total))
+
+
+def test_many_buckets(documents, monkeypatch):
+    monkeypatch.setattr(N, "BUCKET", 200)
+    near, far = clusters(9, 40)
+    rows = [(i, t, "s") for i, t in enumerate(near + far)]
+    for hot in (3, 200):
+        found = N.linked(documents(rows, 3), hot=hot).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows)
+
+
+def test_sizes_of_lists_are_known_to_their_buckets():
+    texts = [" ".join(f"w{j}" for j in range(40)) + f" end{i}" for i in range(12)]
+    column = pa.array(texts)
+    for hot, known in ((200, {True}), (3, {False})):
+        runs = []
+        for at in (0, 6):
+            sender = N._Sender(1, hot)
+            sender.add(column[at : at + 6], N._class_ids(column[at : at + 6]))
+            runs += sender.runs()
+        found = N._merged(pa.Table.from_batches([N._batch(runs, N._RUNS)])).to_pylist()
+        long = [r for r in found if len(r["members"]) > 3]
+        assert long and {r["n"] == len(r["members"]) for r in long} == known
