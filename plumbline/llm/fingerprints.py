@@ -11,15 +11,16 @@ samples estimates it, with a standard deviation of at most 1 / (2 sqrt(SAMPLES))
 The edited text of a document needs the text of the next one by id. Documents get their
 position in the order of ids from a sort of ids alone, and are then dealt into *shards* of
 neighbours; the first document of a shard also goes to the shard before. From there on
-nothing is shuffled: all groups lie within a shard. Values are computed once per distinct
-(term, weight) of a shard, not once per document, and handed to the documents that have
-it. Everything is built from Spark's own expressions.
+nothing is shuffled: all groups lie within a shard. A text and its edited text begin alike;
+the words they share are cut and counted once, and a term with the same weight in both is
+sampled once. Everything is built from Spark's own expressions.
 
 The smallest of a text's values, as a power of e, is exponential with the text's weight W
-as its rate, so it hardly ever lies above ``REACH / W``. A term's values are handed to a
-text only where one of them lies below that limit, which few do in a long text. Whether
-every sample of a text was found below its limit is checked; a shard where one was not
-(e^-REACH a sample) is worked out again without limits. So the samples are exact.
+as its rate, so it hardly ever lies above ``REACH / W``. Most of a term's values are known
+to lie above that limit without a logarithm; the others are worked out, and where one lies
+below, they go on to the text's smallest ones. Whether every sample of a text was found
+below its limit is checked; a shard where one was not (e^-REACH a sample) is worked out
+again without limits. So the samples are exact.
 """
 
 from __future__ import annotations
@@ -36,12 +37,12 @@ SAMPLES = 64
 SHARD = 2 << 20
 PARTITION = 3 << 20
 #: Samples worked out in one row: few enough for the JVM to compile their code.
-CHUNK = 8
+CHUNK = 4
 #: Rows (of seven numbers) that may be broadcast; more are joined by shuffle.
 BROADCAST = 300_000
 #: Bits kept of a sample's identity.
 NAME = 20
-#: Values above this share of a text's weight are handed out in a second go only.
+#: Values above this share of a text's weight are looked for in a second go only.
 REACH = 16.0
 #: Added to the values of a text's closing mark, which is no term; above all others.
 ABSENT = 1 << 62
@@ -50,26 +51,12 @@ ABSENT = 1 << 62
 def _uniform(bits: Column, low: int) -> Column:
     """24 bits from ``low`` on as a number within (0, 1)."""
     part = F.shiftrightunsigned(bits, low).bitwiseAND((1 << 24) - 1)
-    return (part + F.lit(0.5)) / F.lit(float(1 << 24))
-
-
-def sample(term: Column, log_weight: Column, nth: Column) -> Column:
-    """A term's value for the n-th sample above its name, as one orderable number."""
-    one = F.xxhash64(term, nth)
-    two = F.xxhash64(one, nth)
-    r = -F.log(_uniform(one, 0) * _uniform(one, 24))
-    c = -F.log(_uniform(two, 0) * _uniform(two, 24))
-    # the bits that r and c leave over
-    b = _uniform(F.shiftleft(F.shiftrightunsigned(one, 48), 8).bitwiseOR(F.shiftrightunsigned(two, 56)), 0)
-    step = F.floor(log_weight / r + b)
-    value = F.log(c) - r * (step - b + 1)
-    name = F.xxhash64(term, step).bitwiseAND((1 << NAME) - 1)
-    return _placed(value).bitwiseOR(name)
+    return (part + F.lit(0.5)) * F.lit(1 / (1 << 24))
 
 
 def _placed(value: Column) -> Column:
     # values lie well within -120 and 120; 2^34 steps for each
-    return F.shiftleft(((value + F.lit(120.0)) * F.lit(float(1 << 34))).cast("bigint"), NAME)
+    return F.shiftleft(F.floor((value + F.lit(120.0)) * F.lit(float(1 << 34))), NAME)
 
 
 def likeness(one: Column, other: Column) -> Column:
@@ -89,71 +76,184 @@ def spelled(samples: Column) -> Column:
     return F.coalesce(F.array_join(digits, ""), F.lit(""))
 
 
-def signatures(
-    texts: DataFrame, keys: list[str], samples: int = SAMPLES, reach: float | None = None
-) -> DataFrame:
-    """``keys``, the samples of ``text`` (NULL for a text without words) and ``whole``.
+def _pieces(text: Column) -> Column:
+    return F.split(text, f"{rows.SPACE}+")
 
-    The first key is the shard: rows of a shard must already lie together, so that the
-    groupings below need no shuffle. With ``reach`` samples are looked for below a limit;
-    ``whole`` is false where one was not found there.
-    """
-    shard, *rest = keys
-    pieces = F.filter(F.split("text", f"{rows.SPACE}+"), lambda w: w != "")
-    cut = texts.select(*keys, pieces.alias("pieces"))
-    total = F.size("pieces")
+
+def _count(pieces: Column) -> Column:
+    """Number of words among the pieces of a text; only the first and the last can be empty."""
+    first = (F.get(pieces, F.lit(0)) == "").cast("int")
+    last = ((F.size(pieces) > 1) & (F.element_at(pieces, -1) == "")).cast("int")
+    return F.size(pieces) - first - last
+
+
+def _limit(total: Column, reach: float | None) -> Column:
     if reach is None:
-        limit = F.lit(ABSENT - 1)
-    else:
-        limit = F.coalesce(_placed(F.log(F.lit(reach) / F.nullif(total, F.lit(0)))), F.lit(ABSENT - 1))
-    # every text ends with a mark without a term, so that none is lost
-    marked = F.array_append("pieces", F.lit(None).cast("string"))
-    terms = cut.select(*keys, limit.alias("limit"), F.explode(marked).alias("word"))
-    terms = terms.select(
-        *keys, "limit", F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term")
-    )
-    weighted = terms.groupBy(*keys, "limit", "term").agg(F.count(F.lit(1)).alias("weight"))
-    shared = weighted.groupBy(shard, "term", "weight").agg(
-        F.collect_list(F.struct(*rest, "limit")).alias("owners")
+        return F.lit(ABSENT - 1)
+    return F.coalesce(_placed(F.log(F.lit(reach) / F.nullif(total, F.lit(0)))), F.lit(ABSENT - 1))
+
+
+def _weights(docs: DataFrame) -> DataFrame:
+    """shard, ord, fact, total0, total1, term, which, weight: the terms of ``text`` and ``edited``.
+
+    ``which`` tells the text a weight holds for: 1 for the plain one, 2 for the edited one, 3
+    for both; ``total0`` and ``total1`` are their words. Both begin alike, and the words up to
+    the last white space of ``kept`` are cut once. Every document ends with a mark
+    (``which`` 4) without a term, so that none is lost; the mark has its ``fact``.
+    """
+    # a text that is no UTF-8 has no code points to cut at
+    shared = F.when(
+        F.col("fact").isNotNull() & F.is_valid_utf8("kept"),
+        F.regexp_extract("kept", f"(?s)^.*{rows.SPACE}", 0),
+    ).otherwise(F.lit(""))
+    docs = docs.select("shard", "ord", "fact", "text", "edited", shared.alias("shared"))
+    rest = lambda name: F.substring(name, F.char_length("shared") + 1, F.char_length(name))
+    edited = F.when(F.col("fact").isNotNull(), rest("edited")).otherwise(F.lit(""))
+    cut = docs.select(
+        "shard", "ord", "fact", _pieces(F.col("shared")).alias("both"),
+        _pieces(rest("text")).alias("plain"), _pieces(edited).alias("edited"),
     )
-    chunks = -(-samples // CHUNK)
-    last = F.when(F.col("term").isNull(), 0).otherwise(chunks - 1)
-    each = shared.select(
-        shard, "owners", "term", F.log(F.col("weight").cast("double")).alias("log_weight"),
-        F.when(F.col("term").isNull(), F.lit(ABSENT)).otherwise(F.lit(0)).alias("absent"),
+    totals = [_count(F.col("both")) + _count(F.col(c)) for c in ("plain", "edited")]
+    # one number counts in both texts: the plain one low, the edited one high
+    none = F.lit(None).cast("string")
+    segments = F.array(
+        F.struct(F.lit(1 + (1 << 32)).alias("step"), none.alias("fact"), F.col("both").alias("words")),
+        F.struct(F.lit(1).cast("bigint").alias("step"), none.alias("fact"), F.col("plain").alias("words")),
+        F.struct(F.lit(1 << 32).alias("step"), none.alias("fact"), F.col("edited").alias("words")),
+        F.struct(F.lit(0).cast("bigint").alias("step"), F.col("fact"), F.array(none).alias("words")),
+    )
+    cut = cut.select(
+        "shard", "ord", *[t.alias(f"total{i}") for i, t in enumerate(totals)], F.explode(segments).alias("s")
+    )
+    words = cut.select("shard", "ord", "total0", "total1", "s.fact", "s.step", F.explode("s.words").alias("word"))
+    words = words.where("word IS NULL OR word <> ''")
+    terms = words.select(
+        "shard", "ord", "fact", "total0", "total1", "step",
+        F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term"),
+    )
+    keys = ["shard", "ord", "fact", "total0", "total1", "term"]
+    counted = terms.groupBy(*keys).agg(F.sum("step").alias("steps"))
+    counted = counted.select(
+        *keys, F.col("steps").bitwiseAND((1 << 32) - 1).alias("in0"), F.shiftright("steps", 32).alias("in1")
+    )
+
+    def uses(*found: tuple[int, str]) -> Column:
+        return F.array(*[F.struct(F.lit(w).alias("which"), F.col(c).alias("weight")) for w, c in found])
+
+    use = (
+        F.when(F.col("term").isNull(), uses((4, "in0")))
+        .when(F.col("in0") == F.col("in1"), uses((3, "in0")))
+        .when(F.col("in1") == 0, uses((1, "in0")))
+        .when(F.col("in0") == 0, uses((2, "in1")))
+        .otherwise(uses((1, "in0"), (2, "in1")))
+    )
+    return counted.select(*keys, F.explode(use).alias("use")).select(*keys, "use.which", "use.weight")
+
+
+def _valued(weighted: DataFrame, samples: int, reach: float | None) -> DataFrame:
+    """``weighted`` by ``chunk`` with the values v0, v1 ... of its samples, each above its name.
+
+    With ``reach`` rows without a value below their limit are left out, and other values
+    above it may be NULL.
+    """
+    keys = ["shard", "ord", "fact", "total0", "total1", "which"]
+    total = F.expr("CASE which WHEN 1 THEN total0 WHEN 2 THEN total1 ELSE least(total0, total1) END")
+    if reach is None:
+        share = F.lit(float("inf"))
+    else:  # the share of the weight, with room for rounding
+        share = F.col("weight") * F.lit(reach * (1 + 1e-6)) / F.nullif(total, F.lit(0))
+    last = F.when(F.col("term").isNull(), 0).otherwise(-(-samples // CHUNK) - 1)
+    each = weighted.select(
+        *keys, "term", F.log(F.nullif("weight", F.lit(0)).cast("double")).alias("log_weight"),
+        share.alias("share"), _limit(total, reach).alias("limit"),
         F.explode(F.sequence(F.lit(0), last)).alias("chunk"),
     )
-    # not within a condition, where Spark would work out every common part again and again
+    keys += ["chunk"]
+    rest = ["term", "log_weight", "limit"]
+    # Each step is a projection of its own: within a condition Spark works out common parts
+    # again and again.
+    span = range(CHUNK)
+    named = lambda make, name: [make(i).alias(f"{name}{i}") for i in span]
+    several = lambda *names: [f"{n}{i}" for n in names for i in span]
+    nth = lambda i: F.col("chunk") * CHUNK + i
+    each = each.select(*keys, *rest, "share", *named(lambda i: F.xxhash64("term", nth(i)), "one"))
+    each = each.select(
+        *keys, *rest, "share", *several("one"), *named(lambda i: F.xxhash64(f"one{i}", nth(i)), "two")
+    )
+
+    def gamma(bits: str) -> Column:
+        """e to the power of minus a number with a Gamma(2, 1) distribution."""
+        return _uniform(F.col(bits), 0) * _uniform(F.col(bits), 24)
+
+    def left(i: int) -> Column:
+        """Uniform, from the bits that r and c leave over."""
+        high = F.shiftleft(F.shiftrightunsigned(f"one{i}", 48), 8)
+        return _uniform(high.bitwiseOR(F.shiftrightunsigned(f"two{i}", 56)), 0)
+
+    each = each.select(
+        *keys, *rest, "share", *named(lambda i: gamma(f"one{i}"), "y"),
+        *named(lambda i: gamma(f"two{i}"), "x"), *named(left, "b"),
+    )
+
+    def r(i: int) -> Column:
+        # The value is at least ln c - ln s - r, and c = -ln x at least 2 (1 - x) / (1 + x).
+        # What this puts above the limit needs no logarithm.
+        x, y = F.col(f"x{i}"), F.col(f"y{i}")
+        low = (F.lit(2.0) - x - x) * y <= F.col("share") * (F.lit(1.0) + x)
+        return F.when(low, -F.log(y))
+
+    each = each.select(*keys, *rest, *several("x", "b"), *named(r, "r"))
+    step = lambda i: F.floor(F.col("log_weight") / F.col(f"r{i}") + F.col(f"b{i}"))
+    each = each.select(*keys, *rest, *several("x", "b", "r"), *named(step, "step"))
+
+    def value(i: int) -> Column:
+        # the part that may be NULL comes first, and spares the other
+        found = -(F.col(f"r{i}") * (F.col(f"step{i}") - F.col(f"b{i}") + 1)) + F.log(-F.log(f"x{i}"))
+        name = F.xxhash64("term", f"step{i}").bitwiseAND((1 << NAME) - 1)
+        return _placed(found).bitwiseOR(name)
+
+    each = each.select(*keys, "limit", *named(value, "v"))
+    fits = (F.col("which") == 4) | (F.least(*several("v")) <= F.col("limit"))
+    texts = F.expr(
+        "CASE which WHEN 1 THEN array(0) WHEN 2 THEN array(1) WHEN 3 THEN array(0, 1) "
+        "ELSE if(fact IS NULL, array(0), array(0, 1, 2)) END"
+    )
+    # not a filter, nor explode, below which Spark would work out all samples to filter by them
+    dealt = each.select(*keys, *several("v"), F.explode_outer(F.when(fits, texts)).alias("nth"))
+    return dealt.where(F.col("nth").isNotNull()).select(
+        "shard", (F.col("ord") * 3 + F.col("nth")).alias("who"),
+        F.when(F.col("nth") == 2, F.col("fact")).alias("fact"),
+        F.expr("CASE nth WHEN 0 THEN total0 WHEN 1 THEN total1 ELSE 0 END").alias("total"),
+        "chunk", *several("v"),
+    )
+
+
+def signatures(docs: DataFrame, samples: int = SAMPLES, reach: float | None = None) -> DataFrame:
+    """shard, who, fact, the samples of a text (NULL for a text without words) and ``whole``.
+
+    ``docs`` has shard, ord, fact, text, kept and edited. A document has three texts: ``text``
+    as ``who`` 3 * ord, ``edited``, which begins with ``kept``, as the next one, and an empty one
+    that carries ``fact``; without a fact only the first. Rows of a shard must already lie
+    together, so that the groupings below need no shuffle. With ``reach`` samples are looked for
+    below a limit; ``whole`` is false where one was not found there.
+    """
+    chunks = -(-samples // CHUNK)
     columns = [f"v{i}" for i in range(CHUNK)]
-    values = [
-        (sample(F.col("term"), F.col("log_weight"), F.col("chunk") * CHUNK + i) + F.col("absent")).alias(v)
-        for i, v in enumerate(columns)
-    ]
-    valued = each.select(shard, "owners", "chunk", "absent", *values)
-    low = F.when(F.col("absent") > 0, F.lit(0)).otherwise(F.least(*columns))
-    valued = valued.select(shard, "owners", "chunk", *columns, low.alias("low"))
-    # A lambda is never compiled, so the loop over the owners gets finished rows; compiled
-    # into it, the samples would be worked out for each owner. The second mention of the
-    # least value keeps Spark from moving it into the lambda.
-    owners = F.filter("owners", lambda o: (o["limit"] >= F.col("low")) & F.col("low").isNotNull())
-    dealt = valued.select(shard, "chunk", *columns, owners.alias("owners"))
-    # not explode, below which Spark would ask for owners by working out all samples again
-    dealt = dealt.select(shard, "chunk", *columns, F.explode_outer("owners").alias("owner"))
-    dealt = dealt.where(F.col("owner").isNotNull())
-    dealt = dealt.select(
-        shard, *[F.col(f"owner.{k}").alias(k) for k in [*rest, "limit"]], "chunk", *columns
-    )
-    least = dealt.groupBy(*keys, "limit", "chunk").agg(*[F.min(v).alias(v) for v in columns])
+    valued = _valued(_weights(docs), samples, reach)
+    keys = ["shard", "who", "fact", "total"]
+    least = valued.groupBy(*keys, "chunk").agg(
+        *[F.coalesce(F.min(v), F.lit(ABSENT)).alias(v) for v in columns]
+    )
     names = F.array(*[F.col(v).bitwiseAND((1 << NAME) - 1).cast("int") for v in columns])
-    parts = least.groupBy(*keys, "limit").agg(
+    parts = least.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("chunk", names.alias("names")))).alias("parts"),
         F.max(F.greatest(*columns)).alias("most"),
     )
     joined = F.slice(F.flatten(F.col("parts.names")), 1, samples)
-    no_words = (F.col("limit") == ABSENT - 1) & (F.col("most") >= ABSENT)
-    found = (F.size("parts") == chunks) & (F.col("most") <= F.col("limit"))
+    no_words = F.col("total") == 0
+    found = (F.size("parts") == chunks) & (F.col("most") <= _limit(F.col("total"), reach))
     return parts.select(
-        *keys, F.when(~no_words, joined).alias("samples"), (no_words | found).alias("whole")
+        "shard", "who", "fact", F.when(~no_words, joined).alias("samples"), (no_words | found).alias("whole")
     )
 
 
@@ -214,22 +314,13 @@ def _compared(
     half = F.floor(chars / 2).cast("int")
     kept = F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 2) AS int))")
     edited = F.concat(kept, F.substring(F.lead("text").over(order), F.lit(1), half))
-    both = seated.select("shard", "ord", "own", "doc_id", "text", edited.alias("edited"))
-    # what else the result tells of a document travels with it as a third version
+    both = seated.select("shard", "ord", "own", "doc_id", "text", kept.alias("kept"), edited.alias("edited"))
+    # what else the result tells of a document travels with it as a third text
     facts = F.concat_ws(
-        "|", chars.cast("string"), F.sha2("edited", 256), F.col("doc_id").cast("string")
+        "|", F.char_length("text").cast("string"), F.sha2("edited", 256), F.col("doc_id").cast("string")
     )
-    none = F.lit(None).cast("string")
-
-    def version(number: int, text: Column, fact: Column) -> Column:
-        who = F.col("ord") * 3 + number
-        return F.struct(who.alias("who"), text.alias("text"), fact.alias("fact"))
-
-    plain = version(0, F.col("text"), none)
-    own = F.array(plain, version(1, F.col("edited"), none), version(2, F.lit(""), facts))
-    versions = F.when(F.col("own"), own).otherwise(F.array(plain))
-    texts = both.select("shard", F.explode(versions).alias("v")).select("shard", "v.*")
-    found = signatures(texts, ["shard", "who", "fact"], samples, reach)
+    texts = both.select("shard", "ord", F.when(F.col("own"), facts).alias("fact"), "text", "kept", "edited")
+    found = signatures(texts, samples, reach)
     # a document, its edited text, its facts, the next document
     after = Window.partitionBy("shard").orderBy("who")
     nearby = after.rowsBetween(Window.currentRow, 3)

@@ -67,3 +67,28 @@ def test_limits_change_nothing(documents, monkeypatch):
         found.append(sorted(map(tuple, P.fingerprints(documents(texts, 3)).collect())))
     assert found[0] == found[1] == found[2] == found[3]
     assert len(found[0]) == len(texts)
+
+
+def test_terms_are_sampled_without_lists_of_texts(documents):
+    docs = documents(["a b c", "a b d"]).selectExpr(
+        "0L AS shard", "doc_id AS ord", "'x' AS fact", "text", "left(text, 2) AS kept", "text AS edited"
+    )
+    plan = P.signatures(docs, reach=P.REACH)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1  # the samples of a text, not the texts of a term
+
+
+@pytest.mark.parametrize("reach", [3.0, 16.0])
+def test_edited_texts_have_the_fingerprint_of_their_words(documents, monkeypatch, reach):
+    monkeypatch.setattr(P, "REACH", reach)
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("aé𝄞\u00a0z") for _ in range(rnd.choice([1, 2, 9])))
+    texts = ["".join(word() + rnd.choice([" ", "\n", "\t ", "  "]) for _ in range(n)) for n in (0, 1, 2, 3, 8, 40, 90)]
+    texts += ["unbroken" * 40, " lead", "   ", "same " * 30, None]
+    whole = [t or "" for t in texts]
+    edited = [
+        t[: len(t) - len(t) // 2] + whole[(i + 1) % len(whole)][: len(t) // 2] for i, t in enumerate(whole)
+    ]
+    found = {r.doc_id: r for r in P.fingerprints(documents(texts, 3)).collect()}
+    again = {r.doc_id: r for r in P.fingerprints(documents(edited, 2)).collect()}
+    for i in range(len(texts)):
+        assert found[i].edited_fingerprint == again[i].fingerprint
