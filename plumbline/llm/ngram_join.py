@@ -64,14 +64,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import rows
-from plumbline.llm.components import components
+from plumbline.llm.components import components, packed
 from plumbline.llm.words import _GAP, mixed, shingles, text_bytes, words_of
 from plumbline.sources.pinning import pin
 
 #: A list of more classes leaves a map task in one piece.
 HOT = 200
 #: Blocks that a map task collects before it sorts and sends them.
-RUN = 1_000_000
+RUN = 500_000
 #: Blocks that a bucket is meant to merge.
 BUCKET = 2_000_000
 #: Rows (of three numbers) that may be broadcast; more are joined by shuffle.
@@ -79,7 +79,7 @@ BROADCAST = 200_000
 #: Classes in one row of a list.
 PART = 4096
 #: Texts that are hashed together.
-STEP = 500
+STEP = 200
 #: Classes, and shingles, of a clump that one task is meant to compare with each other.
 BLOCK = 2048
 BLOCK_SHINGLES = 2_000_000
@@ -321,7 +321,7 @@ class _Sender:
         base = len(self.classes) - len(new)
         hashes, first = shingles(*words_of(text.take(pa.array(new))))
         who, lanes, values, *_ = sketched(hashes, first)
-        self.parts.append((who + base, lanes, values))
+        self.parts.append(((who + base).astype("<u2"), lanes.astype("<i2"), values))
         self.held += len(who)
 
     def full(self) -> bool:
@@ -336,7 +336,8 @@ class _Sender:
         self.clear()
         keys = self.places(keys, lanes)
         order = np.argsort(keys, kind="stable")
-        keys, who, lanes = keys[order], who[order].astype("<u2"), lanes[order].astype("<i2")
+        keys, who, lanes = keys[order], who[order], lanes[order]
+        del order
         edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
         sizes = np.diff(edge)
         keep = np.ones(len(keys), bool)
@@ -572,7 +573,7 @@ class _Join:
     def links(self, clumps: DataFrame) -> DataFrame:
         """Links that connect, within every clump, all that its links connect."""
         known = self.sample.select("class", "size", "at.__file", "at.__row")
-        found = pin(clumps.join(known, "class").withColumn("component", F.col("class")))
+        found = packed(clumps.join(known, "class").withColumn("component", F.col("class")), clumps.count())
         blocks = found.groupBy("clump").agg(
             F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
         )

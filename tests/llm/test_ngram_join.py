@@ -9,9 +9,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.llm import components as C
 from plumbline.llm import ngram_join as N
 from plumbline.llm import words as W
 from plumbline.llm.components import components
+from plumbline.sources.pinning import pin
 
 
 def sets(text):
@@ -123,6 +125,27 @@ def test_components_of_a_long_chain(spark):
     assert found == {**{i: 0 for i in range(201)}, 1000: 1000, 1001: 1000, 1002: 1000}
 
 
+def test_rounds_leave_few_files(spark, monkeypatch):
+    """Whatever the partitions of a shuffle, a few edges need a few files."""
+    files = []
+
+    def counted(df):
+        files.append(df.rdd.getNumPartitions())
+        return pin(df)
+
+    monkeypatch.setattr(C, "pin", counted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        edges = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        assert {r.component for r in components(edges).collect()} == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 3 and set(files[1:]) == {1}  # the first holds what was handed over
+
+
 def clusters(seed, bases):
     """Groups of near copies, and stragglers that are near to one of a group at most."""
     rnd = random.Random(seed)
